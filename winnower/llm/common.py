@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,19 @@ def group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most limit bytes of text, or one row; bounds what numpy holds at once."""
+    if batch.num_rows <= 1:
+        if batch.num_rows:
+            yield batch
+        return
+    size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > first and total + n > limit:
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n
+    yield batch.slice(first)
