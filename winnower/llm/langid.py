@@ -15,23 +15,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.llm import crf
-from winnower.llm.common import batch_rows, in_fold, text_bytes
+from winnower.llm.common import batch_rows, byte_slices, in_fold, text_bytes
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 300  # bound of the sample that the model is fitted on
 BYTES_PER_ROW = 16_384  # longer rows are not sampled
 
 
+def share_of(rows: DataFrame, label: str, key: Column, want: int) -> DataFrame:
+    """About want rows for each label, by a hash of key; counts the labels, which are few, and shuffles no row."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    limit = F.lit(0)
+    for value, n in counts.items():
+        limit = F.when(F.col(label) == F.lit(value), F.lit(min(1_000_000, want * 1_000_000 // n + 1))).otherwise(limit)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < limit)
+
+
 def sample(labelled: DataFrame, rows: int, label: str) -> DataFrame:
     """At most so many rows for each label, by the order of a hash; only rows of at most BYTES_PER_ROW bytes."""
     pick = Window.partitionBy(label).orderBy("_h")
+    fit = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= BYTES_PER_ROW))
     return (
-        labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= BYTES_PER_ROW))
-        .select("text", label, F.xxhash64("text").alias("_h"))
+        share_of(fit.select("text", label), label, F.col("text"), 2 * rows)
+        .withColumn("_h", F.xxhash64("text"))
         .withColumn("_n", F.row_number().over(pick))
         .where(F.col("_n") <= rows)
         .select("text", label)
@@ -67,7 +77,7 @@ def identify_languages(docs: DataFrame, model: crf.Chain | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, limit=16 << 20)):
             n = batch.num_rows
             lettered = batch["lettered"].to_numpy(zero_copy_only=False)
             names = chain.labels if chain else []

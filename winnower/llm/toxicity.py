@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import crf
-from winnower.llm.common import batch_rows, in_fold, text_bytes
-from winnower.llm.langid import sample
+from winnower.llm.common import batch_rows, byte_slices, in_fold, text_bytes
+from winnower.llm.langid import sample, share_of
 
 ROWS_PER_LABEL = 1200  # bound of the sample that the model is fitted on
 SPAN_MARGINAL = 0.5
@@ -120,7 +120,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, limit=16 << 20)):
             n = batch.num_rows
             if model is None:
                 score, spans = np.zeros(n), [[] for _ in range(n)]
@@ -139,11 +139,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     return docs.mapInArrow(tag, schema)
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts outside the held-out fold (crc32 of the id mod 5 is 0) with their label."""
+def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int = 2 * ROWS_PER_LABEL) -> DataFrame:
+    """Texts outside the held-out fold (crc32 of the id mod 5 is 0) with their label: about rows of each label."""
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    marks = labels.select(ids, F.col("toxic").cast("int").alias("toxic")).where(~in_fold(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return documents.select(ids, F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic")
+    marks = labels.select(ids, F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~in_fold(F.col("doc_id"), 5, 0))
+    chosen = share_of(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", F.col("doc_id"), rows)
+    return documents.select(ids, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # about 2 * rows ids
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
