@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.llm import ctw, decontaminate, jaccard, langid, linespread, packing, secrets, sharding, toxicity
+from winnower.llm import ctw, decontaminate, jaccard, langid, linespread, packing, secrets, sharding, toxicity, vamana
 from winnower.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_dedup": op7_line_dedup,
