@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from winnower.llm.common import batch_rows, byte_slices, materialize, text_bytes
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 400_000  # strings whose ids a worker keeps
+REMEMBERED = 800_000  # strings whose ids a worker keeps
 
 _encoder: dict = {}
 
@@ -102,18 +103,28 @@ def encoder(vocabulary: str):
     return _encoder[vocabulary]
 
 
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+LATIN = np.zeros(256, bool)
+LATIN[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+
+
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where a text can be cut without changing its ids: before a space or line feed that follows a visible character.
+    """Places where a text can be cut without changing its ids.
 
-    The tokenizer never joins white space to what is before it. A byte from 0x80 counts as visible only after
-    0xC3 (a Latin letter), as other characters may be white space.
+    The tokenizer never joins white space to what is before it, nor a mark to a letter before it. So it is safe to
+    cut before a space or line feed that follows a visible character, and before an ASCII mark that follows a
+    letter. A byte from 0x80 counts as visible only after 0xC3 (a Latin letter or a sign), as other characters may
+    be white space. Where a special token may occur, its marks are no cuts.
     """
     start = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        before = data[:-1]
+        before, here = data[:-1], data[1:]
         visible = (before > 0x20) & (before < 0x7F)
         visible[1:] |= (before[1:] >= 0x80) & (data[:-2] == 0xC3)
-        start[1:-1] = visible & ((data[1:] == 0x20) | (data[1:] == 0x0A))
+        start[1:-1] = visible & ((here == 0x20) | (here == 0x0A))
+        if not ((before == ord("<")) & (here == ord("|"))).any():
+            start[1:-1] |= LATIN[before] & PUNCTUATION[here]
     start[offsets] = True
     start[-1] = False
     return np.flatnonzero(start)
@@ -134,8 +145,8 @@ def token_ids(texts: pa.Array, vocabulary: str, end_id: int = END_ID) -> tuple[n
         new = distinct
     for i in range(0, len(new), 50_000):
         part = new[i : i + 50_000]
-        for x, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[x] = np.array(got.ids, np.uint32).tobytes()
+        for x, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[x] = array("I", got.ids).tobytes()
     packed = [known[x] for x in distinct]
     flat = np.frombuffer(b"".join(packed), np.uint32)
     size = np.array([len(x) // 4 for x in packed], np.int64)
@@ -154,7 +165,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_slices(whole):
+            for batch in byte_slices(whole, limit=16 << 20):
                 ids, bounds = token_ids(batch["text"], vocabulary)
                 total = np.diff(bounds)
                 count = -(-total // capacity)
