@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnower import rules as R
-from winnower.functions.text import all_hits, first_hit, matches, nonblank
+from winnower.functions.text import all_hits, first_hit, matches, matches_any, nonblank
 from winnower.operators import deep, detect, diagnose, html, report, styles
 from winnower.plans.views import oracle, view
 
@@ -193,10 +193,10 @@ def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_match_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("txt")
-    found = view(spark, sf_dir, "spec_lines").select(
+    some = view(spark, sf_dir, "spec_lines").where(matches_any(text, R.EDITORIAL_PATTERNS + R.VENDOR_PATTERNS + R.PRESERVE_PATTERNS))
+    return some.select(
         "doc_id", "pos", first_hit(text, R.EDITORIAL_PATTERNS).alias("editorial"), first_hit(text, R.VENDOR_PATTERNS).alias("vendor"), first_hit(text, R.PRESERVE_PATTERNS).alias("preserve")
     )
-    return found.where(F.coalesce("editorial", "vendor", "preserve").isNotNull())
 
 
 @query(

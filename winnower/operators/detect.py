@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.functions.text import all_hits, first_hit, nonblank
-from winnower.rules import DEFAULT, Rules
+from winnower.rules import DEFAULT, SECTIONS, Rules
 
 THRESHOLD = 0.5
 DETECTION = "struct<ord:int,content_type:string,confidence:double,reason:string>"
@@ -18,10 +18,23 @@ Custom = tuple[str, Callable[["Element"], tuple[Column, Column]]]
 
 
 class Element:
-    """The columns of a paragraph or a run; only a run has formatting."""
+    """The columns of a paragraph or a run; only a run has formatting.
 
-    def __init__(self, text: Column, style: Column, formatting: Column | None = None) -> None:
-        self.text, self.style, self.formatting = text, style, formatting
+    hits: what each section's patterns found, if that has been put into columns of its own before.
+    """
+
+    def __init__(self, text: Column, style: Column, formatting: Column | None = None, hits: Column | None = None) -> None:
+        self.text, self.style, self.formatting, self.hits = text, style, formatting, hits
+
+    def hit(self, section: str, rules: Rules) -> Column:
+        """The first pattern of a section that is found; all of them for copyright notices."""
+        if self.hits is not None:
+            return self.hits[section]
+        find = all_hits if section == "copyright_notices" else first_hit
+        return find(self.text, rules.section(section).patterns)
+
+    def solid(self) -> Column:
+        return nonblank(self.text) if self.hits is None else self.hits["solid"]
 
 
 def detection(order: int, kind: str, confidence: Column, reason: Column) -> Column:
@@ -30,7 +43,7 @@ def detection(order: int, kind: str, confidence: Column, reason: Column) -> Colu
 
 def specifier_note(e: Element, rules: Rules) -> tuple[Column, Column]:
     """Sums a pattern (0.6) and formatting: italic (0.2), a listed colour (0.3), a listed style (0.8); at most 1."""
-    hit = first_hit(e.text, rules.section("specifier_notes").patterns)
+    hit = e.hit("specifier_notes", rules)
     parts = [(hit.isNotNull(), 0.6, F.concat(F.lit("Pattern match: "), hit))]
     if e.formatting is not None:
         colour = e.formatting["color"]
@@ -43,16 +56,16 @@ def specifier_note(e: Element, rules: Rules) -> tuple[Column, Column]:
         test = F.coalesce(test, F.lit(False))
         total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         reasons.append(F.when(test, reason))
-    return F.when(nonblank(e.text) & (total >= THRESHOLD), F.least(total, F.lit(1.0))), F.concat_ws("; ", *reasons)
+    return F.when(e.solid() & (total >= THRESHOLD), F.least(total, F.lit(1.0))), F.concat_ws("; ", *reasons)
 
 
 def copyright_notice(e: Element, rules: Rules) -> tuple[Column, Column]:
     """0.7 for each pattern and 0.2 for more than one; at most 1."""
-    hits = all_hits(e.text, rules.section("copyright_notices").patterns)
+    hits = e.hit("copyright_notices", rules)
     score = F.when(F.size(hits) >= 2, F.lit(1.0)).when(F.size(hits) == 1, F.lit(0.7))
     listed = F.transform(hits, lambda p: F.concat(F.lit("Pattern match: "), p))
     many = F.when(F.size(hits) >= 2, F.array(F.concat(F.lit("Multiple indicators: "), F.size(hits).cast("string")))).otherwise(F.array().cast("array<string>"))
-    return F.when(nonblank(e.text), score), F.array_join(F.concat(listed, many), "; ")
+    return F.when(e.solid(), score), F.array_join(F.concat(listed, many), "; ")
 
 
 def hidden_text(e: Element, rules: Rules) -> tuple[Column, Column]:
@@ -63,8 +76,8 @@ def hidden_text(e: Element, rules: Rules) -> tuple[Column, Column]:
 
 def first_pattern(section: str, score: float, label: str) -> Callable[[Element, Rules], tuple[Column, Column]]:
     def found(e: Element, rules: Rules) -> tuple[Column, Column]:
-        hit = first_hit(e.text, rules.section(section).patterns)
-        return F.when(hit.isNotNull() & nonblank(e.text), F.lit(score)), F.concat(F.lit(label), hit)
+        hit = e.hit(section, rules)
+        return F.when(hit.isNotNull() & e.solid(), F.lit(score)), F.concat(F.lit(label), hit)
 
     return found
 
@@ -108,7 +121,12 @@ def run_element(text: str = "txt", style: str = "rstyle") -> Element:
 
 
 def with_detections(df: DataFrame, element: Element, rules: Rules = DEFAULT, name: str = "found") -> DataFrame:
-    return df.withColumn(name, detections(element, rules))
+    """Adds the detections. What each section's patterns found is a column first, so that no pattern is tried twice."""
+    named = {f"_{s}": element.hit(s, rules) for s in SECTIONS if s != "hidden_text"}
+    found = df.withColumns(named | {"_solid": nonblank(element.text)})
+    hits = F.struct(F.col("_solid").alias("solid"), *(F.col(c).alias(c[1:]) for c in named))
+    ready = Element(element.text, element.style, element.formatting, hits)
+    return found.withColumn(name, detections(ready, rules)).drop("_solid", *named)
 
 
 def exploded(df: DataFrame, name: str = "found") -> DataFrame:
