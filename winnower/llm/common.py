@@ -31,10 +31,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The shuffle files of a step go once its table is written.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{scratch_dir(spark)}/winnower/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
