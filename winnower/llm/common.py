@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -127,3 +129,10 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
             first, total = i, 0
         total += n
     yield batch.slice(first)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker that stays alive would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)

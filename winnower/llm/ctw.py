@@ -30,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import batch_rows, byte_slices, in_fold, materialize, text_bytes
+from winnower.llm.common import batch_rows, byte_slices, give_back, in_fold, materialize, text_bytes
 
 DEPTH = 5
 SHALLOW = 2
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 PARTITION_GRAMS = 400_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 END = "\n"
 
 
@@ -54,13 +54,12 @@ def grams_of(lists: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     head = END * depth
     tail = pc.if_else(pc.equal(joined, ""), END, " " + END)
     data, offsets = text_bytes(pc.binary_join_element_wise(head, joined, tail, ""))
-    x = data.astype(np.int64)
-    gram = np.zeros(max(0, len(x) - depth), np.int64)
-    for k in range(1, depth + 1):
-        gram = gram << 8 | x[depth - k : len(x) - k]
-    gram = gram << 8 | x[depth:]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[depth:]
-    inside = np.ones(len(x), bool)
+    gram = np.zeros(max(0, len(data) - depth), np.int64)
+    for k in (*range(1, depth + 1), 0):
+        gram <<= 8
+        gram |= data[depth - k : len(data) - k]
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[depth:]
+    inside = np.ones(len(data), bool)
     for k in range(depth):
         inside[offsets[:-1] + k] = False
     return gram[inside[depth:]], text[inside[depth:]]
@@ -184,6 +183,11 @@ def price_grams(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.mapInArrow(downward, "gram long, price double")
 
 
+def added(tables: list[pa.Table], key: str) -> pa.Table:
+    """The counts n of several tables by key."""
+    return pa.concat_tables(tables).group_by(key, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
 def list_block(table: pa.Table) -> pa.Table:
     """A block's distinct words and grams with their training counts."""
     block = table["block"][0].as_py() if table.num_rows else 0
@@ -196,18 +200,23 @@ def list_block(table: pa.Table) -> pa.Table:
         n = np.bincount(coded.indices.to_numpy(), train[parent], len(coded.dictionary))
         words.append(pa.table({"word": coded.dictionary, "n": n.astype(np.int64)}))
         gram, text = grams_of(lists)
-        value, which = np.unique(gram, return_inverse=True)
-        grams.append(pd.Series(np.bincount(which, train[text], len(value)), index=value))
-    word = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+        learnt = train[text]
+        value, count = np.unique(gram[learnt], return_counts=True)
+        other = np.unique(gram[~learnt])
+        grams.append(pa.table({"gram": np.concatenate([value, other]), "n": np.concatenate([count, np.zeros(len(other), np.int64)])}))
+        if len(grams) == 6:
+            words, grams = [added(words, "word")], [added(grams, "gram")]
+    word = added(words, "word")
     word = word.filter(pc.not_equal(word["word"], ""))
-    gram = pd.concat(grams).groupby(level=0).sum()
-    a, b = word.num_rows, len(gram)
+    gram = added(grams, "gram")
+    a, b = word.num_rows, gram.num_rows
+    give_back()
     return pa.table(
         {
             "block": pa.array(np.full(a + b, block, np.int32)),
             "word": pa.chunked_array([word["word"].combine_chunks().cast(pa.string()), pa.nulls(b, pa.string())]),
-            "gram": pa.chunked_array([pa.nulls(a, pa.int64()), pa.array(gram.index.to_numpy())]),
-            "n": pa.chunked_array([word["n_sum"].combine_chunks(), pa.array(gram.to_numpy().astype(np.int64))]),
+            "gram": pa.chunked_array([pa.nulls(a, pa.int64()), gram["gram"].combine_chunks()]),
+            "n": pa.chunked_array([word["n"].combine_chunks(), gram["n"].combine_chunks()]),
         }
     )
 
@@ -248,6 +257,7 @@ def score_block(docs: pa.Table, listed: pa.Table, train_tokens: int, distinct: i
                 }
             )
         )
+    give_back()
     return pa.concat_tables(out) if out else pa.schema(SCORES).empty_table()
 
 
@@ -276,6 +286,8 @@ def score_texts(documents: DataFrame) -> DataFrame:
 
     none = F.lit(None)
     back = words.select("block", "word").join(totals, "word").select("block", "word", none.cast("long").alias("gram"), F.col("n").cast("double").alias("value"))
-    back = back.union(grams.select("block", "gram").join(prices, "gram").select("block", none.cast("string"), "gram", F.col("price")))
+    single = F.col("price").cast("float").cast("double")  # half the bytes of the digits; a score keeps seven places
+    back = back.union(grams.select("block", "gram").join(prices, "gram").select("block", none.cast("string"), "gram", single))
+    back = materialize(back, "back")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: score_block(d, b, tokens, distinct, ends), schema)
