@@ -121,6 +121,7 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
         if batch.num_rows:
             yield batch
         return
+    give_back()
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, total = 0, 0
     for i, n in enumerate(size.tolist()):

@@ -77,7 +77,7 @@ def features(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
             gram = gram << np.uint64(8) | words.data[at + j]
         owner.append(who)
         slot.append(slots(20 + k, gram))
-    owner, slot = np.concatenate(owner), np.concatenate(slot)
+    owner, slot = np.concatenate(owner).astype(np.int32), np.concatenate(slot)
     order = np.argsort(owner, kind="stable")
     return slot[order], np.searchsorted(owner[order], np.arange(n))
 
@@ -131,7 +131,7 @@ class Chain:
 
     def marginals(self, words: Words) -> np.ndarray:
         slot, begin = features(words, self.lexicon)
-        score = group_sums(self.weights[slot], begin)[words.number] if len(words.number) else np.zeros((0, len(self.labels)))
+        score = np.stack([group_sums(self.weights[slot, k], begin) for k in range(len(self.labels))], 1)[words.number] if len(words.number) else np.zeros((0, len(self.labels)))
         return forward_backward(score, self.step, *chains(words.text))[0]
 
 

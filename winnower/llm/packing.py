@@ -28,7 +28,7 @@ from winnower.llm.common import batch_rows, byte_slices, materialize, text_bytes
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 800_000  # strings whose ids a worker keeps
+REMEMBERED = 300_000  # strings whose ids a worker keeps
 
 _encoder: dict = {}
 
@@ -165,7 +165,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_slices(whole, limit=16 << 20):
+            for batch in byte_slices(whole):
                 ids, bounds = token_ids(batch["text"], vocabulary)
                 total = np.diff(bounds)
                 count = -(-total // capacity)
