@@ -157,6 +157,17 @@ def test_lines_with_few_sites_stay(spark):
     assert linespread.line_dedup(docs).agg(F.sum("n_cut")).first()[0] == 0
 
 
+@pytest.mark.parametrize("texts", [2, 3, 4])
+def test_sites_decide_for_a_line_of_few_texts(spark, texts):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{passage}\nending {i % texts}", f"site{i}") for i in range(12)]
+    docs = documents(spark, [*rows, *((50 + i, "a plain copy", f"site{i}") for i in range(12))])
+    got = {r["doc_id"]: r["text"] for r in linespread.drop_boilerplate(docs).collect()}
+    assert [i for i, t in sorted(got.items()) if passage in t] == [0]
+    assert all(got[i] == f"ending {i % texts}" for i in range(1, 12)) and all(got[50 + i] == "a plain copy" for i in range(12))
+    assert linespread.line_dedup(docs).agg(F.sum("n_cut")).first()[0] == 0  # the query asks for five texts too, as its SQL does
+
+
 # Jaccard join
 
 
