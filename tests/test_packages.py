@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from winnower.plans import api
 from winnower.sources import packages as P
-from winnower.streaming.watch import watch
+from winnower.streaming.watch import clean_batch, watch
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 HIDDEN = "<w:rPr><w:vanish/></w:rPr>"
@@ -176,3 +176,38 @@ def test_stream(spark, tmp_path):
     assert len(rows) == 1
     with zipfile.ZipFile(io.BytesIO(rows[0]["content"])) as z:
         assert b"TBD" not in z.read("word/document.xml")
+
+
+def test_no_package_loses_members(spark, monkeypatch):
+    monkeypatch.setattr(P, "LARGEST_MEMBER", 2000)
+    note = f"<w:p>{run('[TBD]')}</w:p>"
+    large, empty = "x" * 5000, io.BytesIO()
+    zipfile.ZipFile(empty, "w").close()
+    given = {
+        "media": package(note, **{"word/media/image1.png": large, "word/media/image2.png": "1"}),
+        "main": package(note + f"<w:p>{run(large)}</w:p>"),
+        "header": package(note, **{"word/header1.xml": f"<w:hdr {W}><w:p>{run(large)}</w:p></w:hdr>"}),
+        "junk": b"no zip",
+        "empty": empty.getvalue(),
+    }
+    given["torn"] = given["media"].replace(b"[TBD]", b"[TBX]")  # the checksum of the main part fails
+    packages = frame(spark, **given)
+    got = {r["pkg_id"]: (bytes(r["content"]), r["error"]) for r in clean_batch(packages).collect()}
+    assert set(got) == set(given)
+    with zipfile.ZipFile(io.BytesIO(got["media"][0])) as new, zipfile.ZipFile(io.BytesIO(given["media"])) as old:
+        assert new.namelist() == old.namelist() and new.testzip() is None
+        assert new.read("word/media/image1.png").decode() == large and b"TBD" not in new.read("word/document.xml")
+    assert got["media"][1] is None
+    for name in ("main", "header", "junk", "empty", "torn"):
+        assert got[name][0] == given[name] and got[name][1]
+    assert got["main"][1] == "word/document.xml: member too large" and got["torn"][1] == "not a package: BadZipFile"
+    alone = {r["pkg_id"]: r for r in P.pack(P.unpack(packages)).collect()}
+    assert all(alone[name]["content"] is None and alone[name]["error"] for name in ("media", "main", "header", "junk", "torn"))
+
+
+def test_orphaned_large_media_stay_out(spark, monkeypatch):
+    monkeypatch.setattr(P, "LARGEST_MEMBER", 2000)
+    packages = frame(spark, a=package(f"<w:p>{run('text')}</w:p>", **{"word/media/image1.png": "x" * 5000}))
+    row = P.pack(api.deep_clean(P.unpack(packages), operations=["media"]).parts, packages).first()
+    with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
+        assert row["error"] is None and "word/media/image1.png" not in z.namelist() and "word/document.xml" in z.namelist()

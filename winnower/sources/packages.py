@@ -6,8 +6,12 @@ package or one part; what is found, decided and counted runs on the rows as Data
 
 from __future__ import annotations
 
+import contextlib
 import io
+import lzma
+import shutil
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from xml.parsers import expat
 
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 MAIN = "word/document.xml"
 LARGEST_MEMBER = 256 << 20
+UNREADABLE = (zipfile.BadZipFile, TypeError, NotImplementedError, RuntimeError, OSError, EOFError, ValueError, zlib.error, lzma.LZMAError)
 PARTS = "pkg_id string, part string, ord int, size bigint, data binary, error string"
 NODES = (
     "pkg_id string, part string, node_id int, parent_id int, last_desc_id int, depth int, tag string, attrs map<string,string>, "
@@ -54,7 +59,7 @@ def unpack(packages: DataFrame, wanted: Sequence[str] | None = None) -> DataFram
                                 rows.append((pkg, info.filename, i, info.file_size, None, "member too large"))
                             else:
                                 rows.append((pkg, info.filename, i, info.file_size, z.read(info), None))
-                except (zipfile.BadZipFile, TypeError, NotImplementedError, RuntimeError, OSError) as e:
+                except UNREADABLE as e:
                     rows = [(pkg, None, -1, 0, None, f"not a package: {type(e).__name__}")]
                 yield pd.DataFrame(rows, columns=["pkg_id", "part", "ord", "size", "data", "error"])
 
@@ -224,14 +229,51 @@ def splice(parts: DataFrame, cuts: DataFrame) -> DataFrame:
     return parts.join(listed, ["pkg_id", "part"], "left").select(*parts.columns, "cuts").mapInPandas(apply, PARTS)
 
 
-def pack(parts: DataFrame) -> DataFrame:
-    """pkg_id and content of each package, members in their order."""
-
-    def zipped(frame: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for row in frame.sort_values("ord").itertuples():
-                z.writestr(zipfile.ZipInfo(row.part, (1980, 1, 1, 0, 0, 0)), row.data, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"pkg_id": [frame["pkg_id"].iloc[0]], "content": [out.getvalue()]})
-
-    return parts.where(F.col("data").isNotNull()).groupBy("pkg_id").applyInPandas(zipped, "pkg_id string, content binary")
+def carry(source: zipfile.ZipFile, at: int, out: zipfile.ZipFile) -> None:
+    """Copies a member by its place, a block at a time."""
+    info = source.infolist()[at]
+    copy = zipfile.ZipInfo(info.filename, (1980, 1, 1, 0, 0, 0))
+    copy.compress_type, copy.file_size = info.compress_type, info.file_size
+    with source.open(info) as f, out.open(copy, "w") as g:
+        shutil.copyfileobj(f, g, 1 << 20)
+
+
+def packed(rows: pd.DataFrame, content: bytes | None) -> tuple[bytes | None, str | None]:
+    """A package's new content; with an error, what came in (None if not known), as no package may lose members."""
+    unread = rows[rows["data"].isna()]
+    faults = [f"{r.part}: {r.error}" if r.part else str(r.error) for r in unread.itertuples() if not r.part or r.part.endswith((".xml", ".rels"))]
+    if not len(rows):
+        faults = ["no members"]
+    elif len(unread) and content is None:
+        faults = faults or [f"{r.part}: {r.error}" for r in unread.itertuples()]
+    if faults:
+        return content, "; ".join(faults)
+    out = io.BytesIO()
+    try:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(io.BytesIO(content)) if len(unread) else contextlib.nullcontext() as source:
+            for row in rows.sort_values("ord").itertuples():
+                if row.data is None:
+                    carry(source, row.ord, z)
+                else:
+                    z.writestr(zipfile.ZipInfo(row.part, (1980, 1, 1, 0, 0, 0)), row.data, zipfile.ZIP_DEFLATED)
+    except UNREADABLE as e:
+        return content, f"not packed: {type(e).__name__}"
+    return out.getvalue(), None
+
+
+def pack(parts: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """pkg_id, content and error of each package, members in their order.
+
+    packages: what the parts were unpacked from. Members too large to unpack are copied from there if nothing in them is
+    ever cleaned; a package that can't be read, or has an XML part that is too large, comes back as it was, with an error.
+    Without packages such a package has an error and no content.
+    """
+
+    def zipped(rows: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        content, error = packed(rows, whole["content"].iloc[0] if len(whole) else None)
+        return pd.DataFrame({"pkg_id": [(rows if len(rows) else whole)["pkg_id"].iloc[0]], "content": [content], "error": [error]})
+
+    schema = "pkg_id string, content binary, error string"
+    if packages is None:
+        return parts.groupBy("pkg_id").applyInPandas(lambda rows: zipped(rows, rows.iloc[:0].assign(content=None)), schema)
+    return parts.groupBy("pkg_id").cogroup(packages.select("pkg_id", "content").groupBy("pkg_id")).applyInPandas(zipped, schema)

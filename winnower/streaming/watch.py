@@ -16,8 +16,8 @@ Clean = Callable[[DataFrame], DataFrame]
 
 
 def clean_batch(packages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """pkg_id and content of each package after a shallow clean."""
-    return pack(shallow_clean(unpack(packages), rules).parts)
+    """pkg_id, content and error of each package after a shallow clean; with an error, the content is what came in."""
+    return pack(shallow_clean(unpack(packages), rules).parts, packages)
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, clean: Clean = clean_batch) -> StreamingQuery:
