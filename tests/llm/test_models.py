@@ -79,6 +79,26 @@ def test_odd_texts_and_no_labels(spark):
     assert langid.language_id(documents(spark, [])).collect() == []
 
 
+def test_labels_of_long_texts_only_are_learned(spark):
+    draw = np.random.default_rng(6)
+    rows = [(spoken(draw, "aa", 30), "aa") for _ in range(40)] + [(spoken(draw, "bb", 4000), "bb") for _ in range(12)]
+    assert all(len(t) > langid.BYTES_PER_ROW for t, x in rows if x == "bb")
+    model = langid.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    row = langid.identify_languages(spark.createDataFrame([(1, spoken(draw, "bb", 20), False)], "doc_id long, text string, held_out boolean"), model).first()
+    assert row["lang_pred"] == "bb"
+    labelled = [(spoken(draw, "aa", 30), 0) for _ in range(40)] + [(spoken(draw, "aa", 2500) + " vileword" * 3 + spoken(draw, "aa", 2500), 1) for _ in range(12)]
+    assert toxicity.fit_toxicity(spark.createDataFrame(labelled, "text string, toxic int")) is not None
+
+
+def test_sample_is_of_distinct_texts_and_bounded(spark):
+    copies = [("the same text", "aa")] * 500 + [(f"text {i}", "aa") for i in range(30)]
+    got = [r["text"] for r in langid.sample(spark.createDataFrame(copies, "text string, lang string"), 40, "lang").collect()]
+    assert len(got) == len(set(got)) == 31
+    long = [("".join(chr(0x4E00 + (i * j) % 999) for j in range(9000)) + f" {i}", "cc") for i in range(20)]
+    got = [r["text"] for r in langid.sample(spark.createDataFrame(long, "text string, lang string"), 4, "lang").collect()]
+    assert 1 <= len(got) <= 4 and sum(len(t.encode()) for t in got) <= 4 * langid.BYTES_PER_ROW
+
+
 # Toxicity
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from winnower.llm.common import byte_runs, group_sums, mix, run_hashes
+from winnower.llm.common import byte_runs, give_back, group_sums, mix, run_hashes
 
 CHAIN = 64
 BITS = 18
@@ -77,7 +77,8 @@ def features(words: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
             gram = gram << np.uint64(8) | words.data[at + j]
         owner.append(who)
         slot.append(slots(20 + k, gram))
-    owner, slot = np.concatenate(owner).astype(np.int32), np.concatenate(slot)
+    owner = np.concatenate([x.astype(np.int32) for x in owner])
+    slot = np.concatenate(slot)
     order = np.argsort(owner, kind="stable")
     return slot[order], np.searchsorted(owner[order], np.arange(n))
 
@@ -142,6 +143,7 @@ def fit(words: Words, gold: np.ndarray, labels: list, lexicon: tuple, rounds: in
     if not n or m < 2:
         return Chain(labels, weights, step, lexicon)
     slot, begin = features(words, lexicon)
+    give_back()
     feats = np.diff(np.r_[begin, len(slot)])
     place, chain = chains(words.text)
     follows = np.flatnonzero(place > 0)
@@ -150,11 +152,11 @@ def fit(words: Words, gold: np.ndarray, labels: list, lexicon: tuple, rounds: in
     target = np.stack([np.bincount(words.number[gold == k], minlength=len(begin)) for k in range(m)], 1).astype(float)
     states = [[np.zeros_like(weights), np.zeros_like(weights)], [np.zeros_like(step), np.zeros_like(step)]]
     for i in range(1, rounds + 1):
-        score = group_sums(weights[slot], begin)[words.number]
+        score = np.stack([group_sums(weights[slot, k], begin) for k in range(m)], 1)[words.number]  # a label at a time: less memory
         got, moves = forward_backward(score, step, place, chain, pairs=True)
         held = np.stack([np.bincount(words.number, got[:, k], len(begin)) for k in range(m)], 1)
-        error = np.repeat(target - held, feats, axis=0)
-        slope = np.stack([np.bincount(slot, error[:, k], 1 << BITS) for k in range(m)], 1) / n - decay * weights
+        error = target - held
+        slope = np.stack([np.bincount(slot, np.repeat(error[:, k], feats), 1 << BITS) for k in range(m)], 1) / n - decay * weights
         for value, g, (one, two) in ((weights, slope, states[0]), (step, (seen - moves) / n, states[1])):
             one += 0.1 * (g - one)
             two += 0.01 * (g * g - two)

@@ -23,27 +23,42 @@ from winnower.llm.common import batch_rows, byte_slices, in_fold, text_bytes
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 300  # bound of the sample that the model is fitted on
-BYTES_PER_ROW = 16_384  # longer rows are not sampled
+BYTES_PER_ROW = 16_384  # mean that bounds the bytes of a label's sample; longer texts are sampled too
+PIECES = 16
 
 
 def share_of(rows: DataFrame, label: str, key: Column, want: int) -> DataFrame:
-    """About want rows for each label, by a hash of key; counts the labels, which are few, and shuffles no row."""
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    """About want keys for each label, by a hash of key; counts the keys of labels, which are few, and shuffles no row."""
+    counts = {r[label]: max(1, r["n"]) for r in rows.groupBy(label).agg(F.approx_count_distinct(F.xxhash64(key)).alias("n")).collect()}
     limit = F.lit(0)
     for value, n in counts.items():
         limit = F.when(F.col(label) == F.lit(value), F.lit(min(1_000_000, want * 1_000_000 // n + 1))).otherwise(limit)
     return rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < limit)
 
 
+def excerpt(text: Column, limit: int) -> Column:
+    """A text of more than limit bytes as pieces from all over it, of at most limit bytes together."""
+    size = limit // (4 * PIECES + 1)  # characters of four bytes at most
+    pieces = [F.substring(text, (F.length(text) * i / PIECES).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def sample(labelled: DataFrame, rows: int, label: str) -> DataFrame:
-    """At most so many rows for each label, by the order of a hash; only rows of at most BYTES_PER_ROW bytes."""
+    """At most so many distinct texts for each label, by the order of a hash, and of at most rows * BYTES_PER_ROW bytes.
+
+    Texts of any length count. Where they are long, a label has fewer rows; a text of more than a sixteenth of the bytes
+    (or than BYTES_PER_ROW, for few rows) gives pieces from all over it.
+    """
+    room = rows * BYTES_PER_ROW
     pick = Window.partitionBy(label).orderBy("_h")
-    fit = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= BYTES_PER_ROW))
+    fit = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     return (
         share_of(fit.select("text", label), label, F.col("text"), 2 * rows)
-        .withColumn("_h", F.xxhash64("text"))
+        .select(excerpt(F.col("text"), max(BYTES_PER_ROW, room // 16)).alias("text"), label, F.xxhash64("text").alias("_h"))
+        .dropDuplicates(["_h", label])
         .withColumn("_n", F.row_number().over(pick))
-        .where(F.col("_n") <= rows)
+        .withColumn("_bytes", F.sum(F.octet_length("text")).over(pick.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .where((F.col("_n") <= rows) & (F.col("_bytes") <= room))
         .select("text", label)
     )
 
