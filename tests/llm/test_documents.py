@@ -168,6 +168,15 @@ def test_sites_decide_for_a_line_of_few_texts(spark, texts):
     assert linespread.line_dedup(docs).agg(F.sum("n_cut")).first()[0] == 0  # the query asks for five texts too, as its SQL does
 
 
+@pytest.mark.parametrize(("many", "sites", "left"), [(2, 2, 2), (4, 4, 4), (6, 6, 1), (6, 4, 6), (6, 1, 6)])
+def test_a_long_passage_stays_below_five_sites(spark, many, sites, left):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = documents(spark, [(i, f"own line {i}\n{passage}", f"site{i % sites}") for i in range(many)])
+    got = [r["text"] for r in linespread.drop_boilerplate(docs).collect()]
+    assert len(got) == many and sum(passage in t for t in got) == left
+    assert linespread.line_dedup(docs).agg(F.sum("n_cut")).first()[0] == many - left
+
+
 # Jaccard join
 
 
