@@ -28,7 +28,7 @@ from winnower.llm.common import batch_rows, byte_slices, materialize, text_bytes
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 300_000  # strings whose ids a worker keeps
+GENERATION = 400_000  # strings of a generation; a worker remembers two
 
 _encoder: dict = {}
 
@@ -92,14 +92,39 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return runs
 
 
-def encoder(vocabulary: str):
-    """The tokenizer and the remembered ids of this worker process."""
+class Remembered:
+    """Ids of strings as bytes, in two generations: strings that are used again move to the new one, the old one goes when that is full."""
+
+    def __init__(self, tokenizer, generation: int = GENERATION) -> None:
+        self.tokenizer, self.generation = tokenizer, generation
+        self.new, self.old = {}, {}
+
+    def ids(self, strings: list[str]) -> list[bytes]:
+        if len(self.new) > self.generation:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        unknown = []
+        for x in strings:
+            if x not in new:
+                if x in old:
+                    new[x] = old[x]
+                else:
+                    unknown.append(x)
+        for i in range(0, len(unknown), 50_000):
+            part = unknown[i : i + 50_000]
+            for x, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                new[x] = array("I", got.ids).tobytes()
+        return [new[x] for x in strings]
+
+
+def encoder(vocabulary: str) -> Remembered:
+    """The tokenizer of this worker process with what it remembers."""
     if vocabulary not in _encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        _encoder[vocabulary] = (Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)), {})
+        _encoder[vocabulary] = Remembered(Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)))
     return _encoder[vocabulary]
 
 
@@ -132,22 +157,12 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def token_ids(texts: pa.Array, vocabulary: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts on end, each with the end id, and where each text's ids begin (one more than texts)."""
-    tokenizer, known = encoder(vocabulary)
     data, offsets = text_bytes(texts)
     starts = word_starts(data, offsets)
     cuts = np.append(starts, len(data)).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data)))
     coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    new = [x for x in distinct if x not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = distinct
-    for i in range(0, len(new), 50_000):
-        part = new[i : i + 50_000]
-        for x, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[x] = array("I", got.ids).tobytes()
-    packed = [known[x] for x in distinct]
+    packed = encoder(vocabulary).ids(coded.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(packed), np.uint32)
     size = np.array([len(x) // 4 for x in packed], np.int64)
     begin = np.cumsum(size) - size
