@@ -21,28 +21,37 @@ def spoken(draw, lang, n):
 # Fields
 
 
-def test_forward_backward_equals_enumeration():
-    draw = np.random.default_rng(0)
-    score, step = draw.normal(size=(4, 3)), draw.normal(size=(3, 3))
-    place, chain = crf.chains(np.zeros(4, int))
-    got, moves = crf.forward_backward(score, step, place, chain, pairs=True)
-    weight = {}
-    for path in np.ndindex(3, 3, 3, 3):
-        weight[path] = math.exp(sum(score[t, k] for t, k in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:], strict=False)))
-    total = sum(weight.values())
-    want = np.zeros((4, 3))
-    pairs = np.zeros((3, 3))
+def enumerated(score, step):
+    """Marginals and expected transitions from every labelling of one chain."""
+    n, m = score.shape
+    weight = {p: math.exp(sum(score[t, k] for t, k in enumerate(p)) + sum(step[a, b] for a, b in zip(p, p[1:], strict=False))) for p in np.ndindex(*[m] * n)}
+    total, want, pairs = sum(weight.values()), np.zeros((n, m)), np.zeros((m, m))
     for path, w in weight.items():
         for t, k in enumerate(path):
             want[t, k] += w / total
         for a, b in zip(path, path[1:], strict=False):
             pairs[a, b] += w / total
-    assert np.allclose(got, want, atol=1e-5) and np.allclose(moves, pairs, atol=1e-5)
+    return want, pairs
 
 
-def test_chains_break_at_texts_and_length():
-    place, chain = crf.chains(np.r_[np.zeros(crf.CHAIN + 3, int), np.ones(2, int)])
-    assert place[-3:].tolist() == [2, 0, 1] and chain[-1] == 2 and place[crf.CHAIN] == 0
+def test_forward_backward_equals_enumeration_across_blocks():
+    draw = np.random.default_rng(0)
+    sizes = [7, 1, 2, 4, 6, 3]
+    text = np.repeat([0, 1, 2, 5, 6, 9], sizes)
+    score, step = 2 * draw.normal(size=(len(text), 3)), 2 * draw.normal(size=(3, 3))
+    parts = [enumerated(part, step) for part in np.split(score, np.cumsum(sizes)[:-1])]
+    want, pairs = np.concatenate([w for w, _ in parts]), sum(p for _, p in parts)
+    for length in (1, 2, 3, 64):
+        got, moves = crf.forward_backward(score, step, text, pairs=True, length=length)
+        assert np.allclose(got, want, atol=1e-5) and np.allclose(moves, pairs, atol=1e-5)
+
+
+def test_a_word_feels_another_hundreds_of_words_away():
+    n = 3 * crf.BLOCK + 5
+    score, step = np.zeros((n, 2)), np.array([[5.0, -5.0], [-5.0, 5.0]])
+    score[0, 1] = 40
+    got, _ = crf.forward_backward(score, step, np.zeros(n, int))
+    assert got[-1, 1] > 0.9
 
 
 # Languages
