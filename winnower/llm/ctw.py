@@ -9,7 +9,7 @@ one that was. The weights are fixed after training, so the score is a product of
 
 Texts are dealt to blocks by hash. Each block lists its distinct words and (DEPTH + 1)-grams once; they are
 counted over all blocks, priced, joined back to the blocks that hold them, and every text of the block is scored
-from the block's list. So the vocabulary and the tree may grow with the corpus; only the nodes of depth at most 2
+from the block's list, which comes first in the block's rows; texts stream past it. So the vocabulary and the tree may grow with the corpus; only the nodes of depth at most 2
 are gathered and broadcast, at most 255 * 65,793 of them.
 
 Defined results: null, empty and blank texts are the end alone; a null id counts as training; repeated rows are
@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import batch_rows, byte_slices, give_back, in_fold, materialize, text_bytes
+from winnower.llm.common import byte_slices, give_back, in_fold, materialize, text_bytes
 
 DEPTH = 5
 SHALLOW = 2
@@ -70,7 +69,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.ones_like(x)
     for k in range(8):
         shift = shift * (x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(shift)
 
 
 def block_probability(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -188,11 +187,11 @@ def added(tables: list[pa.Table], key: str) -> pa.Table:
     return pa.concat_tables(tables).group_by(key, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
-def list_block(table: pa.Table) -> pa.Table:
-    """A block's distinct words and grams with their training counts."""
-    block = table["block"][0].as_py() if table.num_rows else 0
-    words, grams = [], []
-    for batch in (part for b in table.combine_chunks().to_batches() for part in byte_slices(b, limit=SLICE)):
+def list_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's distinct words and grams with their training counts, from its texts as they come."""
+    block, words, grams = 0, [], []
+    for batch in (part for b in batches for part in byte_slices(b, limit=SLICE)):
+        block = batch["block"][0].as_py()
         train = ~batch["held_out"].to_numpy(zero_copy_only=False)
         lists, flat = words_of(batch["text"])
         parent = pc.list_parent_indices(lists).to_numpy()
@@ -206,12 +205,14 @@ def list_block(table: pa.Table) -> pa.Table:
         grams.append(pa.table({"gram": np.concatenate([value, other]), "n": np.concatenate([count, np.zeros(len(other), np.int64)])}))
         if len(grams) == 6:
             words, grams = [added(words, "word")], [added(grams, "gram")]
+    if not grams:
+        return
     word = added(words, "word")
     word = word.filter(pc.not_equal(word["word"], ""))
     gram = added(grams, "gram")
     a, b = word.num_rows, gram.num_rows
     give_back()
-    return pa.table(
+    listed = pa.table(
         {
             "block": pa.array(np.full(a + b, block, np.int32)),
             "word": pa.chunked_array([word["word"].combine_chunks().cast(pa.string()), pa.nulls(b, pa.string())]),
@@ -219,75 +220,108 @@ def list_block(table: pa.Table) -> pa.Table:
             "n": pa.chunked_array([word["n"].combine_chunks(), gram["n"].combine_chunks()]),
         }
     )
+    yield from listed.combine_chunks().to_batches(max_chunksize=500_000)
 
 
-def score_block(docs: pa.Table, listed: pa.Table, train_tokens: int, distinct: int, ends: int) -> pa.Table:
-    names = pc.is_valid(listed["word"])
-    words, counts = listed.filter(names)["word"].combine_chunks(), listed.filter(names)["value"].to_numpy()
-    grams = listed.filter(pc.invert(names))
-    index, prices = pd.Index(grams["gram"].to_numpy()), grams["value"].to_numpy()
-    floor = train_tokens + distinct + 1
-    out = []
-    for batch in (part for b in docs.combine_chunks().to_batches() for part in byte_slices(b, limit=SLICE)):
+WORD, GRAM, TEXT = 0, 1, 2  # kinds of rows of a block, in this order
+
+
+class BlockScorer:
+    """Scores the texts of a block after its words and grams have come."""
+
+    def __init__(self, train_tokens: int, distinct: int, ends: int) -> None:
+        self.train_tokens, self.ends, self.floor = train_tokens, ends, train_tokens + distinct + 1
+        self.words, self.counts, self.grams, self.prices = [], [], [], []
+        self.index = None
+
+    def learn(self, batch: pa.RecordBatch) -> None:
+        names, grams = (batch.filter(pc.equal(batch["kind"], kind)) for kind in (WORD, GRAM))
+        self.words.append(names["s"])
+        self.counts.append(names["v"].to_numpy())
+        self.grams.append(grams["n"].to_numpy())
+        self.prices.append(grams["v"].to_numpy())
+
+    def ready(self) -> None:
+        if self.index is None:
+            self.known = pa.concat_arrays(self.words) if self.words else pa.array([], pa.string())
+            self.count = np.concatenate([*self.counts, np.zeros(0)])
+            grams, prices = np.concatenate([*self.grams, np.zeros(0, np.int64)]), np.concatenate([*self.prices, np.zeros(0)])
+            self.words = self.counts = self.grams = self.prices = None
+            order = np.argsort(grams)
+            self.index, self.price = grams[order], prices[order]
+            give_back()
+
+    def code(self, gram: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.index, gram), max(0, len(self.index) - 1))
+        if len(gram) and not (len(self.index) and (self.index[at] == gram).all()):
+            raise RuntimeError("a text's bytes aren't in its block's list: the documents changed between two readings")
+        return self.price[at]
+
+    def score(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        self.ready()
         n = batch.num_rows
-        lists, flat = words_of(batch["text"])
+        lists, flat = words_of(batch["s"])
         parent = pc.list_parent_indices(lists).to_numpy()
         coded = flat.dictionary_encode()
-        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy()
         blank = at < 0  # the empty word of a text without words
-        count = np.where(blank, 0, counts[np.maximum(at, 0)] if len(counts) else 0)
-        price = np.where(blank, 0.0, np.log10((count + 1) / floor))
+        count = np.where(blank, 0, self.count[np.maximum(at, 0)] if len(self.count) else 0)
+        price = np.where(blank, 0.0, np.log10((count + 1) / self.floor))
         which = coded.indices.to_numpy()
         real = ~blank[which]
         gram, text = grams_of(lists)
-        code = prices[index.get_indexer(gram)] if len(prices) else np.zeros(len(gram))
+        value, where = np.unique(gram, return_inverse=True)
+        score = np.bincount(text, self.code(value)[where], n)
         size = np.bincount(text, minlength=n)
-        score = np.bincount(text, code, n)
-        out.append(
-            pa.table(
-                {
-                    "doc_id": batch["doc_id"],
-                    "held_out": batch["held_out"],
-                    "n_tokens": np.bincount(parent[real], minlength=n) + 1,
-                    "n_known": np.bincount(parent[real & (count > 0)[which]], minlength=n) + int(ends > 0),
-                    "train_tokens": np.full(n, train_tokens, np.int64),
-                    "base_score": np.bincount(parent, price[which], n) + math.log10((ends + 1) / floor),
-                    "score": score,
-                    "bits_per_byte": -score * math.log2(10) / size,
-                }
-            )
+        return pa.RecordBatch.from_arrays(
+            [
+                batch["n"],
+                pc.equal(batch["v"], 1.0),
+                pa.array(np.bincount(parent[real], minlength=n) + 1),
+                pa.array(np.bincount(parent[real & (count > 0)[which]], minlength=n) + int(self.ends > 0)),
+                pa.array(np.full(n, self.train_tokens, np.int64)),
+                pa.array(np.bincount(parent, price[which], n) + math.log10((self.ends + 1) / self.floor)),
+                pa.array(score),
+                pa.array(-score * math.log2(10) / size),
+            ],
+            names=SCORES,
         )
-    give_back()
-    return pa.concat_tables(out) if out else pa.schema(SCORES).empty_table()
 
 
-SCORES = [
-    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()),
-]
+SCORES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
 def score_texts(documents: DataFrame) -> DataFrame:
     """Learns from rows outside the held-out fold (crc32 of the id mod 7 is 2) and scores every text."""
     spark = documents.sparkSession
-    batch_rows(spark, 4000)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", in_fold(F.col("doc_id"), 7, 2))
     size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     blocks = (size or 0) // BLOCK_BYTES + 1
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # rows that are equal in id and text are dealt by where they were read, so that no block has all of them
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(blocks)).cast("int"))
 
-    listed = materialize(dealt.groupBy("block").applyInArrow(list_block, "block int, word string, gram long, n long"), "listed")
+    listed = dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(list_block, "block int, word string, gram long, n long")
+    listed = materialize(listed, "listed")
     words, grams = listed.where("word is not null").select("block", "word", "n"), listed.where("gram is not null").select("block", "gram", "n")
     totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, distinct = tokens + ends, distinct + int(ends > 0)
     prices = materialize(price_grams(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")), "prices")
 
-    none = F.lit(None)
-    back = words.select("block", "word").join(totals, "word").select("block", "word", none.cast("long").alias("gram"), F.col("n").cast("double").alias("value"))
-    single = F.col("price").cast("float").cast("double")  # half the bytes of the digits; a score keeps seven places
-    back = back.union(grams.select("block", "gram").join(prices, "gram").select("block", none.cast("string"), "gram", single))
-    back = materialize(back, "back")
+    back = words.select("block", "word").join(totals, "word").select("block", F.lit(WORD).alias("kind"), F.lit(None).cast("long").alias("n"), F.col("word").alias("s"), F.col("n").cast("double").alias("v"))
+    back = back.union(grams.select("block", "gram").join(prices, "gram").select("block", F.lit(GRAM), "gram", F.lit(None).cast("string"), "price"))
+    rows = materialize(back, "back").union(dealt.select("block", F.lit(TEXT), "doc_id", "text", F.col("held_out").cast("int").cast("double")))
+
+    def score_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = BlockScorer(tokens, distinct, ends)
+        for batch in batches:
+            first = int(np.searchsorted(batch["kind"].to_numpy(), TEXT))
+            if first:
+                scorer.learn(batch.slice(0, first))
+            for part in byte_slices(batch.slice(first), "s", SLICE):
+                yield scorer.score(part)
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: score_block(d, b, tokens, distinct, ends), schema)
+    ordered = rows.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    return ordered.groupBy("block").applyInArrow(score_block, schema)
