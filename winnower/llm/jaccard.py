@@ -8,9 +8,11 @@ must also share prefix tokens under each further order before its sets are inter
 
 A token's list of m classes isn't expanded into all pairs: every class is first paired with the list's head; after
 components of those links are known, only pairs from different components remain, and they are taken as each
-class outside the list's largest component with the rest of the list. A pair is taken at a token only if what
-follows it in both sets could suffice; that holds at the first token that a similar pair shares. So every
-similar pair is either verified or already connected, and components are exact.
+class outside the list's largest component with the rest of the list. A list where that would be many pairs is
+split by the prefix tokens of the next order, and again by those of the one after. A pair is taken at a token only
+if what follows it in both sets could suffice; that holds at the first token that a similar pair shares. So
+every similar pair is either verified or already connected, and components are exact, but for hashes: a shingle is
+52 bits of one, so that one of 10^4 shingles is miscounted in about one of 10^8 texts, and a set's key has 64.
 
 The very frequent tokens come from a sixteenth of the texts, chosen by hash. They decide the order only, never
 the result, as any order gives a complete filter.
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import batch_rows, byte_runs, byte_slices, materialize, mix, run_hashes, text_bytes
+from winnower.llm.common import byte_runs, byte_slices, carried, materialize, mix, restored, run_hashes, text_bytes
 from winnower.llm.components import connected_components
 
 TOKEN_BITS = 52
@@ -161,9 +163,14 @@ def frequent_tokens(texts: DataFrame, rule: Rule) -> np.ndarray:
 
 def similar_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return grouped(documents, rule).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, whole (hash of the text), n_shingles, component_id and component (a class; null without shingles) of every row."""
     spark = documents.sparkSession
-    batch_rows(spark, 4000)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("whole"), text.alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, rule))  # at most MOST_FREQUENT tokens
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +179,10 @@ def similar_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 sets = token_sets(batch["text"], rule.words)
                 early, rest = index_tokens(sets, rule, frequent.value)
                 prefix = np.where(sets.size > 0, rule.prefix(sets.size), 0)
-                columns = [batch["doc_id"], pa.array(sets.size), pa.array(prefix), pa.array(sets.keys()), nested(*early), nested(*rest)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "prefix", "class", "early", "rest"])
+                columns = [batch["doc_id"], batch["whole"], pa.array(sets.size), pa.array(prefix), pa.array(sets.keys()), nested(*early), nested(*rest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "n_shingles", "prefix", "class", "early", "rest"])
 
-    schema = "doc_id long, n_shingles long, prefix long, class long, early array<long>, rest array<long>"
+    schema = "doc_id long, whole long, n_shingles long, prefix long, class long, early array<long>, rest array<long>"
     rows = materialize(texts.mapInArrow(sized, schema), "sets")
     sizes = (F.min("n_shingles").alias("n"), F.min("prefix").alias("prefix"), F.min(F.size("early")).alias("early"))
     classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), *sizes), "classes")
@@ -204,7 +211,8 @@ def similar_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     pairs = twos.union(heads).distinct()
     pairs = materialize(pairs, "pairs")
 
-    involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    # those that stand in a longer list too, as they may be paired with others than its head
+    involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("self.class")).distinct()
     wanted = classes.join(involved, "class", "left_semi").select("least").distinct().hint("merge")  # grows with the corpus, so it isn't broadcast
     others = range(1, rule.orders)
 
@@ -233,24 +241,56 @@ def similar_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     first = materialize(linked(pairs), "links")
     known = connected_components(first)
-    named = members.join(known, F.col("self.class") == F.col("node"), "left").select("token", "self", F.coalesce("component", "self.class").alias("component"))
-    named = materialize(named, "named")
-    main = named.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
-    outside = named.join(main.where("parts > 1"), "token").where("component <> main").select("token", F.col("self").alias("other"), F.col("component").alias("own"))
-    fits = (F.col("own") != F.col("component")) & rule.may_link(F.col("self"), F.col("other"))
-    rest = outside.join(named, "token").where(fits).select(F.least("self.class", "other.class").alias("a"), F.greatest("self.class", "other.class").alias("b")).distinct()
+    named = members.join(known, F.col("self.class") == F.col("node"), "left").select(F.col("token").alias("key"), "self", F.coalesce("component", "self.class").alias("component"))
+    rest = apart(named, details, rule, 1)
     second = linked(rest.join(pairs, ["a", "b"], "left_anti"))
     parts = connected_components(first.union(second))
 
     least = classes.join(parts, F.col("class") == F.col("node")).groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = parts.join(least, "component").select(F.col("node"), "component_id")
-    answer = materialize(classes.join(joined, F.col("class") == F.col("node"), "left").select(F.col("class").alias("of"), F.coalesce("component_id", "least").alias("component_id")), "answer")
-    return rows.join(answer, (F.col("class") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = parts.join(least, "component").select("node", "component", "component_id")
+    named = classes.join(joined, F.col("class") == F.col("node"), "left")
+    answer = materialize(named.select(F.col("class").alias("of"), F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "answer")
+    full = F.col("n_shingles") > 0
+    return rows.join(answer, (F.col("class") == F.col("of")) & full, "left").select("doc_id", "whole", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+
+
+def apart(lists: DataFrame, details: DataFrame, rule: Rule, order: int) -> DataFrame:
+    """Pairs a, b of classes of different components that stand in one list (key, self, component) and may link.
+
+    They are taken as each class outside the list's largest component with the rest. A list where that is more than its
+    classes have prefix tokens under the next order is split by those tokens first, as a pair must share one.
+    """
+    n = F.col("self.n").cast("long")
+    prefix = n - F.ceil(n * rule.numerator / rule.denominator) + 1
+    parts = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(prefix).alias("tokens")).groupBy("key")
+    spread = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("many"), F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    long = (F.col("many") * (F.col("many") - F.col("most")) > F.col("tokens")) & F.lit(order < rule.orders)
+    spread = materialize(spread.where("parts > 1").select(F.col("key").alias("of"), "main", long.alias("long")), "spread")
+    mixed = materialize(lists.join(spread, F.col("key") == F.col("of")).drop("of"), "mixed")
+    short = mixed.where(~F.col("long"))
+    outside = short.where("component <> main").select("key", F.col("self").alias("other"), F.col("component").alias("own"))
+    fits = (F.col("own") != F.col("component")) & rule.may_link(F.col("self"), F.col("other"))
+    found = outside.join(short, "key").where(fits).select(F.least("self.class", "other.class").alias("a"), F.greatest("self.class", "other.class").alias("b"))
+    split = mixed.where("long")
+    if not split.isEmpty():
+        tokens = details.select(F.col("class").alias("of"), F.explode(f"p{order}").alias("t"))
+        finer = split.join(tokens, F.col("self.class") == F.col("of")).select(F.xxhash64("key", "t").alias("key"), "self", "component")
+        found = found.union(apart(finer, details, rule, order + 1))
+    return materialize(found.distinct(), "apart")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, numerator=80)) -> DataFrame:
-    """The pipeline's stage: the row with the smallest id of each component, once if it is repeated."""
-    found = similar_components(docs, rule)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """The pipeline's stage: of each component the row with the smallest id (a null one last), then text hash; once if it is repeated.
+
+    Texts without a shingle stay, each once for its id.
+    """
+    found = grouped(docs, rule)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "whole")
+    chosen = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(key).alias("key")).select("key.*")
+    keep = materialize(chosen.union(found.where(F.col("component").isNull()).select(key.alias("key")).select("key.*").distinct()), "kept")
+    rows = carried(docs, "doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = rows.withColumns({"_no_id": F.col("doc_id").isNull(), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_whole": F.xxhash64(text)})
+    same = (F.col("_no_id") == F.col("no_id")) & (F.col("_key") == F.col("id")) & (F.col("_whole") == F.col("whole"))
+    once = keyed.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["_no_id", "_key", "_whole"])
+    return restored(once, docs, ("doc_id", "text"), {})
