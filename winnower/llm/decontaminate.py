@@ -1,10 +1,10 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard is a slice of a partition of at most 8 MB of text, whole documents. Its words are numbered by the words of
-the benchmark; maximal runs of such words, at least as long as the shortest window, are indexed (no
-occurrence can lie outside them). Every window of the benchmark is looked up by backward search through
-wavelet-tree ranks, occurrences are located by sampled suffix positions, and their word spans are merged.
-The benchmark is taken in blocks of bounded size, one after another over the same rows.
+A shard is a slice of a partition of at most 8 MB of text, whole documents. Maximal runs of words that the benchmark
+has, at least as long as the shortest window, are indexed (no occurrence can lie outside them), once for a
+shard. The benchmark is taken in blocks of bounded size, which pass by the shard's index one after another: every
+window is looked up by backward search through wavelet-tree ranks, occurrences are located by sampled suffix
+positions, and their word spans are merged.
 
 Words are compared by a 64-bit hash. Defined results: null and empty texts have no words; an item without
 words has no window; equal items and repeated item ids count once by id; a null item id counts as the text
@@ -19,10 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from winnower.llm.common import batch_rows, byte_runs, byte_slices, run_hashes, text_bytes
+from winnower.llm.common import byte_runs, byte_slices, carried, restored, run_hashes, text_bytes
 from winnower.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -50,7 +52,6 @@ class Phrases:
     def __init__(self, ids: list[str], texts: pa.Array) -> None:
         _, _, _, _, text, hashes = hashed_words(texts)
         self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        number = number + SEPARATOR + 1
         count = np.bincount(text, minlength=len(ids))
         begin = np.cumsum(count) - count
         self.ids, self.windows = np.array(ids, object), {}
@@ -59,35 +60,18 @@ class Phrases:
             many = count[items] - length + 1
             owner = np.repeat(items, many)
             at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-            rows, which = np.unique(number[at[:, None] + np.arange(length)], axis=0, return_inverse=True)
+            rows, which = np.unique(number[at[:, None] + np.arange(length)].astype(np.int32), axis=0, return_inverse=True)
             pair = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
             self.windows[length] = (rows, np.searchsorted(pair[:, 0], np.arange(len(rows) + 1)), pair[:, 1])
 
-    def occurrences(self, text: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """length, first words and windows of all occurrences in words of several texts."""
-        if not self.windows or not len(hashes):
-            return
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
-        breaks = np.r_[True, (known[1:] != known[:-1]) | (text[1:] != text[:-1])]
-        run = np.flatnonzero(breaks)
-        size = np.diff(np.r_[run, len(hashes)])
-        good = known[run] & (size >= min(self.windows))
-        if not good.any():
-            return
-        run, size = run[good], size[good]
-        word = np.repeat(run - np.cumsum(size + 1) + size + 1, size + 1) + np.arange(int((size + 1).sum()))
-        closing = np.cumsum(size + 1) - 1
-        symbols = at[np.minimum(word, len(at) - 1)] + SEPARATOR + 1
-        symbols[closing] = SEPARATOR
-        index = FMIndex(symbols)
+    def found_in(self, shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """length, first words and windows of all occurrences in a shard."""
+        local = shard.numbers(self.vocabulary)
         for length, (rows, _, _) in self.windows.items():
-            first, end = index.search(rows)
-            many = end - first
-            which = np.repeat(np.arange(len(rows)), many)
-            found = np.repeat(first, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            if len(found):
-                yield length, word[index.locate(found)], which
+            there = np.flatnonzero((local[rows] >= 0).all(1))
+            first, which = shard.locate(local[rows[there]])
+            if len(first):
+                yield length, first, there[which]
 
     def items_of(self, length: int, doc: np.ndarray, window: np.ndarray) -> np.ndarray:
         """Pairs of text and item for pairs of text and window."""
@@ -98,68 +82,105 @@ class Phrases:
         return np.stack([np.repeat(pair[:, 0], many), items[at]], 1)
 
 
-def search_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """Adds the occurrences of a block of items to the state columns of docs (with text)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), STATE])
-    names = [f.name for f in kept]
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)  # of at most BLOCK_BYTES of text
+class Shard:
+    """The FM-index of a shard's runs of known words."""
+
+    def __init__(self, text: np.ndarray, hashes: np.ndarray, known: np.ndarray, least: int) -> None:
+        breaks = np.r_[True, (known[1:] != known[:-1]) | (text[1:] != text[:-1])] if len(text) else np.zeros(0, bool)
+        run = np.flatnonzero(breaks)
+        size = np.diff(np.r_[run, len(hashes)])
+        good = known[run] & (size >= least)
+        run, size = run[good], size[good]
+        # each run with one place more, which the separator takes
+        self.word = np.repeat(run - np.cumsum(size + 1) + size + 1, size + 1) + np.arange(int((size + 1).sum()))
+        closing = np.zeros(len(self.word), bool)
+        closing[np.cumsum(size + 1) - 1] = True
+        self.vocabulary, number = np.unique(hashes[self.word[~closing]], return_inverse=True)
+        symbols = np.full(len(self.word), SEPARATOR)
+        symbols[~closing] = number + SEPARATOR + 1
+        self.index = FMIndex(symbols) if len(symbols) else None
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """This shard's numbers of words; -1 for those that it lacks."""
+        if self.index is None:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def locate(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all occurrences of rows of numbers, and the row of each."""
+        if not len(rows):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, end = self.index.search(rows + SEPARATOR + 1)
+        many = end - first
+        which = np.repeat(np.arange(len(rows)), many)
+        found = np.repeat(first, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        return (self.word[self.index.locate(found)] if len(found) else found), which
+
+
+def each_value(shared: list[Broadcast]) -> Iterator:
+    """The blocks one after another; a worker keeps one at a time."""
+    for block in shared:
+        yield block.value
+        if len(shared) > 1:
+            vars(block).pop("_value", None)
+
+
+def merged_spans(hit: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
+    """The runs of hit words of each text, as words of the text and as code points."""
+    spans: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
+    if hit.any():
+        edge = hit & np.r_[True, ~hit[:-1] | (text[1:] != text[:-1])]
+        close = hit & np.r_[~hit[1:] | (text[1:] != text[:-1]), True]
+        base, before = np.searchsorted(text, np.arange(len(offsets))), np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        for a, b in zip(np.flatnonzero(edge).tolist(), np.flatnonzero(close).tolist(), strict=True):
+            i = int(text[a])
+            zero = before[offsets[i]]
+            spans[i].append({"first": a - int(base[i]), "last": b - int(base[i]), "start": int(before[starts[a]] - zero), "end": int(before[ends[b]] - zero)})
+    return spans
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """The columns of docs (text among them), with n_words, spans (words and code points, merged) and items, which must be free names."""
+    tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = total // (block_bytes or BLOCK_BYTES) + 1
+    shared, vocabularies, least = [], [], WINDOW
+    for block in range(blocks):
+        got = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)).toArrow()
+        phrases = Phrases(got["item_id"].to_pylist(), got["text"])
+        least = min([least, *phrases.windows])
+        shared.append(docs.sparkSession.sparkContext.broadcast(phrases))  # of about block_bytes of text
+        vocabularies.append(docs.sparkSession.sparkContext.broadcast(phrases.vocabulary))
+    names = docs.columns
     span = pa.list_(pa.struct([(x, pa.int32()) for x in ("first", "last", "start", "end")]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
         for whole in batches:
             for batch in byte_slices(whole):
-                yield answer(batch, phrases)
+                yield answer(batch)
 
-    def answer(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+    def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         data, offsets, starts, ends, text, hashes = hashed_words(batch["text"])
-        base = np.searchsorted(text, np.arange(n + 1))
+        known = np.zeros(len(hashes), bool)
+        for vocabulary in each_value(vocabularies):
+            if len(vocabulary):
+                known |= vocabulary[np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)] == hashes
+        shard = Shard(text, hashes, known, least)
         change = np.zeros(len(starts) + 1, np.int64)
-        spans, items = batch["spans"].to_pylist(), batch["items"].to_pylist()
-        for i, old in enumerate(spans):
-            for s in old:
-                change[base[i] + s["first"]] += 1
-                change[base[i] + s["last"] + 1] -= 1
-        fresh = []
-        for length, first, window in phrases.occurrences(text, hashes):
-            np.add.at(change, first, 1)
-            np.add.at(change, first + length, -1)
-            fresh.append(phrases.items_of(length, text[first], window))
-        hit = np.cumsum(change)[:-1] > 0
-        touched = set(np.unique(text[hit]).tolist())
-        if touched:
-            edge = hit & np.r_[True, ~hit[:-1] | (text[1:] != text[:-1])]
-            close = hit & np.r_[~hit[1:] | (text[1:] != text[:-1]), True]
-            before = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-            for i in touched:
-                spans[i] = []
-            for a, b in zip(np.flatnonzero(edge).tolist(), np.flatnonzero(close).tolist(), strict=True):
-                i, zero = int(text[a]), before[offsets[text[a]]]
-                spans[i].append({"first": a - int(base[i]), "last": b - int(base[i]), "start": int(before[starts[a]] - zero), "end": int(before[ends[b]] - zero)})
-        for pairs in fresh:
-            for i, item in pairs.tolist():
-                items[i] = [*items[i], phrases.ids[item]]
-        items = [sorted(set(x)) for x in items]
-        return pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array(np.diff(base)), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
-
-    return docs.mapInArrow(search, schema)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The columns of docs (text among them), with n_words, spans (words and code points, merged) and items."""
-    batch_rows(docs.sparkSession, 4000)
-    tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // BLOCK_BYTES + 1
-    found = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans", "items")))
-    found = found.withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.array().cast("array<struct<first:int,last:int,start:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
-    for block in range(blocks):
-        part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        got = part.toArrow()
-        found = search_block(found, Phrases(got["item_id"].to_pylist(), got["text"]))
-    return found
+        items: list[set] = [set() for _ in range(n)]
+        for phrases in each_value(shared) if shard.index is not None else ():
+            for length, first, window in phrases.found_in(shard):
+                np.add.at(change, first, 1)
+                np.add.at(change, first + length, -1)
+                for i, item in phrases.items_of(length, text[first], window).tolist():
+                    items[i].add(phrases.ids[item])
+        spans = merged_spans(np.cumsum(change)[:-1] > 0, text, starts, ends, data, offsets)
+        count = pa.array(np.bincount(text, minlength=n), pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, count, pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
+
+    return docs.mapInArrow(search, StructType([*docs.schema.fields, *StructType.fromDDL(STATE).fields]))
 
 
 def n_hit(spans: Column) -> Column:
@@ -194,13 +215,6 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: every row, with the merged spans cut out of its text; n_chars follows the text."""
-    cut = find_contamination(docs, benchmark).withColumn("_cut", without_spans(F.col("text"), F.col("spans")))
-    columns = []
-    for f in docs.schema.fields:
-        if f.name == "text":
-            columns.append(F.col("_cut").alias("text"))
-        elif f.name == "n_chars":
-            columns.append(F.when(F.size("spans") > 0, F.length("_cut")).otherwise(F.col("n_chars")).cast(f.dataType).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{f.name}`"))
-    return cut.select(*columns)
+    cut = find_contamination(carried(docs, "text"), benchmark).withColumn("_cut", without_spans(F.col("text"), F.col("spans")))
+    changed = {"text": lambda _: F.col("_cut"), "n_chars": lambda old: F.when(F.size("spans") > 0, F.length("_cut")).otherwise(old)}
+    return restored(cut, docs, ("text",), changed)
