@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+REST = "_rest"
+SLICE_ROWS = 4000
+
 _local_base: str | None = None
 
 
@@ -22,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (tests)."""
+    """The shared folder of the cluster; where the session names none, a temporary one on a single machine only."""
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if _local_base is None:
         _local_base = "file://" + tempfile.mkdtemp(prefix="winnower-")
     return _local_base
@@ -38,23 +44,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of a step go once its table is written.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{scratch_dir(spark)}/winnower/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others as one struct REST, so that no name of theirs meets one of an operator's own."""
+    others = [c for c in docs.columns if c.lower() not in used]
+    rest = F.struct(*(F.col(quoted(c)) for c in others)) if others else F.lit(None).cast("string")
+    return docs.select(*(F.col(c).alias(c) for c in used), rest.alias(REST))
+
+
+def restored(df: DataFrame, docs: DataFrame, used: Sequence[str], changed: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The columns of docs in their order and with their types; changed makes new values from old ones, by lower-case name."""
+    columns = []
+    for f in docs.schema.fields:
+        old = F.col(f.name.lower() if f.name.lower() in used else f"{REST}.{quoted(f.name)}")
+        new = changed.get(f.name.lower())
+        columns.append((old if new is None else new(old).cast(f.dataType)).alias(f.name))
+    return df.select(*columns)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod modulus is remainder; false for a null id."""
     crc = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
     return F.coalesce(crc % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, so that very long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts on end, and their offsets (one more than texts). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -116,7 +142,7 @@ def group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of at most limit bytes of text, or one row; bounds what numpy holds at once."""
+    """The rows of a batch in slices of at most limit bytes of text and SLICE_ROWS rows, or one row; bounds what numpy holds at once."""
     if batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
@@ -125,7 +151,7 @@ def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, total = 0, 0
     for i, n in enumerate(size.tolist()):
-        if i > first and total + n > limit:
+        if i > first and (total + n > limit or i - first == SLICE_ROWS):
             yield batch.slice(first, i - first)
             first, total = i, 0
         total += n

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.llm import crf
-from winnower.llm.common import batch_rows, byte_slices, in_fold, text_bytes
+from winnower.llm.common import byte_slices, in_fold, text_bytes
 
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 300  # bound of the sample that the model is fitted on
@@ -120,7 +120,6 @@ def identify_languages(docs: DataFrame, model: crf.Chain | None) -> DataFrame:
 
 def language_id(documents: DataFrame) -> DataFrame:
     """Learns from the rows outside the held-out fold (crc32 of the id mod 4 is 2) and answers for all."""
-    batch_rows(documents.sparkSession, 4000)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.withColumn("held_out", in_fold(F.col("doc_id"), 4, 2))
     model = fit_languages(docs.where(~F.col("held_out")).select("text", "lang"))

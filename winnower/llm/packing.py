@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnower.llm.common import batch_rows, byte_slices, materialize, text_bytes
+from winnower.llm.common import byte_slices, materialize, text_bytes
 
 CAPACITY = 2048
 END_ID = 1
@@ -194,7 +194,6 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    batch_rows(documents.sparkSession, 4000)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, schema)
 

@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from winnower.llm import crf
-from winnower.llm.common import batch_rows, byte_slices, in_fold, text_bytes
+from winnower.llm.common import byte_slices, carried, in_fold, restored, text_bytes
 from winnower.llm.langid import sample, share_of
 
 ROWS_PER_LABEL = 1200  # bound of the sample that the model is fitted on
@@ -110,11 +111,10 @@ def character_offsets(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, tex
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """All columns of docs (text among them), with score, predicted and spans (code points, end exclusive, marginal)."""
-    extra = "score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>"
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), extra])
+    """All columns of docs (text among them), with score, predicted and spans (code points, end exclusive, marginal), which must be free names."""
+    extra = StructType.fromDDL("score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    schema = StructType([*docs.schema.fields, *extra.fields])
+    kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -149,7 +149,6 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, rows: int = 2 * ROWS
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending spans of every document."""
-    batch_rows(documents.sparkSession, 4000)
     model = fit_toxicity(labelled_texts(documents, labels))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score_toxicity(docs.withColumn("held_out", in_fold(F.col("doc_id"), 5, 0)), model)
@@ -158,7 +157,5 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The pipeline's stage: rows that score below the threshold, with all their columns."""
-    batch_rows(docs.sparkSession, 4000)
-    columns = docs.columns
-    scored = score_toxicity(docs, fit_toxicity(labelled_texts(docs, labels)))
-    return scored.where(F.col("score") < threshold).select(*(F.col(f"`{c}`") for c in columns))
+    scored = score_toxicity(carried(docs, "text"), fit_toxicity(labelled_texts(docs, labels)))
+    return restored(scored.where(F.col("score") < threshold), docs, ("text",), {})
