@@ -4,7 +4,7 @@ Equal vectors are one node. Each shard's graph starts at random and is improved
 from the most central node proposes neighbours for each node, and relaxed pruning keeps a proposal only if no
 kept neighbour is closer to it than the node is, by the factor alpha; kept edges are also proposed in the
 other direction. A query is answered by beam search in every shard, and the shards' answers are merged.
-Queries are taken in blocks of bounded size, each over all shards.
+Queries are packed in blocks of bounded size, and each block meets each shard: rows of a plain join by shard.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do
 rows with a null id; only vectors of the query's own length are its candidates; rows that repeat id and vector
@@ -14,6 +14,7 @@ and embedding are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from winnower.llm.common import materialize
 
-SHARD_ROWS = 4096
-QUERY_BLOCK = 8192
+LEAST_ROWS = 4096
+SHARD_BYTES = 64 << 20
+QUERY_BLOCK = 1024
 DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
@@ -34,8 +36,12 @@ BATCH = 512
 
 def distances(points: np.ndarray, ids: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Squared distances of rows of ids (-1: none) to each query."""
-    gap = points[ids] - query[:, None]
-    return np.where(ids >= 0, np.einsum("bkd,bkd->bk", gap, gap), np.inf)
+    out = np.full(ids.shape, np.inf, query.dtype)
+    row, column = np.nonzero(ids >= 0)
+    gap = points[ids[row, column]]
+    gap -= query[row]
+    out[row, column] = np.einsum("nd,nd->n", gap, gap)
+    return out
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, start: int, query: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -91,29 +97,50 @@ def prune(points: np.ndarray, nodes: np.ndarray, proposed: np.ndarray, alpha: fl
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Neighbours of each point (-1: none) and the node where searches start."""
-    n, draw = len(points), np.random.default_rng(seed)
+    """Neighbours of each point (-1: none) and the node where searches start.
+
+    A node takes edges in the other direction until its list is half as long again; then it is pruned to degree.
+    """
+    n, draw, room = len(points), np.random.default_rng(seed), degree + degree // 2
     start = int(((points - points.mean(0)) ** 2).sum(1).argmin())
-    graph = np.full((n, degree), -1)
+    graph = np.full((n, room), -1)
     if n > 1:
         some = min(degree // 2, n - 1)
         graph[:, :some] = (np.arange(n)[:, None] + draw.integers(1, n, (n, some))) % n
+
+    def put(nodes: np.ndarray, proposed: np.ndarray, relaxed: float) -> None:
+        graph[nodes, degree:] = -1
+        graph[nodes, :degree] = prune(points, nodes, proposed, relaxed, degree)
+
     for relaxed in (1.0, alpha):
         order = draw.permutation(n)
         for i in range(0, n, BATCH):
             nodes = order[i : i + BATCH]
             found, _ = beam_search(points, graph, start, points[nodes], beam)
-            graph[nodes] = prune(points, nodes, np.concatenate([found, graph[nodes]], 1), relaxed, degree)
-            source, target = np.repeat(nodes, degree), graph[nodes].ravel()
-            source, target = source[target >= 0], target[target >= 0]
+            put(nodes, np.concatenate([found, graph[nodes]], 1), relaxed)
+            source, target = np.repeat(nodes, degree), graph[nodes, :degree].ravel()
+            fresh = target >= 0
+            fresh[fresh] = ~(graph[target[fresh]] == source[fresh][:, None]).any(1)
+            source, target = source[fresh], target[fresh]
             order_in = np.argsort(target, kind="stable")
             source, target = source[order_in], target[order_in]
             ends, begin, many = np.unique(target, return_index=True, return_counts=True)
-            for j in range(0, int(many.max()) if len(many) else 0, degree):  # a block of proposals at a time
-                more = many > j
+            graph[ends] = np.take_along_axis(graph[ends], np.argsort(graph[ends] < 0, axis=1, kind="stable"), 1)  # free places last
+            have = (graph[ends] >= 0).sum(1)
+            fits = have + many <= room
+            which = np.repeat(np.arange(len(ends)), many)
+            place = (have - begin)[which] + np.arange(len(target))
+            add = fits[which]
+            graph[target[add], place[add]] = source[add]
+            for j in range(0, int(many[~fits].max()) if not fits.all() else 0, degree):  # a block of proposals at a time
+                more = ~fits & (many > j)
                 take = begin[more, None] + j + np.arange(degree)
                 extra = np.where(np.arange(degree) < (many[more] - j)[:, None], source[np.minimum(take, len(source) - 1)], -1)
-                graph[ends[more]] = prune(points, ends[more], np.concatenate([graph[ends[more]], extra], 1), relaxed, degree)
+                put(ends[more], np.concatenate([graph[ends[more]], extra], 1), relaxed)
+    for i in range(0, n, BATCH):
+        full = i + np.flatnonzero((graph[i : i + BATCH] >= 0).sum(1) > degree)
+        put(full, graph[full], alpha)
+    graph = np.take_along_axis(graph, np.argsort(graph < 0, axis=1, kind="stable"), 1)[:, :degree]
     return connect(points, graph, start, beam), start
 
 
@@ -152,14 +179,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
 
 
-def build_index(vectors: DataFrame, neighbours: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each shard: its vectors, their ids (the smallest neighbours + 1 of each vector) and its graph."""
+def shard_rows(rows: int, width: int) -> int:
+    """Shards grow with the square root of the table, so that queries meet fewer of them, within what a worker can hold."""
+    return min(max(LEAST_ROWS, 8 * math.isqrt(rows)), max(LEAST_ROWS // 4, SHARD_BYTES // (8 * width)))
+
+
+def build_index(vectors: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each shard: its vectors, their ids (the smallest neighbours + 1 of each vector) and its graph. And, by length of vectors, the shards."""
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     least = vectors.distinct().withColumn("_n", nth).where(F.col("_n") <= neighbours + 1)
     nodes = materialize(least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("width", F.size("embedding")), "nodes")
-    shards = nodes.groupBy("width").count().select(F.col("width").alias("_width"), F.ceil(F.col("count") / shard_rows).alias("_shards"))
-    dealt = nodes.join(F.broadcast(shards), F.col("width") == F.col("_width"))  # a row for each length of vectors
-    dealt = dealt.select("width", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("_shards")).cast("int").alias("shard"), "embedding", "ids")
+    numbered, total = [], 0
+    for width, rows in sorted(tuple(r) for r in nodes.groupBy("width").count().collect()):  # a row for each length of vectors
+        count = -(-rows // shard_rows(rows, width))
+        numbered.append((width, total, count))
+        total += count
+    shards = vectors.sparkSession.createDataFrame(numbered, "width int, first int, count int")
+    dealt = nodes.join(F.broadcast(shards), "width")
+    dealt = dealt.select("width", (F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0]), F.col("count"))).cast("int").alias("shard"), "embedding", "ids")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda s: s.str[0])
@@ -168,57 +205,62 @@ def build_index(vectors: DataFrame, neighbours: int, shard_rows: int = SHARD_ROW
         many = part["ids"].str.len().to_numpy(np.int32)
         return pd.DataFrame(
             {
-                "width": [points.shape[1]], "start": [start], "points": [points.tobytes()], "graph": [graph.astype(np.int32).tobytes()],
+                "shard": [part["shard"].iloc[0]], "width": [points.shape[1]], "start": [start], "points": [points.tobytes()], "graph": [graph.astype(np.int32).tobytes()],
                 "many": [many.tobytes()], "ids": [np.concatenate(part["ids"].to_list()).astype(np.int64).tobytes()],
             }
         )
 
-    return materialize(dealt.groupBy("width", "shard").applyInPandas(build, "width int, start int, points binary, graph binary, many binary, ids binary"), "graph")
+    schema = "shard int, width int, start int, points binary, graph binary, many binary, ids binary"
+    return materialize(dealt.repartitionById(max(1, total), "shard").groupBy("shard").applyInPandas(build, schema), "graph"), shards
 
 
-def search_block(index: DataFrame, ids: np.ndarray, vectors: np.ndarray, neighbours: int, beam: int) -> DataFrame:
-    """The nearest in each task's shards of a block of queries of one length."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, vectors))  # at most QUERY_BLOCK vectors
+def in_blocks(queries: DataFrame, shards: DataFrame) -> DataFrame:
+    """Queries (vec_id, embedding, width) as a row for each block of them and shard of their length."""
+    blocks = queries.groupBy("width").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    dealt = queries.join(F.broadcast(blocks), "width").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
-        best = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        for frame in frames:
-            for row in frame.itertuples():
-                points = np.frombuffer(row.points).reshape(-1, row.width)
-                rough = points.astype(np.float32)
-                graph = np.frombuffer(row.graph, np.int32).reshape(len(points), -1)
-                many, members = np.frombuffer(row.many, np.int32), np.frombuffer(row.ids, np.int64)
-                begin = np.cumsum(many) - many
-                for i in range(0, len(queries), BATCH):
-                    found, _ = beam_search(rough, graph, row.start, queries[i : i + BATCH].astype(np.float32), min(beam, max(neighbours + 1, len(points))))
-                    found = found[:, : 2 * neighbours + 1]  # single precision only ranks the beam
-                    q, k = np.nonzero(found >= 0)
-                    node = found[q, k]
-                    gap = points[node] - queries[i + q]
-                    score = np.sqrt((gap * gap).sum(1))
-                    count = many[node]
-                    at = np.repeat(begin[node] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                    got = pd.DataFrame({"query_id": np.repeat(query_ids[i + q], count), "vec_id": members[at], "score": np.repeat(score, count)})
-                    best = pd.concat([best, got[got["query_id"] != got["vec_id"]]])
-                best = best.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(neighbours)
-        yield best
-
-    return index.where(F.col("width") == vectors.shape[1]).mapInPandas(search, "query_id long, vec_id long, score double")
+    def put_together(part: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_list()).astype(np.float64)
+        return pd.DataFrame({"width": [vectors.shape[1]], "query_ids": [ids.tobytes()], "queries": [vectors.tobytes()]})
+
+    packed = materialize(dealt.groupBy("width", "block").applyInPandas(put_together, "width int, query_ids binary, queries binary"), "queries")
+    return packed.join(F.broadcast(shards), "width").select(F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("shard"), "query_ids", "queries")
+
+
+def search_shard(row: tuple, neighbours: int, beam: int) -> pd.DataFrame:
+    """The nearest of a block of queries in one shard: query_id, vec_id, score."""
+    points = np.frombuffer(row.points).reshape(-1, row.width)
+    rough = points.astype(np.float32)
+    graph = np.frombuffer(row.graph, np.int32).reshape(len(points), -1)
+    many, members = np.frombuffer(row.many, np.int32), np.frombuffer(row.ids, np.int64)
+    query_ids, queries = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.queries).reshape(-1, row.width)
+    begin, best = np.cumsum(many) - many, []
+    for i in range(0, len(queries), BATCH):
+        found, _ = beam_search(rough, graph, row.start, queries[i : i + BATCH].astype(np.float32), min(beam, max(neighbours + 1, len(points))))
+        found = found[:, : 2 * neighbours + 1]  # single precision only ranks the beam
+        q, k = np.nonzero(found >= 0)
+        node = found[q, k]
+        gap = points[node] - queries[i + q]
+        score = np.sqrt((gap * gap).sum(1))
+        count = many[node]
+        at = np.repeat(begin[node] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        got = pd.DataFrame({"query_id": np.repeat(query_ids[i + q], count), "vec_id": members[at], "score": np.repeat(score, count)})
+        got = got[got["query_id"] != got["vec_id"]]
+        best.append(got.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(neighbours))
+    return pd.concat(best)
 
 
 def nearest(embeddings: DataFrame, every: int = 100, neighbours: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the nearest found for each id divisible by every."""
     vectors = usable(embeddings)
-    index = build_index(vectors, neighbours)
+    index, shards = build_index(vectors, neighbours)
     queries = vectors.where(F.col("vec_id") % every == 0).distinct().withColumn("width", F.size("embedding"))
-    sizes = queries.groupBy("width").count().collect()  # a row for each length of vectors
-    answers = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    for width, count in sorted(tuple(r) for r in sizes):
-        blocks = -(-count // (QUERY_BLOCK // 2)) if count > QUERY_BLOCK else 1
-        for block in range(blocks):
-            part = queries.where(F.col("width") == width).where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "embedding").toPandas()
-            if len(part):
-                answers = answers.union(search_block(index, part["vec_id"].to_numpy(np.int64), np.stack(part["embedding"].to_list()), neighbours, beam))
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                yield search_shard(row, neighbours, beam)
+
+    answers = index.join(in_blocks(queries, shards), "shard").mapInPandas(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return answers.withColumn("rank", place).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
