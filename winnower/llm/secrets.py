@@ -16,6 +16,7 @@ columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ HEX = r"[0-9a-f]{24,}"  # runs are maximal, so this equals matching runs and dro
 ASSIGN_LEAST = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+CELLS = 7  # of twelve counts: the characters from + to z are 80
+PIECE = 256
 THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.9}
 ALLOWED = (
     r"^[A-Za-z_/=+-]+$",  # no digit: words, paths, rulers
@@ -37,18 +40,46 @@ SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(counts: Column) -> Column:
+    """For each of an array of integers the sum of those before it. Taken in pieces, as a fold copies what it has gathered."""
+
+    def running(values: Column, zero: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def piece(i: Column) -> Column:
+        return F.slice(counts, i * PIECE + 1, F.lit(PIECE))
+
+    pieces = F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / PIECE).cast("int"))
+    totals = F.transform(pieces, lambda i: F.aggregate(piece(i), F.lit(0), lambda a, x: a + x))
+    heads = let(totals, lambda t: running(t, F.lit(0)))
+    return F.when(F.size(counts) == 0, F.array().cast("array<int>")).otherwise(let(heads, lambda h: F.flatten(F.transform(pieces, lambda i: running(piece(i), F.get(h, i))))))
+
+
 def matches(text: Column, pattern: str, tested: Column) -> Column:
     """All matches as structs of start, end, whole match and tested (an array of a value for each match)."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), tested.alias("t"))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.length(gaps[0]).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int,m:string,t:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["m"])
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), x["m"].alias("m"), x["t"].alias("t"))
-        return F.struct((end + F.length(F.get(gaps, acc["i"] + 1))).alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(x: Column) -> Column:
+        first = F.length(x["gaps"][0])
+        sizes = F.transform(x["found"], lambda m, i: F.length(m) + F.length(F.get(x["gaps"], i + 1)))
+        starts = let(sizes, sums_before)
+
+        def one(at: Column) -> Column:
+            return F.transform(
+                x["found"],
+                lambda m, i: F.struct((first + F.get(at, i)).alias("start"), (first + F.get(at, i) + F.length(m)).alias("end"), m.alias("m"), F.get(x["tested"], i).alias("t")),
+            )
 
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,m:string,t:string>>"))
+        return let(starts, one)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"), tested.alias("tested"))
+    none = F.array().cast("array<struct<start:int,end:int,m:string,t:string>>")
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(none)
 
 
 def spans(found: Column, kind: str) -> Column:
@@ -56,22 +87,35 @@ def spans(found: Column, kind: str) -> Column:
 
 
 def peak_entropy(string: Column, window: int = WINDOW) -> Column:
-    """The highest entropy, in bits a character, over all windows of an ASCII string of at least window characters."""
-    codes = F.transform(F.split(string, ""), lambda c: F.ascii(c))
+    """The highest entropy, in bits a character, over all windows of a string of at least window characters from + to z.
+
+    The counts of a window stand in seven integers, five bits each.
+    """
     share = F.array(*(F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(window + 2)))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
-
-    def step(acc: Column, code: Column) -> Column:
-        out = F.when(acc["i"] >= window, F.get(codes, acc["i"] - window)).otherwise(F.lit(-1))
-        here = F.get(acc["n"], code)
-        gone = F.coalesce(F.get(acc["n"], out), F.lit(0)) + F.when(out == code, 1).otherwise(0)
-        s = acc["s"] + F.get(share, here + 1) - F.get(share, here)
-        s = s - F.when(out >= 0, F.get(share, gone) - F.get(share, gone - 1)).otherwise(F.lit(0.0))
-        n = F.transform(acc["n"], lambda v, k: v + F.when(k == code, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
-        best = F.when(acc["i"] >= window - 1, F.greatest(acc["best"], F.lit(math.log2(window)) - s / window)).otherwise(acc["best"])
-        return F.struct(n.alias("n"), s.alias("s"), best.alias("best"), (acc["i"] + 1).alias("i"))
-
-    return F.aggregate(codes, zero, step, lambda acc: acc["best"])
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), CELLS).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
+
+    def cell(code: Column) -> Column:
+        return F.floor(code / 12).cast("int")
+
+    def one(code: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), 5 * (code % 12))
+
+    def peak(codes: Column) -> Column:
+        def step(acc: Column, code: Column) -> Column:
+            full = acc["i"] >= window
+            out = F.when(full, F.get(codes, acc["i"] - window)).otherwise(F.lit(-1))
+            count = lambda c: F.call_function("shiftright", F.get(acc["n"], cell(c)), 5 * (c % 12)).bitwiseAND(F.lit(31)).cast("int")
+            here = count(code)
+            s = acc["s"] + F.get(share, here + 1) - F.get(share, here)
+            gone = count(out) + F.when(out == code, 1).otherwise(0)
+            s = F.when(full, s - F.get(share, gone) + F.get(share, gone - 1)).otherwise(s)
+            n = F.transform(acc["n"], lambda v, k: v + F.when(k == cell(code), one(code)).otherwise(0) - F.when(full & (k == cell(out)), one(out)).otherwise(0))
+            best = F.when(acc["i"] >= window - 1, F.greatest(acc["best"], F.lit(math.log2(window)) - s / window)).otherwise(acc["best"])
+            return F.struct(n.alias("n"), s.alias("s"), best.alias("best"), (acc["i"] + 1).alias("i"))
+
+        return F.aggregate(codes, zero, step, lambda acc: acc["best"])
+
+    return let(F.transform(F.split(string, ""), lambda c: F.ascii(c) - ord("+")), peak)
 
 
 def suspicious(string: Column) -> Column:
