@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnower import rules as R
-from winnower.functions.text import all_hits, first_hit, matches, matches_any, nonblank
+from winnower.functions.text import first_hit, lowered, matches, matches_any, once
 from winnower.operators import deep, detect, diagnose, html, report, styles
 from winnower.plans.views import oracle, view
 
@@ -54,6 +54,7 @@ def listed(values: Sequence[str]) -> str:
     return "(" + ", ".join(map(quoted, values)) + ")"
 
 
+PREVIEW = "replace(replace(CASE WHEN length(txt) > 80 THEN concat(substr(txt, 1, 80), '...') ELSE txt END, chr(10), '↵'), chr(13), '')"
 SOLID = r"regexp_matches({0}, '\S')"
 STYLES = listed(R.DEFAULT.styles)
 
@@ -117,8 +118,9 @@ def detection_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle(("lines",), f"SELECT doc_id, pos, line FROM lines WHERE {any_hit(R.COPYRIGHT_PATTERNS, 'line')}"))
 def detect_native_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = view(spark, sf_dir, "lines")
-    return lines.where(nonblank(F.col("line")) & (F.size(all_hits(F.col("line"), R.COPYRIGHT_PATTERNS)) > 0))
+    line = F.col("line")
+    lines = view(spark, sf_dir, "lines").withColumn("low", lowered(line))
+    return lines.where(matches_any(line, R.COPYRIGHT_PATTERNS, F.col("low"))).drop("low")
 
 
 @query(oracle(("spec_lines",), "SELECT doc_id, count(*) FILTER (content_type <> 'preserve') AS removed, count(*) FILTER (content_type = 'preserve') AS preserved FROM found GROUP BY doc_id", PARAGRAPHS))
@@ -131,6 +133,19 @@ def run_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_found(spark, sf_dir).select("doc_id", "pos", "run", "content_type", F.round("confidence", 4).alias("confidence"))
 
 
+SHORT = "CASE WHEN length(txt) > 50 THEN concat(substr(txt, 1, 50), '...') ELSE txt END"
+
+
+@query(oracle(("spec_lines",), f"SELECT doc_id, pos, format('Detection({{}}, ''{{}}'', conf={{:.2f}})', content_type, {SHORT}, confidence) AS shown FROM found", PARAGRAPHS))
+def detection_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs_found(spark, sf_dir).select("doc_id", "pos", report.shown(F.col("content_type"), F.col("txt"), F.col("confidence")).alias("shown"))
+
+
+@query(oracle(("spec_lines",), "SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (NOT regexp_matches(txt, '\\S')) AS blank FROM spec_lines GROUP BY doc_id"))
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.paragraph_counts(view(spark, sf_dir, "spec_lines"))
+
+
 # Decisions
 
 DECISION = (
@@ -192,11 +207,11 @@ def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def first_match_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("txt")
-    some = view(spark, sf_dir, "spec_lines").where(matches_any(text, R.EDITORIAL_PATTERNS + R.VENDOR_PATTERNS + R.PRESERVE_PATTERNS))
-    return some.select(
-        "doc_id", "pos", first_hit(text, R.EDITORIAL_PATTERNS).alias("editorial"), first_hit(text, R.VENDOR_PATTERNS).alias("vendor"), first_hit(text, R.PRESERVE_PATTERNS).alias("preserve")
-    )
+    text, low = F.col("txt"), F.col("low")
+    kinds = {"editorial": R.EDITORIAL_PATTERNS, "vendor": R.VENDOR_PATTERNS, "preserve": R.PRESERVE_PATTERNS}
+    hits = F.struct(*(first_hit(text, patterns, low).alias(kind) for kind, patterns in kinds.items()))
+    lines = once(view(spark, sf_dir, "spec_lines").withColumn("low", lowered(text)), "hits", hits)
+    return lines.where(F.coalesce("hits.editorial", "hits.vendor", "hits.preserve").isNotNull()).select("doc_id", "pos", "hits.*")
 
 
 @query(
@@ -211,7 +226,8 @@ def first_match_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multi_match_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs_found(spark, sf_dir).where("content_type = 'copyright'")
-    return found.select("doc_id", "pos", F.size(all_hits(F.col("txt"), R.COPYRIGHT_PATTERNS)).cast("bigint").alias("n_hits"), "reason")
+    total = F.regexp_extract("reason", r"Multiple indicators: (\d+)$", 1)
+    return found.select("doc_id", "pos", F.when(total == "", 1).otherwise(total.cast("bigint")).cast("bigint").alias("n_hits"), "reason")
 
 
 ALL_PATTERNS = [(section, i, p) for section, part in R.DEFAULT.sections.items() for i, p in enumerate(part.patterns)]
@@ -220,9 +236,10 @@ ALL_PATTERNS = [(section, i, p) for section, part in R.DEFAULT.sections.items()
 @query(oracle(("spec_lines",), " UNION ALL ".join(f"SELECT {quoted(s)} AS section, CAST({i} AS BIGINT) AS seq, count(*) AS lines FROM spec_lines WHERE {hit(p, 'txt')} HAVING count(*) > 0" for s, i, p in ALL_PATTERNS)))
 def pattern_hit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the lines: each line lists the patterns that it matches."""
-    text = F.col("txt")
-    hits = F.array(*(F.when(matches(text, p), F.struct(F.lit(s).alias("section"), F.lit(i).cast("bigint").alias("seq"))) for s, i, p in ALL_PATTERNS))
-    lines = view(spark, sf_dir, "spec_lines").select(F.inline(F.filter(hits, lambda h: h.isNotNull())))
+    text, low = F.col("txt"), F.col("low")
+    hits = F.array(*(F.when(matches(text, p, low), F.struct(F.lit(s).alias("section"), F.lit(i).cast("bigint").alias("seq"))) for s, i, p in ALL_PATTERNS))
+    found = once(view(spark, sf_dir, "spec_lines").withColumn("low", lowered(text)), "hits", hits)
+    lines = found.select(F.inline_outer("hits")).where(F.col("section").isNotNull())
     return lines.groupBy("section", "seq").agg(F.count("*").alias("lines"))
 
 
@@ -242,11 +259,6 @@ def style_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return view(spark, sf_dir, "spec_styles"), view(spark, sf_dir, "spec_style_refs")
 
 
-@query(oracle(("spec_styles",), "SELECT pkg_id, style_id, based_on, linked, next_style, style_type, is_default FROM spec_styles"))
-def style_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "spec_styles")
-
-
 @query(oracle(("spec_styles",), "SELECT pkg_id, src, kind, dst FROM edges", EDGES))
 def style_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.style_edges(view(spark, sf_dir, "spec_styles"))
@@ -292,7 +304,14 @@ def style_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.style_totals(*style_views(spark, sf_dir))
 
 
-@query()
+@query(
+    oracle(
+        STYLE_VIEWS,
+        "SELECT s.pkg_id, CAST(to_json({'n_defined': count(*), 'n_used': (SELECT count(*) FROM reached r WHERE r.pkg_id = s.pkg_id), 'n_unused': count(*) FILTER (status = 'unused'), 'n_protected': count(*) FILTER (status = 'protected')}) AS VARCHAR) AS report FROM status s GROUP BY s.pkg_id",
+        STATUS,
+        recursive=True,
+    )
+)
 def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.nested(styles.style_totals(*style_views(spark, sf_dir)))
 
@@ -300,11 +319,6 @@ def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Parts, relationships, markup
 
 
-@query(oracle(("spec_rels",), "SELECT pkg_id, source_file, rid, target, type, coalesce(target_mode, 'Internal') AS target_mode FROM spec_rels"))
-def rels_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "spec_rels").withColumn("target_mode", F.coalesce("target_mode", F.lit("Internal")))
-
-
 @query(oracle(("spec_rels",), r"SELECT pkg_id, rid, CASE WHEN contains(source_file, '/_rels/') THEN regexp_replace(replace(source_file, '/_rels/', '/'), '\.rels$', '') END AS owner FROM spec_rels"))
 def owning_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "spec_rels").select("pkg_id", "rid", deep.owning_part(F.col("source_file")).alias("owner"))
@@ -370,9 +384,9 @@ def proof_scan_vs_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCANNED_COMPAT = f"(tag IN {listed(R.COMPAT_SCAN_TAGS)} AND NOT (tag = 'compatSetting' AND contains(coalesce(name, ''), '{R.COMPAT_KEPT_NAME}')))"
 
 
-@query(oracle(("spec_nodes",), f"SELECT pkg_id, count(*) FILTER ({SCANNED_COMPAT}) AS scanned, count(*) FILTER (tag IN {listed(R.COMPAT_CLEAN_TAGS)}) AS cleaned FROM spec_nodes WHERE part = 'word/settings.xml' GROUP BY pkg_id"))
+@query(oracle(("spec_nodes",), f"SELECT pkg_id, count(*) FILTER ({SCANNED_COMPAT}) AS scanned, count(*) FILTER (tag IN {listed(R.COMPAT_CLEAN_TAGS)}) AS cleaned FROM spec_nodes WHERE part = 'word/settings.xml' AND parent_tag = 'compat' GROUP BY pkg_id"))
 def compat_scan_vs_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = view(spark, sf_dir, "spec_nodes").where(F.col("part") == deep.SETTINGS)
+    settings = view(spark, sf_dir, "spec_nodes").where((F.col("part") == deep.SETTINGS) & (F.col("parent_tag") == "compat"))
     return settings.groupBy("pkg_id").agg(F.count_if(deep.compat_scanned(F.col("tag"), F.col("name"))).alias("scanned"), F.count_if(deep.compat_cleaned(F.col("tag"))).alias("cleaned"))
 
 
@@ -387,10 +401,27 @@ def empty_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumn("element", kind).where(F.col("element").isNotNull()).groupBy("pkg_id", "part", "element").agg(F.count("*").alias("n"))
 
 
-@query(oracle(("spec_nodes",), f"SELECT pkg_id, script, count(*) AS n FROM spec_nodes WHERE tag = 'font' AND script <> '' AND lower(script) NOT IN {listed(R.KEPT_SCRIPTS)} GROUP BY pkg_id, script"))
+THEMED = f"regexp_matches(part, '^word/theme/[^/]+[.]xml$') AND tag = 'font' AND coalesce(script, '') <> '' AND lower(script) NOT IN {listed(R.KEPT_SCRIPTS)}"
+
+
+@query(oracle(("spec_nodes",), f"SELECT pkg_id, script, count(*) AS n FROM spec_nodes WHERE {THEMED} GROUP BY pkg_id, script"))
 def font_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = view(spark, sf_dir, "spec_nodes").where((F.col("tag") == "font") & deep.foreign_script(F.col("script")))
-    return nodes.groupBy("pkg_id", "script").agg(F.count("*").alias("n"))
+    return deep.font_mappings(view(spark, sf_dir, "spec_nodes")).groupBy("pkg_id", "script").agg(F.count("*").alias("n"))
+
+
+@query(oracle(("spec_nodes",), f"SELECT pkg_id, part AS file, script, coalesce(typeface, '') AS typeface FROM spec_nodes WHERE {THEMED}"))
+def font_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deep.font_mappings(view(spark, sf_dir, "spec_nodes"))
+
+
+@query(
+    oracle(
+        ("spec_nodes",),
+        f"SELECT pkg_id, CASE WHEN tag = 'compatSetting' THEN concat('compatSetting: ', coalesce(name, '')) ELSE tag END AS setting, CASE tag {' '.join(f'WHEN {quoted(t)} THEN {quoted(r)}' for t, r in deep.COMPAT_REASONS.items())} END AS reason FROM spec_nodes WHERE part = 'word/settings.xml' AND parent_tag = 'compat' AND {SCANNED_COMPAT}",
+    )
+)
+def compat_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deep.compat_listed(view(spark, sf_dir, "spec_nodes"))
 
 
 @query(
@@ -402,7 +433,7 @@ def font_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "m AS (SELECT pkg_id, sum(size_bytes) AS v FROM spec_media m WHERE NOT EXISTS (SELECT 1 FROM spec_rels r WHERE r.pkg_id = m.pkg_id AND contains(r.target, 'media/') AND suffix(m.part, string_split(r.target, '/')[-1])) GROUP BY pkg_id)",
             "s AS (SELECT pkg_id, 500 * count(*) AS v FROM spec_styles s WHERE NOT EXISTS (SELECT 1 FROM deep d WHERE d.pkg_id = s.pkg_id AND d.style_id = s.style_id) GROUP BY pkg_id)",
             f"x AS (SELECT pkg_id, 25 * sum(scanned) AS v FROM ({RSIDS}) GROUP BY pkg_id)",
-            f"n AS (SELECT pkg_id, 20 * count(*) FILTER (part = 'word/document.xml' AND {EMPTY} IS NOT NULL) + 60 * count(*) FILTER (tag = 'font' AND coalesce(script, '') <> '' AND lower(script) NOT IN {listed(R.KEPT_SCRIPTS)}) + 50 * count(*) FILTER (part = 'word/settings.xml' AND {SCANNED_COMPAT}) + 80 * count(*) FILTER (part = 'word/document.xml' AND tag = 'bookmarkStart' AND {INTERNAL}) + 40 * count(*) FILTER ({SCANNED_PROOF}) AS v FROM spec_nodes GROUP BY pkg_id)",
+            f"n AS (SELECT pkg_id, 20 * count(*) FILTER (part IN {listed(deep.EMPTY_SCANNED)} AND {EMPTY} IS NOT NULL) + 60 * count(*) FILTER ({THEMED}) + 50 * count(*) FILTER (part = 'word/settings.xml' AND parent_tag = 'compat' AND {SCANNED_COMPAT}) + 80 * count(*) FILTER (part = 'word/document.xml' AND tag = 'bookmarkStart' AND {INTERNAL}) + 40 * count(*) FILTER ({SCANNED_PROOF}) AS v FROM spec_nodes GROUP BY pkg_id)",
         ),
         recursive=True,
     )
@@ -452,7 +483,6 @@ def html_link_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Diagnosis and reports
 
-PREVIEW = "replace(replace(CASE WHEN length(txt) > 80 THEN concat(substr(txt, 1, 80), '...') ELSE txt END, chr(10), '↵'), chr(13), '')"
 PROFILE = r"""SELECT doc_id, pos, bool_or(hidden) AS has_hidden, bool_or(italic) AS has_italic, coalesce(list_sort(list(DISTINCT color) FILTER (color IS NOT NULL)), []) AS colors,
     coalesce(list_sort(list(DISTINCT rstyle) FILTER (rstyle IS NOT NULL)), []) AS char_styles, arg_min(substr(txt, 1, 30), run) AS first_run FROM spec_runs"""
 SHOWN = f"SELECT l.doc_id, l.pos, {PREVIEW.replace('txt', 'l.txt')} AS preview, pstyle, coalesce(has_hidden, FALSE) AS has_hidden, coalesce(has_italic, FALSE) AS has_italic, coalesce(array_to_string(colors, ','), '') AS colors, coalesce(array_to_string(char_styles, ','), '') AS char_styles, first_run FROM spec_lines l LEFT JOIN profile p ON l.doc_id = p.doc_id AND l.pos = p.pos WHERE {SOLID.format('l.txt')}"

@@ -14,6 +14,21 @@ from winnower.functions.text import starts_with_any
 from winnower.rules import BOOKMARK_PREFIXES, COMPAT_CLEAN_TAGS, COMPAT_KEPT_NAME, COMPAT_SCAN_TAGS, KEPT_SCRIPTS, RSID_SCAN, RSID_STRIP, RUN_CONTENT_TAGS, SAVED_BYTES
 
 DOCUMENT, SETTINGS = "word/document.xml", "word/settings.xml"
+THEME = r"^word/theme/[^/]+\.xml$"
+
+# The parts whose empty elements are counted, and why a setting is listed.
+EMPTY_SCANNED = (
+    "word/document.xml", "word/styles.xml", "word/header1.xml", "word/header2.xml", "word/header3.xml",
+    "word/footer1.xml", "word/footer2.xml", "word/footer3.xml", "word/footnotes.xml", "word/endnotes.xml",
+)
+COMPAT_REASONS = {
+    "compatSetting": "Compatibility setting for legacy behavior",
+    "useFELayout": "Far East layout compatibility",
+    "useWord2002TableStyleRules": "Word 2002 table style compatibility",
+    "growAutofit": "Legacy autofit behavior",
+    "useWord97LineBreakRules": "Word 97 line break compatibility",
+}
+# End of fixed values.
 
 
 def owning_part(rels: Column) -> Column:
@@ -68,6 +83,20 @@ def compat_scanned(tag: Column, name: Column) -> Column:
     return tag.isin(list(COMPAT_SCAN_TAGS)) & ~((tag == "compatSetting") & F.contains(F.coalesce(name, F.lit("")), F.lit(COMPAT_KEPT_NAME)))
 
 
+def compat_listed(nodes: DataFrame) -> DataFrame:
+    """Compatibility settings that a scan lists, with the reason: children of a compat element of the settings part."""
+    tag, name = F.col("tag"), F.coalesce("name", F.lit(""))
+    reason = F.create_map(*(F.lit(x) for pair in COMPAT_REASONS.items() for x in pair))
+    found = nodes.where((F.col("part") == SETTINGS) & (F.col("parent_tag") == "compat") & compat_scanned(tag, name))
+    return found.select("pkg_id", F.when(tag == "compatSetting", F.concat(F.lit("compatSetting: "), name)).otherwise(tag).alias("setting"), reason[tag].alias("reason"))
+
+
+def font_mappings(nodes: DataFrame) -> DataFrame:
+    """Fonts that theme parts map to scripts other than the kept ones."""
+    found = nodes.where(F.col("part").rlike(THEME) & (F.col("tag") == "font") & foreign_script(F.col("script")))
+    return found.select("pkg_id", F.col("part").alias("file"), "script", F.coalesce("typeface", F.lit("")).alias("typeface"))
+
+
 def compat_cleaned(tag: Column) -> Column:
     return tag.isin(list(COMPAT_CLEAN_TAGS))
 
@@ -100,9 +129,9 @@ def cruft_counts(nodes: DataFrame) -> DataFrame:
     tag, name, part = F.col("tag"), F.col("name"), F.col("part")
     empty = (tag == "r") & ~F.coalesce(F.col("child_tag").isin(list(RUN_CONTENT_TAGS)), F.lit(False)) | (tag == "rPr") & F.col("child_tag").isNull()
     return nodes.groupBy("pkg_id").agg(
-        F.count_if(empty & (part == DOCUMENT)).alias("empty"),
-        F.count_if((tag == "font") & foreign_script(F.col("script"))).alias("font"),
-        F.count_if((part == SETTINGS) & compat_scanned(tag, name)).alias("compat"),
+        F.count_if(empty & part.isin(list(EMPTY_SCANNED))).alias("empty"),
+        F.count_if(part.rlike(THEME) & (tag == "font") & foreign_script(F.col("script"))).alias("font"),
+        F.count_if((part == SETTINGS) & (F.col("parent_tag") == "compat") & compat_scanned(tag, name)).alias("compat"),
         F.count_if((part == DOCUMENT) & (tag == "bookmarkStart") & internal_bookmark(name)).alias("bookmark"),
         F.count_if(proof_scanned(part, tag)).alias("proof"),
     )

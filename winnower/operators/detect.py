@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnower.functions.text import all_hits, first_hit, nonblank
+from winnower.functions.text import all_hits, first_hit, lowered, nonblank, once
 from winnower.rules import DEFAULT, SECTIONS, Rules
 
 THRESHOLD = 0.5
@@ -26,12 +26,12 @@ class Element:
     def __init__(self, text: Column, style: Column, formatting: Column | None = None, hits: Column | None = None) -> None:
         self.text, self.style, self.formatting, self.hits = text, style, formatting, hits
 
-    def hit(self, section: str, rules: Rules) -> Column:
+    def hit(self, section: str, rules: Rules, low: Column | None = None) -> Column:
         """The first pattern of a section that is found; all of them for copyright notices."""
         if self.hits is not None:
             return self.hits[section]
         find = all_hits if section == "copyright_notices" else first_hit
-        return find(self.text, rules.section(section).patterns)
+        return find(self.text, rules.section(section).patterns, low)
 
     def solid(self) -> Column:
         return nonblank(self.text) if self.hits is None else self.hits["solid"]
@@ -121,17 +121,17 @@ def run_element(text: str = "txt", style: str = "rstyle") -> Element:
 
 
 def with_detections(df: DataFrame, element: Element, rules: Rules = DEFAULT, name: str = "found") -> DataFrame:
-    """Adds the detections. What each section's patterns found is a column first, so that no pattern is tried twice."""
-    named = {f"_{s}": element.hit(s, rules) for s in SECTIONS if s != "hidden_text"}
-    found = df.withColumns(named | {"_solid": nonblank(element.text)})
-    hits = F.struct(F.col("_solid").alias("solid"), *(F.col(c).alias(c[1:]) for c in named))
-    ready = Element(element.text, element.style, element.formatting, hits)
-    return found.withColumn(name, detections(ready, rules)).drop("_solid", *named)
+    """Adds the detections. What each section's patterns found is worked out once first, so that no pattern is tried twice."""
+    low = F.col("_low")
+    hits = F.struct(nonblank(element.text).alias("solid"), *(element.hit(s, rules, low).alias(s) for s in SECTIONS if s != "hidden_text"))
+    found = once(df.withColumn("_low", lowered(element.text)), "_hits", hits)
+    ready = Element(element.text, element.style, element.formatting, F.col("_hits"))
+    return found.withColumn(name, detections(ready, rules)).drop("_low", "_hits")
 
 
 def exploded(df: DataFrame, name: str = "found") -> DataFrame:
-    """A row for each detection."""
-    return df.select("*", F.inline(name)).drop(name)
+    """A row for each detection. Outer, as otherwise the optimizer tests the whole array a second time before."""
+    return df.select("*", F.inline_outer(name)).drop(name).where(F.col("content_type").isNotNull())
 
 
 def decide(paragraphs: DataFrame, runs: DataFrame, keys: Sequence[str], rules: Rules = DEFAULT) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.functions.text import preview
@@ -29,3 +29,9 @@ def numbered(found: DataFrame, keys: Sequence[str] = ("doc_id",), order: Sequenc
 def nested(totals: DataFrame, key: str = "pkg_id") -> DataFrame:
     """Each row's report as JSON."""
     return totals.select(key, F.to_json(F.struct(*[c for c in totals.columns if c != key])).alias("report"))
+
+
+def shown(kind: Column, text: Column, confidence: Column) -> Column:
+    """A detection in one line: its type, the first 50 characters in quotes, and its confidence."""
+    short = F.when(F.length(text) > 50, F.concat(F.substring(text, 1, 50), F.lit("..."))).otherwise(text)
+    return F.format_string("Detection(%s, '%s', conf=%.2f)", kind, short, confidence)

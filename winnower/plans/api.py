@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnower.functions.scratch import materialize
-from winnower.functions.text import starts_with_any
+from winnower.functions.text import nonblank, starts_with_any
 from winnower.operators import deep, detect, styles
 from winnower.rules import BOOKMARK_PREFIXES, COMPAT_CLEAN_TAGS, DEFAULT, KEPT_SCRIPTS, RSID_STRIP, RUN_CONTENT_TAGS, Rules
 from winnower.sources import packages as P
@@ -44,7 +44,7 @@ def shallow_clean(parts: DataFrame, rules: Rules = DEFAULT) -> Cleaned:
     by_run = spotted.join(decided.where(~F.col("settled")).select("pkg_id", "part", "para_id"), ["pkg_id", "part", "para_id"])
     found = [
         detect.exploded(own.select("pkg_id", "part", F.lit("paragraph").alias("level"), F.col("para_id").alias("element"), "txt", "found")),
-        detect.exploded(by_run.where(F.trim("txt") != "").select("pkg_id", "part", F.lit("run").alias("level"), F.col("run").alias("element"), "txt", "found")),
+        detect.exploded(by_run.where(nonblank(F.col("txt"))).select("pkg_id", "part", F.lit("run").alias("level"), F.col("run").alias("element"), "txt", "found")),
         detect.exploded(loose.select("pkg_id", "part", F.lit("loose run").alias("level"), F.col("run").alias("element"), "txt", "found")),
     ]
     return Cleaned(P.splice(parts, cuts), found[0].union(found[1]).union(found[2]), cuts)

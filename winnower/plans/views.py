@@ -49,8 +49,8 @@ CROSS JOIN (SELECT 0 AS run UNION ALL SELECT 1 UNION ALL SELECT 2) r
     },
     "style_names": {
         "both": """
-SELECT doc_id % 20 AS pkg_id, CAST(floor(doc_id / 20) AS BIGINT) AS o,
-  CASE CAST(floor(doc_id / 20) AS BIGINT) WHEN 3 THEN 'Heading1' WHEN 5 THEN 'Normal' WHEN 7 THEN 'ListParagraph' ELSE concat('S', CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING)) END AS style_id
+SELECT CAST(floor(doc_id / 50) AS BIGINT) AS pkg_id, doc_id % 50 AS o,
+  CASE doc_id % 50 WHEN 3 THEN 'Heading1' WHEN 5 THEN 'Normal' WHEN 7 THEN 'ListParagraph' ELSE concat('S', CAST(doc_id % 50 AS STRING)) END AS style_id
 FROM documents
 """,
     },
@@ -63,8 +63,8 @@ SELECT s.pkg_id, s.style_id,
   CASE s.o % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'character' WHEN 2 THEN 'table' ELSE 'numbering' END AS style_type,
   s.o % 25 = 6 AS is_default
 FROM style_names s
-LEFT JOIN style_names b ON b.pkg_id = s.pkg_id AND s.o > 0 AND b.o = floor(s.o / 3)
-LEFT JOIN style_names k ON k.pkg_id = s.pkg_id AND ((s.o % 10 = 0 AND k.o = s.o + 1) OR (s.o % 10 = 1 AND k.o = s.o - 1))
+LEFT JOIN style_names b ON b.pkg_id = s.pkg_id AND b.o = CASE WHEN s.o > 0 THEN CAST(floor(s.o / 3) AS BIGINT) END
+LEFT JOIN style_names k ON k.pkg_id = s.pkg_id AND k.o = s.o + CASE s.o % 10 WHEN 0 THEN 1 WHEN 1 THEN -1 END
 """,
     },
     "spec_style_refs": {
@@ -75,17 +75,17 @@ UNION ALL SELECT DISTINCT pkg_id, 'Ghost' AS style_id FROM style_names WHERE pkg
     },
     "spec_media": {
         "both": """
-SELECT p_partkey % 20 AS pkg_id, concat('word/media/', concat(CASE WHEN p_partkey % 7 = 0 THEN 'myimage' ELSE 'image' END, concat(CAST(p_partkey % 50 AS STRING), '.png'))) AS part,
-  CAST(max(p_size) * 1000 AS BIGINT) AS size_bytes
-FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2
+SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS pkg_id, concat('word/media/', concat(CASE WHEN p_partkey % 7 = 0 THEN 'myimage' ELSE 'image' END, concat(CAST(p_partkey % 100 AS STRING), '.png'))) AS part,
+  CAST(p_size * 1000 AS BIGINT) AS size_bytes
+FROM part
 """,
     },
     "spec_rels": {
         "both": """
-SELECT p_partkey % 20 AS pkg_id,
+SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS pkg_id,
   CASE p_partkey % 5 WHEN 0 THEN '_rels/.rels' WHEN 1 THEN 'word/_rels/header1.xml.rels' ELSE 'word/_rels/document.xml.rels' END AS source_file,
   concat('rId', CAST(p_partkey AS STRING)) AS rid,
-  CASE WHEN p_partkey % 3 = 0 THEN concat(CASE WHEN p_partkey % 50 < 30 THEN 'media/image' ELSE 'embeddings/image' END, concat(CAST(p_partkey % 50 AS STRING), '.png'))
+  CASE WHEN p_partkey % 3 = 0 THEN concat(CASE WHEN p_partkey % 100 < 60 THEN 'media/image' ELSE 'embeddings/image' END, concat(CAST(p_partkey % 100 AS STRING), '.png'))
        WHEN p_partkey % 3 = 1 THEN concat(CASE WHEN p_partkey % 4 = 0 THEN 'https://WWW.Vendor.example.com/p/' ELSE 'https://other.example.org/' END, CAST(p_partkey AS STRING))
        ELSE 'styles.xml' END AS target,
   CASE WHEN p_partkey % 3 = 0 THEN '/relationships/image' WHEN p_partkey % 3 = 1 THEN '/relationships/hyperlink' ELSE '/relationships/styles' END AS type,
@@ -95,7 +95,7 @@ FROM part
     },
     "spec_xml": {
         "both": """
-SELECT doc_id % 20 AS pkg_id, CASE doc_id % 3 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'word/settings.xml' ELSE 'word/header1.xml' END AS part, doc_id AS seq,
+SELECT CAST(floor(doc_id / 50) AS BIGINT) AS pkg_id, CASE doc_id % 3 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'word/settings.xml' ELSE 'word/header1.xml' END AS part, doc_id AS seq,
   concat('<w:p w:rsidR="00A1"', concat(CASE WHEN doc_id % 2 = 0 THEN ' w:rsidRPr = "00B2"' ELSE ' W:RSIDP="00C3"' END,
   concat('><w:r', concat(CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' w:rsidRDefault="00D4"' END, '><w:t>x</w:t></w:r></w:p>')))) AS xml
 FROM documents
@@ -103,15 +103,19 @@ FROM documents
     },
     "spec_nodes": {
         "both": """
-SELECT event_id % 20 AS pkg_id, event_id AS node_id,
-  CASE WHEN event_id % 16 IN (0, 1, 2, 3, 4, 5, 6) THEN 'word/document.xml' WHEN event_id % 16 IN (7, 8, 9, 10, 11, 12) THEN 'word/settings.xml' ELSE 'word/theme/theme1.xml' END AS part,
+SELECT CAST(floor(event_id / 160) AS BIGINT) AS pkg_id, event_id AS node_id,
+  CASE WHEN event_id % 16 IN (0, 1, 5, 6) THEN CASE CAST(floor(event_id / 16) AS BIGINT) % 6 WHEN 0 THEN 'word/header1.xml' WHEN 1 THEN 'word/styles.xml' WHEN 2 THEN 'word/footnotes.xml' WHEN 3 THEN 'word/comments.xml' ELSE 'word/document.xml' END
+    WHEN event_id % 16 < 7 THEN 'word/document.xml' WHEN event_id % 16 < 13 THEN 'word/settings.xml'
+    WHEN CAST(floor(event_id / 16) AS BIGINT) % 5 = 0 THEN 'word/fontTable.xml' ELSE 'word/theme/theme1.xml' END AS part,
   CASE event_id % 16 WHEN 0 THEN 'r' WHEN 1 THEN 'r' WHEN 2 THEN 'bookmarkStart' WHEN 3 THEN 'bookmarkEnd' WHEN 4 THEN 'proofErr' WHEN 5 THEN 'rPr' WHEN 6 THEN 'r'
     WHEN 7 THEN 'compatSetting' WHEN 8 THEN 'useFELayout' WHEN 9 THEN 'cachedColBalance' WHEN 10 THEN 'proofState' WHEN 11 THEN 'noProof' WHEN 12 THEN 'growAutofit' ELSE 'font' END AS tag,
+  CASE WHEN event_id % 16 IN (7, 8, 9, 12) AND CAST(floor(event_id / 16) AS BIGINT) % 4 > 0 THEN 'compat' WHEN event_id % 16 < 7 THEN 'p' ELSE 'settings' END AS parent_tag,
   CASE event_id % 16 WHEN 0 THEN 't' WHEN 1 THEN 'footnoteReference' END AS child_tag,
   CASE WHEN event_id % 16 = 2 THEN concat(CASE user_id % 6 WHEN 0 THEN '_GoBack' WHEN 1 THEN '_Ref' WHEN 2 THEN '_Toc' WHEN 3 THEN '_Hlk' WHEN 4 THEN '_PictureBullets' ELSE 'Chapter' END, CASE WHEN user_id % 6 = 0 THEN '' ELSE CAST(user_id AS STRING) END)
        WHEN event_id % 16 = 7 THEN CASE WHEN user_id % 2 = 0 THEN 'overrideTableStyleFontSizeAndJustification' ELSE 'compatibilityMode' END END AS name,
   CASE WHEN event_id % 16 IN (2, 3) THEN CAST(floor(event_id / 16) AS BIGINT) END AS bm_id,
-  CASE WHEN event_id % 16 >= 13 THEN CASE user_id % 5 WHEN 0 THEN 'Jpan' WHEN 1 THEN 'Latin' WHEN 2 THEN '' WHEN 3 THEN 'Arab' ELSE 'ea' END END AS script
+  CASE WHEN event_id % 16 >= 13 THEN CASE user_id % 5 WHEN 0 THEN 'Jpan' WHEN 1 THEN 'Latin' WHEN 2 THEN '' WHEN 3 THEN 'Arab' ELSE 'ea' END END AS script,
+  CASE WHEN event_id % 16 >= 13 THEN concat('Face ', CAST(user_id % 7 AS STRING)) END AS typeface
 FROM events
 """,
     },
@@ -131,9 +135,17 @@ def with_clauses(names: tuple[str, ...], engine: str) -> list[str]:
     return [f"{v} AS ({(VIEWS[v].get(engine) or VIEWS[v]['both']).strip()})" for v in needed]
 
 
+def source(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """A table as a common table expression. Rows of few files are spread over all cores; a large table keeps its splits."""
+    path = f"{sf_dir}/{table}.parquet"
+    cores = spark.sparkContext.defaultParallelism
+    hint = f"/*+ REPARTITION({cores}) */ " if table == "documents" and spark.read.parquet(path).rdd.getNumPartitions() < cores else ""
+    return f"{table} AS (SELECT {hint}* FROM parquet.`{path}`)"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t for v in (name, *NEEDS[name]) for t in TABLES.get(v, ())}
-    sources = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in sorted(tables)]
+    sources = [source(spark, sf_dir, t) for t in sorted(tables)]
     return spark.sql(f"WITH {', '.join([*sources, *with_clauses((name,), 'spark')])} SELECT * FROM {name}")
 
 
