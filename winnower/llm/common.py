@@ -38,22 +38,40 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go as soon as the action is done; the session's own setting comes back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/winnower/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors.
 
     The shuffle files of a step go once its table is written.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/winnower/{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{folder or new_folder(spark)}/{name}"
+    with released(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables that no later step reads."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def carried(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others as one struct REST, so that no name of theirs meets one of an operator's own."""
     others = [c for c in docs.columns if c.lower() not in used]

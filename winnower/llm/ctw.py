@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import byte_slices, give_back, in_fold, materialize, text_bytes
+from winnower.llm.common import byte_slices, discard, give_back, in_fold, materialize, new_folder, released, text_bytes
 
 DEPTH = 5
 SHALLOW = 2
@@ -150,7 +150,7 @@ def whole_partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.n
 def price_grams(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """gram and n (training count, 0 too) to gram and price (log10 of the probability of its last byte)."""
     spark = counts.sparkSession
-    parts = counts.count() // PARTITION_GRAMS + 1
+    parts = counts.count() // PARTITION_GRAMS + 1  # of a table, without a shuffle
     # all contexts that share their nearest SHALLOW + 1 bytes meet in a partition
     dealt = counts.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("gram", 8 * (depth - SHALLOW)))
 
@@ -163,7 +163,8 @@ def price_grams(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), *map(pa.array, sums)], names=["node", "zeros", "ones", "below"])
 
     sums = dealt.mapInArrow(upward, "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
-    got = sums.toArrow()  # nodes of depth SHALLOW: at most 65,536 contexts of 255 positions
+    with released(spark):
+        got = sums.toArrow()  # nodes of depth SHALLOW: at most 65,536 contexts of 255 positions
     top = shallow_levels(*(got.column(i).to_numpy() for i in range(4)))
     shared = spark.sparkContext.broadcast(top)
 
@@ -302,16 +303,21 @@ def score_texts(documents: DataFrame) -> DataFrame:
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(blocks)).cast("int"))
 
     listed = dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(list_block, "block int, word string, gram long, n long")
-    listed = materialize(listed, "listed")
+    folder = new_folder(spark)
+    listed = materialize(listed, "listed", folder)
     words, grams = listed.where("word is not null").select("block", "word", "n"), listed.where("gram is not null").select("block", "gram", "n")
-    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words", folder)
     tokens, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, distinct = tokens + ends, distinct + int(ends > 0)
-    prices = materialize(price_grams(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")), "prices")
+    counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams", folder)
+    prices = materialize(price_grams(counts), "prices", folder)
+    discard(spark, folder, "grams")
 
     back = words.select("block", "word").join(totals, "word").select("block", F.lit(WORD).alias("kind"), F.lit(None).cast("long").alias("n"), F.col("word").alias("s"), F.col("n").cast("double").alias("v"))
     back = back.union(grams.select("block", "gram").join(prices, "gram").select("block", F.lit(GRAM), "gram", F.lit(None).cast("string"), "price"))
-    rows = materialize(back, "back").union(dealt.select("block", F.lit(TEXT), "doc_id", "text", F.col("held_out").cast("int").cast("double")))
+    back = materialize(back, "back", folder)
+    discard(spark, folder, "listed", "words", "prices")
+    rows = back.union(dealt.select("block", F.lit(TEXT), "doc_id", "text", F.col("held_out").cast("int").cast("double")))
 
     def score_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = BlockScorer(tokens, distinct, ends)
