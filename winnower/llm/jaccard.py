@@ -8,11 +8,10 @@ must also share prefix tokens under each further order before its sets are inter
 
 A token's list of m classes isn't expanded into all pairs: every class is first paired with the list's head; after
 components of those links are known, only pairs from different components remain, and they are taken as each
-class outside the list's largest component with the rest of the list. A list where that would be many pairs is
-split by the prefix tokens of the next order, and again by those of the one after. A pair is taken at a token only
-if what follows it in both sets could suffice; that holds at the first token that a similar pair shares. So
-every similar pair is either verified or already connected, and components are exact, but for hashes: a shingle is
-52 bits of one, so that one of 10^4 shingles is miscounted in about one of 10^8 texts, and a set's key has 64.
+class outside the list's largest component with the rest of the list. A pair is taken at a token only if what
+follows it in both sets could suffice; that holds at the first token that a similar pair shares. So every
+similar pair is either verified or already connected, and components are exact, but for hashes: a shingle is 52
+bits of one, so that one of 10^4 shingles is miscounted in about one of 10^8 texts, and a set's key has 64.
 
 The very frequent tokens come from a sixteenth of the texts, chosen by hash. They decide the order only, never
 the result, as any order gives a complete filter.
@@ -241,8 +240,8 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
 
     first = materialize(linked(pairs), "links")
     known = connected_components(first)
-    named = members.join(known, F.col("self.class") == F.col("node"), "left").select(F.col("token").alias("key"), "self", F.coalesce("component", "self.class").alias("component"))
-    rest = apart(named, details, rule, 1)
+    named = members.join(known, F.col("self.class") == F.col("node"), "left").select("token", "self", F.coalesce("component", "self.class").alias("component"))
+    rest = apart(named, rule)
     second = linked(rest.join(pairs, ["a", "b"], "left_anti"))
     parts = connected_components(first.union(second))
 
@@ -254,28 +253,19 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
     return rows.join(answer, (F.col("class") == F.col("of")) & full, "left").select("doc_id", "whole", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
-def apart(lists: DataFrame, details: DataFrame, rule: Rule, order: int) -> DataFrame:
-    """Pairs a, b of classes of different components that stand in one list (key, self, component) and may link.
+def apart(lists: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs a, b of classes of different components that stand in one list (token, self, component) and may link.
 
-    They are taken as each class outside the list's largest component with the rest. A list where that is more than its
-    classes have prefix tokens under the next order is split by those tokens first, as a pair must share one.
+    They are taken as each class outside the list's largest component with the rest. What a list's components are is
+    written down first, so that both sides of the join are read from plain shuffles and a long list can be divided.
     """
-    n = F.col("self.n").cast("long")
-    prefix = n - F.ceil(n * rule.numerator / rule.denominator) + 1
-    parts = lists.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(prefix).alias("tokens")).groupBy("key")
-    spread = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("many"), F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
-    long = (F.col("many") * (F.col("many") - F.col("most")) > F.col("tokens")) & F.lit(order < rule.orders)
-    spread = materialize(spread.where("parts > 1").select(F.col("key").alias("of"), "main", long.alias("long")), "spread")
-    mixed = materialize(lists.join(spread, F.col("key") == F.col("of")).drop("of"), "mixed")
-    short = mixed.where(~F.col("long"))
-    outside = short.where("component <> main").select("key", F.col("self").alias("other"), F.col("component").alias("own"))
+    parts = lists.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
+    spread = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    spread = materialize(spread.select(F.col("token").alias("of"), "main"), "spread")
+    mixed = materialize(lists.join(spread, F.col("token") == F.col("of")).drop("of"), "mixed")
+    outside = mixed.where("component <> main").select("token", F.col("self").alias("other"), F.col("component").alias("own"))
     fits = (F.col("own") != F.col("component")) & rule.may_link(F.col("self"), F.col("other"))
-    found = outside.join(short, "key").where(fits).select(F.least("self.class", "other.class").alias("a"), F.greatest("self.class", "other.class").alias("b"))
-    split = mixed.where("long")
-    if not split.isEmpty():
-        tokens = details.select(F.col("class").alias("of"), F.explode(f"p{order}").alias("t"))
-        finer = split.join(tokens, F.col("self.class") == F.col("of")).select(F.xxhash64("key", "t").alias("key"), "self", "component")
-        found = found.union(apart(finer, details, rule, order + 1))
+    found = outside.join(mixed, "token").where(fits).select(F.least("self.class", "other.class").alias("a"), F.greatest("self.class", "other.class").alias("b"))
     return materialize(found.distinct(), "apart")
 
 
