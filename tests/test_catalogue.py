@@ -1,7 +1,7 @@
 import pytest
 from oracle import DATA, compare
 
-from winnower import catalogue
+from winnower import catalogue, catalogue_packages  # noqa: F401  (the second adds its queries to the first)
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from winnower import rules
+from winnower.functions import text
 from winnower.operators import deep, detect, html, styles
 
 STYLE = "pkg_id int, style_id string, based_on string, linked string, next_style string, is_default boolean"
@@ -14,6 +16,12 @@ def test_cyclic_closure_ends_and_counts_undefined(spark):
     assert status == {(1, "A"): "used", (1, "B"): "used", (1, "C"): "used", (2, "A"): "unused"}
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = [(1, f"S{i}", f"S{i + 1}", None, None, False) for i in range(130)]
+    reached = styles.closure(spark.createDataFrame(chain, STYLE), spark.createDataFrame([(1, "S0")], "pkg_id int, style_id string"))
+    assert reached.count() == 131
+
+
 def test_default_is_protected_in_one_clean_and_orphaned_in_the_other(spark):
     defined = spark.createDataFrame([(1, "D", None, None, None, True), (1, "Normal", None, None, None, False)], STYLE)
     none = spark.createDataFrame([], "pkg_id int, style_id string")
@@ -54,3 +62,25 @@ def test_unwrap_keeps_what_links_enclose(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x", 'go <a href="http://b.example/q?x=.">here</a> or <a href="/c">there</a>')], "page_id int, url string, html string")
     assert html.unwrap_links(pages, ["b.example"]).first()["unwrapped"] == 1
     assert sorted((r["host"], r["links"]) for r in html.links_by_domain(pages).collect()) == [("a.example", 1), ("b.example", 1)]
+
+
+def test_each_pattern_is_tried_once(spark):
+    from winnower.operators import report
+
+    lines = spark.createDataFrame([(1, 1, "[TBD] all rights reserved", "CMT")], "doc_id int, pos int, txt string, pstyle string")
+    found = detect.exploded(detect.with_detections(lines, detect.paragraph_element()))
+    patterns = sum(len(s.patterns) for s in rules.DEFAULT.sections.values())
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    for query in (found, report.counts_by_type(found), found.where("confidence > 0.5")):
+        plan = query._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") <= patterns + 3
+
+
+def test_cheap_test_promises_no_more_than_the_pattern(spark):
+    texts = ["K\u0131 edit", "Ed\u0131t as required", "SELECT \u017fE one", "\u212a", "[TBD]", "[ ]", "EDIT AS REQUIRED", "Gänse © 2024", ". 12", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "txt string").withColumn("low", text.lowered(F.col("txt")))
+    for section in rules.DEFAULT.sections.values():
+        for p in section.patterns:
+            got = df.select(text.matches(F.col("txt"), p), text.matches(F.col("txt"), p, F.col("low"))).collect()
+            assert all(a == b for a, b in got), p
+    assert [text.literal(p) for p in (r"a|b", r"x?yz", r"(ab)c\d+de", r"[^]a]q", r"\x41b", r"ab{0}c", "Ä b")] == ["", "yz", "de", "q", "", "a", ""]

@@ -11,16 +11,23 @@ _own: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where there is none, a temporary one on a single machine only."""
     global _own
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
-    if _own is None:  # tests, on one machine
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="winnower-")
     return _own
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/winnower/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/winnower/{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

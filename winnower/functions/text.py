@@ -26,11 +26,13 @@ def literal(pattern: str) -> str:
             return ""
         if c in "([":  # groups and classes promise nothing
             close, depth, j = ")]"["([".index(c)], 1, i + 1
-            if c == "[" and pattern[j : j + 1] in ("]", "^"):
-                j += 1
+            if c == "[":  # a closing bracket that comes first stands for itself
+                j += pattern[j : j + 1] == "^"
+                j += pattern[j : j + 1] == "]"
             while j < len(pattern) and depth:
                 j += pattern[j] == "\\"
-                depth += (pattern[j : j + 1] == close) * -1 + (c == "(" and pattern[j : j + 1] == "(")
+                escaped = pattern[j - 1 : j] == "\\"
+                depth += 0 if escaped else (c == "(" and pattern[j : j + 1] == "(") - (pattern[j : j + 1] == close)
                 j += 1
             runs, run, i = [*runs, run], "", j
         elif c == "\\":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.functions.scratch import materialize
+from winnower.functions.scratch import materialize, new_folder
 from winnower.rules import ALWAYS_USED_STYLES, PROTECTED_STYLES
 
 EDGES = (("basedOn", "based_on"), ("link", "linked"), ("next", "next_style"))
@@ -17,19 +17,24 @@ def style_edges(styles: DataFrame) -> DataFrame:
     return styles.select("pkg_id", F.col("style_id").alias("src"), F.inline(kinds)).where(F.col("dst").isNotNull())
 
 
-def closure(styles: DataFrame, used: DataFrame, rounds: int = 100) -> DataFrame:
-    """Styles reached from the used ones, undefined targets included: semi-naive, each round only from the new ones."""
+def closure(styles: DataFrame, used: DataFrame) -> DataFrame:
+    """Styles reached from the used ones, undefined targets included: semi-naive, each round only from the new ones.
+
+    A round's styles are a table of their own, and those seen are all of these tables read together. It ends when a
+    round finds nothing new, however long the chains are.
+    """
+    spark, folder = styles.sparkSession, new_folder(styles.sparkSession)
     edges = materialize(style_edges(styles).select(F.col("pkg_id").alias("ep"), F.col("src").alias("es"), "dst").distinct(), "edges")
-    seen = materialize(used.select(F.col("pkg_id").alias("p"), F.col("style_id").alias("s")).distinct(), "seen")
-    frontier = seen.toDF("fp", "fs")
-    for _ in range(rounds):
-        step = edges.join(frontier, (F.col("ep") == F.col("fp")) & (F.col("es") == F.col("fs"))).select(F.col("ep").alias("np"), F.col("dst").alias("ns")).distinct()
-        fresh = materialize(step.join(seen, (F.col("np") == F.col("p")) & (F.col("ns") == F.col("s")), "left_anti"), "frontier")
-        if fresh.isEmpty():
-            break
-        seen = materialize(seen.union(fresh), "seen")
-        frontier = fresh.toDF("fp", "fs")
-    return seen.toDF("pkg_id", "style_id")
+    fresh, rounds = used.select(F.col("pkg_id").alias("p"), F.col("style_id").alias("s")).distinct(), []
+    while True:
+        rounds.append(f"{folder}/{len(rounds)}")
+        fresh.write.parquet(rounds[-1])
+        frontier, seen = spark.read.schema(fresh.schema).parquet(rounds[-1]), spark.read.schema(fresh.schema).parquet(*rounds)
+        if frontier.isEmpty():
+            return seen.toDF("pkg_id", "style_id")
+        at = frontier.toDF("fp", "fs")
+        step = edges.join(at, (F.col("ep") == F.col("fp")) & (F.col("es") == F.col("fs"))).select(F.col("ep").alias("np"), F.col("dst").alias("ns")).distinct()
+        fresh = step.join(seen, (F.col("np") == F.col("p")) & (F.col("ns") == F.col("s")), "left_anti").toDF("p", "s")
 
 
 def closure_with_defaults(styles: DataFrame, used: DataFrame) -> DataFrame:

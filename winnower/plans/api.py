@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.functions.scratch import materialize
-from winnower.functions.text import nonblank, starts_with_any
+from winnower.functions.text import any_of, nonblank, starts_with_any
 from winnower.operators import deep, detect, styles
 from winnower.rules import BOOKMARK_PREFIXES, COMPAT_CLEAN_TAGS, DEFAULT, KEPT_SCRIPTS, RSID_STRIP, RUN_CONTENT_TAGS, Rules
 from winnower.sources import packages as P
 
 OPERATIONS = ("media", "styles", "rsids", "rsid_registry", "empty", "fonts", "compat", "links", "bookmarks", "proof")
+APP = "docProps/app.xml"
 SPAN = ("pkg_id", "part", "b0", "b1")
 
 
@@ -23,11 +24,11 @@ class Cleaned:
     parts: DataFrame  # what remains
     detections: DataFrame  # what was found
     cuts: DataFrame  # what was removed
+    faults: DataFrame | None = None  # packages left as they were, and why
 
 
-def shallow_detections(parts: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shallow_detections(nodes: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Paragraphs with their decision, their runs with detections, and the runs of the second look."""
-    nodes = materialize(P.shred(parts.where(P.shallow_part(F.col("part")))), "nodes")
     paragraphs, runs = P.paragraphs_and_runs(nodes)
     keys = ["pkg_id", "part", "para_id"]
     decided = paragraphs.join(detect.decide(paragraphs, runs.where(F.col("para_id").isNotNull()), keys, rules), keys)
@@ -37,8 +38,15 @@ def shallow_detections(parts: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFr
 
 
 def shallow_clean(parts: DataFrame, rules: Rules = DEFAULT) -> Cleaned:
-    """Removes non-content paragraphs and loose runs; runs detected in paragraphs that stay are only reported."""
-    decided, spotted, loose = shallow_detections(parts, rules)
+    """Removes non-content paragraphs and loose runs; runs detected in paragraphs that stay are only reported.
+
+    A package with a part that isn't well formed is left as it is, and listed in faults.
+    """
+    parts = materialize(parts, "parts")
+    nodes = materialize(P.shred(parts.where(P.shallow_part(F.col("part")))), "nodes")
+    faults = nodes.where(F.col("error").isNotNull()).select("pkg_id", "part", "error")
+    sound = nodes.join(faults.select("pkg_id").distinct(), "pkg_id", "left_anti")
+    decided, spotted, loose = shallow_detections(sound, rules)
     cuts = materialize(decided.where("removed").select(*SPAN).union(loose.where(detect.removable(F.col("found"))).select(*SPAN)).distinct(), "cuts")
     own = detect.with_detections(decided, detect.paragraph_element(), rules)
     by_run = spotted.join(decided.where(~F.col("settled")).select("pkg_id", "part", "para_id"), ["pkg_id", "part", "para_id"])
@@ -47,18 +55,24 @@ def shallow_clean(parts: DataFrame, rules: Rules = DEFAULT) -> Cleaned:
         detect.exploded(by_run.where(nonblank(F.col("txt"))).select("pkg_id", "part", F.lit("run").alias("level"), F.col("run").alias("element"), "txt", "found")),
         detect.exploded(loose.select("pkg_id", "part", F.lit("loose run").alias("level"), F.col("run").alias("element"), "txt", "found")),
     ]
-    return Cleaned(P.splice(parts, cuts), found[0].union(found[1]).union(found[2]), cuts)
+    return Cleaned(P.splice(parts, cuts), found[0].union(found[1]).union(found[2]), cuts, faults)
 
 
-def style_definitions(nodes: DataFrame) -> DataFrame:
-    """Direct children of the style part's root; a repeated id counts with its last definition."""
-    style = nodes.where((F.col("part") == "word/styles.xml") & (F.col("tag") == "style") & (F.col("depth") == 1) & (F.coalesce(F.col("attrs")["w:styleId"], F.lit("")) != ""))
+def style_definitions(nodes: DataFrame, deep: bool = False) -> DataFrame:
+    """Direct children of the style part's root that have an id; a repeated id counts with its last definition.
+
+    deep: at any depth, and without an id too (as the empty one).
+    """
+    style_id = F.coalesce(F.col("attrs")["w:styleId"], F.lit(""))
+    style = nodes.where((F.col("part") == "word/styles.xml") & (F.col("tag") == "style"))
+    if not deep:
+        style = style.where((F.col("depth") == 1) & (style_id != ""))
     child = nodes.where((F.col("part") == "word/styles.xml") & F.col("tag").isin("name", "basedOn", "link", "next")).select(
         "pkg_id", F.col("parent_id").alias("node_id"), F.col("tag").alias("what"), F.col("attrs")["w:val"].alias("val")
     )
     values = child.groupBy("pkg_id", "node_id").agg(*(F.first(F.when(F.col("what") == t, F.col("val")), ignorenulls=True).alias(t) for t in ("name", "basedOn", "link", "next")))
     rows = style.join(values, ["pkg_id", "node_id"], "left").select(
-        "pkg_id", "node_id", F.col("attrs")["w:styleId"].alias("style_id"), F.col("basedOn").alias("based_on"), F.col("link").alias("linked"), F.col("next").alias("next_style"),
+        "pkg_id", "node_id", style_id.alias("style_id"), F.coalesce("name", style_id).alias("name"), F.col("basedOn").alias("based_on"), F.col("link").alias("linked"), F.col("next").alias("next_style"),
         F.coalesce(F.col("attrs")["w:type"], F.lit("paragraph")).alias("style_type"), F.coalesce(F.col("attrs")["w:default"] == "1", F.lit(False)).alias("is_default"), "b0", "b1",
     )
     columns = [c for c in rows.columns if c not in ("pkg_id", "style_id")]
@@ -74,8 +88,35 @@ def style_references(nodes: DataFrame, everywhere: bool) -> DataFrame:
     return named.where(F.coalesce("style_id", F.lit("")) != "").distinct()
 
 
+def typed_references(nodes: DataFrame) -> DataFrame:
+    """Distinct pkg_id, part, kind (rid, style, font, number) and ref of what elements refer to."""
+    tag, a = F.col("tag"), F.col("attrs")
+    here = ("pkg_id", "part")
+    pairs = nodes.select(*here, F.explode("attrs").alias("name", "ref"))
+    rids = pairs.where((F.contains(F.lower("name"), F.lit("id")) | F.contains(F.lower("name"), F.lit("embed"))) & F.col("ref").startswith("rId")).select(*here, F.lit("rid").alias("kind"), "ref")
+    named = nodes.where(tag.isin("pStyle", "rStyle", "tblStyle")).select(*here, F.lit("style"), a["w:val"])
+    fonts = nodes.where(tag == "rFonts").select(*here, F.lit("font"), F.explode(F.array(a["w:ascii"], a["w:hAnsi"], a["w:cs"], a["w:eastAsia"])))
+    numbers = nodes.where((tag == "numId") & (a["w:val"] != "0")).select(*here, F.lit("number"), a["w:val"])
+    return rids.union(named).union(fonts).union(numbers).where(F.coalesce("ref", F.lit("")) != "").distinct()
+
+
+def inventory(nodes: DataFrame) -> DataFrame:
+    """Distinct pkg_id, kind and name of the fonts and numberings that a package defines."""
+    a = F.col("attrs")
+    fonts = nodes.where((F.col("part") == "word/fontTable.xml") & (F.col("tag") == "font")).select("pkg_id", F.lit("font").alias("kind"), a["w:name"].alias("name"))
+    numbers = nodes.where((F.col("part") == "word/numbering.xml") & (F.col("tag") == "num")).select("pkg_id", F.lit("number"), a["w:numId"])
+    return fonts.union(numbers).where(F.coalesce("name", F.lit("")) != "").distinct()
+
+
+def previous_siblings(nodes: DataFrame) -> DataFrame:
+    """Each element with the one before it under the same parent; null for a first child."""
+    before = Window.partitionBy("pkg_id", "part", "parent_id").orderBy("node_id")
+    return nodes.select("pkg_id", "part", "node_id", "tag", F.lag("node_id").over(before).alias("previous_id"), F.lag("tag").over(before).alias("previous_tag"))
+
+
 def style_clean(parts: DataFrame) -> Cleaned:
     """Removes definitions that nothing reaches, but for protected names and defaults."""
+    parts = materialize(parts, "parts")
     nodes = materialize(P.shred(parts), "nodes")
     defined = style_definitions(nodes)
     status = styles.style_status(defined, styles.closure(defined, style_references(nodes, everywhere=True)))
@@ -91,16 +132,23 @@ def relationships(nodes: DataFrame) -> DataFrame:
     )
 
 
+def defined_relationships(nodes: DataFrame) -> DataFrame:
+    """One row for each file and id: the last definition counts."""
+    rows = nodes.transform(relationships).withColumn("rid", F.coalesce("rid", F.lit("")))
+    rest = ("target", "type", "target_mode")
+    return rows.groupBy("pkg_id", "source_file", "rid").agg(F.max_by(F.struct(*rest), "b0").alias("r")).select("pkg_id", "source_file", "rid", *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
 def media(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("part").rlike("^word/media/[^/]+$")).select("pkg_id", "part", F.col("size").alias("size_bytes"))
 
 
-def deep_cuts(nodes: DataFrame, operation: str, domains: Sequence[str] = (), compat: str = "default", safe: bool = False) -> DataFrame:
+def deep_cuts(parts: DataFrame, nodes: DataFrame, operation: str, domains: Sequence[str] = (), compat: str = "default", safe: bool = False) -> DataFrame:
     """The spans that one operation removes from XML parts."""
     tag, part, a = F.col("tag"), F.col("part"), F.col("attrs")
     span = [F.col(c) for c in SPAN]
     if operation == "styles":
-        lost = styles.orphaned_styles(style_definitions(nodes), style_references(nodes, everywhere=False))
+        lost = styles.orphaned_styles(style_definitions(nodes, deep=True), style_references(nodes, everywhere=False))
         return lost.select("pkg_id", F.lit("word/styles.xml").alias("part"), "b0", "b1")
     if operation == "rsid_registry":
         return nodes.where((part == deep.SETTINGS) & (tag == "rsids")).select(*span)
@@ -131,35 +179,92 @@ def deep_cuts(nodes: DataFrame, operation: str, domains: Sequence[str] = (), com
         gone = rels.where(deep.vendor_link(F.col("target"), F.col("type"), F.col("target_mode"), domains))
         owner = gone.select("pkg_id", deep.owning_part(F.col("source_file")).alias("part"), "rid").where(F.col("part").isNotNull())
         wrapped = nodes.where(tag == "hyperlink").withColumn("rid", a["r:id"]).join(owner, ["pkg_id", "part", "rid"], "left_semi")
-        opening = wrapped.select("pkg_id", "part", "b0", F.col("open_end").alias("b1"))
-        closing = wrapped.select("pkg_id", "part", F.col("close_start").alias("b0"), "b1")
-        return gone.select("pkg_id", F.col("source_file").alias("part"), "b0", "b1").union(opening).union(closing).where("b0 < b1")
+        opening = wrapped.select("pkg_id", "part", "b0", F.col("open_end").alias("b1"), F.lit("unwrapped").alias("what"))
+        closing = wrapped.select("pkg_id", "part", F.col("close_start").alias("b0"), "b1", F.lit("closing"))
+        return gone.select("pkg_id", F.col("source_file").alias("part"), "b0", "b1", F.lit("links").alias("what")).union(opening).union(closing).where("b0 < b1")
+    if operation == "link_cache":
+        named = F.lower(F.decode(F.substring("data", F.col("b0").cast("int") + 1, (F.col("b1") - F.col("b0")).cast("int")), "UTF-8"))
+        cached = nodes.where((part == APP) & (tag == "HLinks")).join(parts.where(part == APP).select("pkg_id", "data"), "pkg_id")
+        return cached.where(any_of([F.contains(named, F.lit(d.lower())) for d in domains])).select(*span)
     raise ValueError(f"unknown operation {operation}")
 
 
+def without_rsids(parts: DataFrame) -> DataFrame:
+    """Parts without revision attributes, with rsids, how many there were. Text that isn't UTF-8 stays."""
+    text, pattern = F.decode("data", "UTF-8"), "(?i)" + RSID_STRIP
+    xml = F.col("part").endswith(".xml") & F.is_valid_utf8(F.col("data").cast("string"))
+    many = F.when(xml, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+    left = parts.withColumn("rsids", F.coalesce(many, F.lit(0)).cast("bigint")).withColumn("data", F.when(F.col("rsids") > 0, F.encode(F.regexp_replace(text, pattern, ""), "UTF-8")).otherwise(F.col("data")))
+    return left.withColumn("size", F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint"))
+
+
 def deep_clean(parts: DataFrame, operations: Sequence[str] = OPERATIONS, domains: Sequence[str] = (), compat: str = "default", safe: bool = False) -> Cleaned:
-    """Removes unreferenced media and styles and markup cruft; links only where domains are given. Parts that aren't well formed stay."""
+    """Removes unreferenced media and styles and markup cruft; links only where domains are given. Parts that aren't well formed stay.
+
+    detections: pkg_id, operation, n and size (of media) of what was removed. faults: pkg_id and fault of packages whose
+    structure isn't sound.
+    """
     unknown = set(operations) - set(OPERATIONS)
     if unknown:
         raise ValueError(f"unknown operations {sorted(unknown)}")
+    parts = materialize(parts, "parts")
     nodes = materialize(P.shred(parts), "nodes")
-    left, cuts = parts, None
+    left, cuts = parts, parts.sparkSession.createDataFrame([], "pkg_id string, part string, b0 bigint, b1 bigint, operation string")
     for operation in operations:
         if operation in ("media", "rsids") or (operation == "links" and not domains):
             continue
-        found = deep_cuts(nodes, operation, domains, compat, safe).withColumn("operation", F.lit(operation))
-        cuts = found if cuts is None else cuts.unionByName(found)
-    cuts = parts.sparkSession.createDataFrame([], "pkg_id string, part string, b0 bigint, b1 bigint, operation string") if cuts is None else cuts
-    cuts = materialize(cuts.select(*SPAN, "operation"), "cuts")
+        name = F.col("what") if operation == "links" else F.lit("compat_blocks" if (operation, compat) == ("compat", "aggressive") else operation)
+        cuts = cuts.unionByName(deep_cuts(parts, nodes, operation, domains, compat, safe).withColumn("operation", name).select(*SPAN, "operation"))
+        if operation == "links":
+            cuts = cuts.unionByName(deep_cuts(parts, nodes, "link_cache", domains).withColumn("operation", F.lit("link_cache")))
+    cuts = materialize(cuts, "cuts")
+    counts = cuts.groupBy("pkg_id", "operation").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("size"))
     if "media" in operations:
-        lost = deep.orphaned_media(media(parts), relationships(nodes))
+        lost = materialize(deep.orphaned_media(media(parts), defined_relationships(nodes)), "lost")
         left = left.join(lost.select("pkg_id", "part"), ["pkg_id", "part"], "left_anti").select(*parts.columns)
+        counts = counts.union(lost.groupBy("pkg_id").agg(F.lit("media"), F.count("*"), F.sum("size_bytes")).select("pkg_id", "media", "count(1)", "sum(size_bytes)"))
+    if "rsids" in operations:
+        marked = without_rsids(P.splice(left, cuts.where("operation = 'styles'")))  # those of removed definitions aren't counted
+        counts = counts.union(marked.groupBy("pkg_id").agg(F.lit("rsids"), F.sum("rsids").alias("n"), F.lit(0).cast("bigint")).where("n > 0"))
     left = P.splice(left, cuts)
     if "rsids" in operations:
-        text = F.regexp_replace(F.decode("data", "UTF-8"), "(?i)" + RSID_STRIP, "")
-        xml = F.col("part").endswith(".xml") & F.is_valid_utf8(F.col("data").cast("string"))
-        left = left.withColumn("data", F.when(xml, F.encode(text, "UTF-8")).otherwise(F.col("data"))).withColumn("size", F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint"))
-    return Cleaned(left, cuts.groupBy("pkg_id", "operation").count(), cuts)
+        left = without_rsids(left).drop("rsids")
+    return Cleaned(left, counts, cuts, validate(parts, nodes).where(F.col("fault").isNotNull()))
+
+
+#: Counters of a deep clean: what an operation's count is called, and the bytes that one removal is taken to save. Fixed values.
+COUNTERS = {
+    "media": ("media_removed", 0),
+    "styles": ("styles_removed", 0),
+    "rsids": ("rsids_removed", 25),
+    "rsid_registry": ("rsid_registry_removed", 500),
+    "empty": ("empty_elements_removed", 20),
+    "fonts": ("font_mappings_removed", 60),
+    "compat": ("compat_settings_removed", 50),
+    "compat_blocks": ("compat_elements_removed", 200),
+    "links": ("external_link_rels_removed", 200),
+    "unwrapped": ("hyperlink_elements_unwrapped", 0),
+    "link_cache": ("app_hlinks_removed", 10_000),
+    "bookmarks": ("bookmarks_removed", 80),
+    "proof": ("proof_elements_removed", 40),
+}
+
+
+def counters(parts: DataFrame, cleaned: Cleaned) -> DataFrame:
+    """A row for each package: what a deep clean removed, bytes_saved, success and errors.
+
+    A start and an end are one bookmark; the link cache counts once; media save their size.
+    """
+    n = {op: F.coalesce(F.sum(F.when(F.col("operation") == op, F.col("n"))), F.lit(0)) for op in COUNTERS}
+    n["bookmarks"] = F.floor(n["bookmarks"] / 2)
+    n["link_cache"] = F.least(n["link_cache"], F.lit(1))
+    saved = F.coalesce(F.sum("size"), F.lit(0))
+    for op, (_, weight) in COUNTERS.items():
+        saved = saved + n[op] * weight
+    found = cleaned.detections.groupBy("pkg_id").agg(*(n[op].cast("bigint").alias(name) for op, (name, _) in COUNTERS.items()), saved.cast("bigint").alias("bytes_saved"))
+    every = parts.select("pkg_id").distinct().join(found, "pkg_id", "left").join(cleaned.faults, "pkg_id", "left")
+    columns = [F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c != "pkg_id"]
+    return every.select("pkg_id", *columns, F.col("fault").isNull().alias("success"), F.concat_ws("; ", "fault", F.when(F.col("fault").isNotNull(), "Document structure validation failed")).alias("errors"))
 
 
 def validate(parts: DataFrame, nodes: DataFrame) -> DataFrame:

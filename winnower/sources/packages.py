@@ -18,6 +18,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAIN = "word/document.xml"
 LARGEST_MEMBER = 256 << 20
@@ -25,7 +26,7 @@ UNREADABLE = (zipfile.BadZipFile, TypeError, NotImplementedError, RuntimeError,
 PARTS = "pkg_id string, part string, ord int, size bigint, data binary, error string"
 NODES = (
     "pkg_id string, part string, node_id int, parent_id int, last_desc_id int, depth int, tag string, attrs map<string,string>, "
-    "text string, b0 bigint, b1 bigint, open_end bigint, close_start bigint, error string"
+    "text string, b0 bigint, b1 bigint, open_end bigint, close_start bigint, paras array<int>, runs array<int>, error string"
 )
 
 # The format's namespaces and the prefixes used here for them.
@@ -87,16 +88,16 @@ def reference_part(part: Column) -> Column:
 
 def tag_end(data: bytes, at: int) -> int:
     """The end of the tag that begins at a place; quotes may hold the closing character."""
-    quote = 0
-    for i in range(at, len(data)):
-        c = data[i]
-        if quote:
-            quote = 0 if c == quote else quote
-        elif c in (0x22, 0x27):
-            quote = c
-        elif c == 0x3E:
-            return i + 1
-    return len(data)
+    while True:
+        end = data.find(b">", at)
+        if end < 0:
+            return len(data)
+        quote = min((q for q in (data.find(b'"', at, end), data.find(b"'", at, end)) if q >= 0), default=-1)
+        if quote < 0:
+            return end + 1
+        at = data.find(data[quote : quote + 1], quote + 1) + 1
+        if not at:
+            return len(data)
 
 
 def local(name: str) -> str:
@@ -105,7 +106,10 @@ def local(name: str) -> str:
 
 
 def shred_part(data: bytes) -> list[dict]:
-    """The elements of a part in document order, with their places as bytes. Raises ValueError if it isn't well formed."""
+    """The elements of a part in document order, with their places as bytes and the paragraphs and runs that they are in.
+
+    Raises ValueError if the part isn't well formed.
+    """
     nodes, stack = [], []
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.buffer_text = True
@@ -114,7 +118,10 @@ def shred_part(data: bytes) -> list[dict]:
         b0 = parser.CurrentByteIndex
         end = tag_end(data, b0)
         parent = stack[-1] if stack else None
-        node = {"node_id": len(nodes), "parent_id": parent["node_id"] if parent else None, "depth": len(stack), "tag": name.rpartition(" ")[2], "text": "", "b0": b0, "open_end": end}
+        node = {"node_id": len(nodes), "parent_id": parent["node_id"] if parent else None, "depth": len(stack), "tag": name.rpartition(" ")[2], "text": [], "b0": b0, "open_end": end}
+        for tag, owners in (("p", "paras"), ("r", "runs")):
+            above = parent[owners] if parent else ()
+            node[owners] = (*above, parent["node_id"]) if parent and parent["tag"] == tag else above
         node["attrs"] = {local(k): v for k, v in attrs.items()}
         nodes.append(node)
         stack.append(node)
@@ -126,10 +133,11 @@ def shred_part(data: bytes) -> list[dict]:
         node["close_start"] = node["open_end"] if single else at
         node["b1"] = node["open_end"] if single else tag_end(data, at)
         node["last_desc_id"] = len(nodes) - 1
+        node["text"] = "".join(node["text"])
 
     def words(text: str) -> None:
         if stack:
-            stack[-1]["text"] += text
+            stack[-1]["text"].append(text)
 
     def refuse(*_: object) -> None:
         raise ValueError("a document type declaration is not accepted")
@@ -144,7 +152,7 @@ def shred_part(data: bytes) -> list[dict]:
 
 def shred(parts: DataFrame) -> DataFrame:
     """A row for each element of each XML part; one row with an error for a part that isn't well formed."""
-    columns = [c.split()[0] for c in NODES.replace("map<string,string>", "map").split(", ")]
+    columns = StructType.fromDDL(NODES).names
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -162,47 +170,41 @@ def shred(parts: DataFrame) -> DataFrame:
     return xml.select("pkg_id", "part", "data").mapInPandas(rows, NODES)
 
 
-def within(nodes: DataFrame, tag: str, keep: Sequence[str]) -> DataFrame:
-    """Each element of a tag with the kept descendants, as pairs (outer columns get the suffix _o)."""
-    outer = nodes.where(F.col("tag") == tag).select("pkg_id", "part", *(F.col(c).alias(f"{c}_o") for c in ("node_id", "last_desc_id", "b0", "b1", "parent_id")))
-    inner = nodes.where(F.col("tag").isin(list(keep)))
-    inside = (F.col("node_id") > F.col("node_id_o")) & (F.col("node_id") <= F.col("last_desc_id_o"))
-    return outer.join(inner, ["pkg_id", "part"]).where(inside)
-
-
-def text_of(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The text elements under each outer element, joined in document order."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col("tag") == "t", F.struct("node_id", "text"))))
-    return pairs.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("txt"))
+def text_of(nodes: DataFrame, owners: str) -> DataFrame:
+    """The text elements of each paragraph or run (owners), joined in document order; nested ones count for each that they are in."""
+    inside = nodes.where(F.col("tag") == "t").select("pkg_id", "part", F.explode(owners).alias("node_id_o"), "node_id", "text")
+    ordered = F.array_sort(F.collect_list(F.struct("node_id", "text")))
+    return inside.groupBy("pkg_id", "part", "node_id_o").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("txt"))
 
 
 def paragraphs_and_runs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paragraphs (pkg_id, part, para_id, txt, pstyle, b0, b1) and runs with formatting, nested ones under each paragraph."""
     keys = ["pkg_id", "part", "node_id_o"]
     above = nodes.select("pkg_id", "part", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("node_id_o"), F.col("tag").alias("up_tag"))
-    named = nodes.where(F.col("tag").isin("pStyle", "i", "b", "vanish", "color", "highlight", "rStyle")).select("pkg_id", "part", "parent_id", "tag", F.col("attrs")["w:val"].alias("val"))
+    named = nodes.where(F.col("tag").isin("pStyle", "i", "b", "vanish", "color", "highlight", "rStyle", "rFonts", "sz")).select("pkg_id", "part", "parent_id", "tag", F.col("attrs")["w:val"].alias("val"), F.coalesce(F.nullif(F.col("attrs")["w:ascii"], F.lit("")), F.col("attrs")["w:hAnsi"]).alias("face"))
     properties = named.join(above, ["pkg_id", "part", "parent_id"])
     styles = properties.where((F.col("up_tag") == "pPr") & (F.col("tag") == "pStyle")).groupBy(*keys).agg(F.first("val").alias("pstyle"))
     has = lambda t: F.bool_or(F.col("tag") == t)
     value = lambda t: F.first(F.when(F.col("tag") == t, F.col("val")), ignorenulls=True)
     formats = properties.where(F.col("up_tag") == "rPr").groupBy(*keys).agg(
-        has("i").alias("italic"), has("b").alias("bold"), has("vanish").alias("hidden"), value("color").alias("color"), value("highlight").alias("highlight"), value("rStyle").alias("rstyle")
+        has("i").alias("italic"), has("b").alias("bold"), has("vanish").alias("hidden"), value("color").alias("color"), value("highlight").alias("highlight"), value("rStyle").alias("rstyle"),
+        F.first(F.when(F.col("tag") == "rFonts", F.col("face")), ignorenulls=True).alias("font"), (value("sz").try_cast("int") / 2).alias("size"),
     )
     spans = nodes.where(F.col("tag").isin("p", "r")).select("pkg_id", "part", F.col("node_id").alias("node_id_o"), F.col("parent_id").alias("parent"), "tag", "b0", "b1")
     paragraphs = (
-        spans.where("tag = 'p'").join(text_of(within(nodes, "p", ["t"]), keys), keys, "left").join(styles, keys, "left")
+        spans.where("tag = 'p'").join(text_of(nodes, "paras"), keys, "left").join(styles, keys, "left")
         .select("pkg_id", "part", F.col("node_id_o").alias("para_id"), F.coalesce("txt", F.lit("")).alias("txt"), "pstyle", "b0", "b1")
     )
     parents = nodes.select("pkg_id", "part", F.col("node_id").alias("parent"), (F.col("tag") == "p").alias("parent_is_p"))
     false = F.lit(False)
     runs = (
-        spans.where("tag = 'r'").join(text_of(within(nodes, "r", ["t"]), keys), keys, "left").join(formats, keys, "left").join(parents, ["pkg_id", "part", "parent"], "left")
+        spans.where("tag = 'r'").join(text_of(nodes, "runs"), keys, "left").join(formats, keys, "left").join(parents, ["pkg_id", "part", "parent"], "left")
         .select(
             "pkg_id", "part", F.col("node_id_o").alias("run"), F.coalesce("txt", F.lit("")).alias("txt"), *(F.coalesce(c, false).alias(c) for c in ("italic", "bold", "hidden")),
-            "color", "highlight", "rstyle", F.coalesce("parent_is_p", false).alias("parent_is_p"), "b0", "b1",
+            "color", "highlight", "rstyle", "font", "size", F.coalesce("parent_is_p", false).alias("parent_is_p"), "b0", "b1",
         )
     )
-    owners = within(nodes, "p", ["r"]).select("pkg_id", "part", F.col("node_id_o").alias("para_id"), F.col("node_id").alias("run"))
+    owners = nodes.where(F.col("tag") == "r").select("pkg_id", "part", F.explode("paras").alias("para_id"), F.col("node_id").alias("run"))
     return paragraphs, runs.join(owners, ["pkg_id", "part", "run"], "left")
 
 
