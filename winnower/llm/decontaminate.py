@@ -218,3 +218,19 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cut = find_contamination(carried(docs, "text"), benchmark).withColumn("_cut", without_spans(F.col("text"), F.col("spans")))
     changed = {"text": lambda _: F.col("_cut"), "n_chars": lambda old: F.when(F.size("spans") > 0, F.length("_cut")).otherwise(old)}
     return restored(cut, docs, ("text",), changed)
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+tests AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM tests, unnest(range(1, len(w) - k + 2)) t(i)),
+sizes AS (SELECT DISTINCT k FROM windows),
+grams AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM docs, sizes, unnest(range(1, len(w) - k + 2)) t(i)),
+found AS MATERIALIZED (SELECT doc_id, i, grams.k, item FROM grams JOIN windows ON grams.k = windows.k AND grams.g = windows.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN named i ON d.doc_id = i.doc_id
+"""

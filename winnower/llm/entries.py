@@ -64,4 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": linespread.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE_SQL,
+    "op3_sharding": sharding.ORACLE_SQL,
+    "op6_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op7_line_dedup": linespread.ORACLE_SQL,
+}

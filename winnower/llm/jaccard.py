@@ -284,3 +284,19 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, numerator=80)) -> DataF
     same = (F.col("_no_id") == F.col("no_id")) & (F.col("_key") == F.col("id")) & (F.col("_whole") == F.col("whole"))
     once = keyed.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["_no_id", "_key", "_whole"])
     return restored(once, docs, ("doc_id", "text"), {})
+
+
+#: Four-word shingles, similarity 0.85: every pair that shares a shingle, then all that is reachable.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM texts
+),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, min(x.n) AS na, min(y.n) AS nb, count(*) AS shared FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT b, root FROM reached JOIN steps ON doc_id = a WHERE root < b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(root) AS component_id FROM sets s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)
+"""

@@ -48,3 +48,26 @@ def byte_shards(documents: DataFrame, shards: int = 8) -> DataFrame:
     return placed.join(F.broadcast(firsts), "shard").select(  # one row for each shard
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_at") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: CRC-32 is folded over a text's bytes with a table made by its rule.
+ORACLE_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT n AS byte, CAST(n AS BIGINT) AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(range(0, 2 * n, 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM raw, crc_table
+),
+placed AS (
+  SELECT *, row_number() OVER w AS nth, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS whole
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)
+),
+dealt AS (SELECT *, CAST(least(7, before * 8 // whole) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
