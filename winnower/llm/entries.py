@@ -69,4 +69,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_sharding": sharding.ORACLE_SQL,
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op7_line_dedup": linespread.ORACLE_SQL,
+    "op8_secret_scan": secrets.ORACLE_SQL,
 }

@@ -156,3 +156,46 @@ def find_secrets(documents: DataFrame) -> DataFrame:
         F.size("_entropy").cast("long").alias("n_entropy"),
         "found",
     )
+
+
+def literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def located(kind: str, rank: int, pattern: str, group: int) -> str:
+    p = literal(pattern)
+    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS xs, string_split_regex(t, {p}) AS gaps FROM docs WHERE regexp_matches(t, {p})"
+
+
+SPANS_SQL = "coalesce(string_agg(concat(kind, ':', b0, ':', b1), ',' ORDER BY b0, rank), '')"
+
+#: Places are sums over the matches and the gaps before them; each window's entropy is counted on its own.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+listed AS (
+  {located("assign", 0, ASSIGN, 2)}
+  UNION ALL {located("access", 1, ACCESS, 0)}
+  UNION ALL {located("hex", 2, HEX, 0)}
+  UNION ALL {located("entropy", 3, CANDIDATE, 0)}
+),
+single AS (SELECT doc_id, rank, kind, i, ms[i] AS m, xs[i] AS x, gaps[i] AS gap FROM listed, unnest(range(1, len(ms) + 1)) u(i)),
+placed AS (SELECT doc_id, rank, kind, m, x, sum(length(m) + length(gap)) OVER (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS b1 FROM single),
+found AS (SELECT *, b1 - length(m) AS b0 FROM placed),
+base AS (SELECT * FROM found WHERE kind <> 'entropy' AND (kind <> 'assign' OR length(x) >= {ASSIGN_LEAST})),
+candidates AS (
+  SELECT * FROM found c WHERE kind = 'entropy' AND NOT ({" OR ".join(f"regexp_matches(m, {literal(a)})" for a in ALLOWED)})
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.b0 < c.b1 AND c.b0 < b.b1)
+),
+windows AS (SELECT doc_id, b0, w, unnest(string_split(substr(m, w, {WINDOW}), '')) AS c FROM candidates, unnest(range(1, length(m) - {WINDOW} + 2)) u(w)),
+counts AS (SELECT doc_id, b0, w, c, count(*) AS n FROM windows GROUP BY ALL),
+entropies AS (SELECT doc_id, b0, w, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS e FROM counts GROUP BY doc_id, b0, w),
+peaks AS (SELECT doc_id, b0, max(e) AS e FROM entropies GROUP BY doc_id, b0),
+added AS (
+  SELECT c.* FROM candidates c JOIN peaks p ON c.doc_id = p.doc_id AND c.b0 = p.b0
+  WHERE e >= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {THRESHOLDS["hex"]} WHEN regexp_full_match(m, '[0-9A-Za-z]+') THEN {THRESHOLDS["alphanumeric"]} ELSE {THRESHOLDS["base64"]} END
+),
+based AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {SPANS_SQL} AS spans FROM base GROUP BY doc_id),
+whole AS (SELECT doc_id, {SPANS_SQL} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(w.spans, '') AS spans
+FROM docs d LEFT JOIN based b ON d.doc_id = b.doc_id LEFT JOIN whole w ON d.doc_id = w.doc_id
+"""
