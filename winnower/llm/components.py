@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import materialize
+from winnower.llm.common import discard, materialize, new_folder
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -23,20 +23,19 @@ def star(links: DataFrame, large: bool) -> DataFrame:
     return tied.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links of longs a and b; returns node and component (the least node) of every node that has a link.
 
-    Each step is written to the shared folder. A null end and a link of a node with itself are left out.
+    Each step is written to the shared folder and the one before it deleted; the links settle, whatever their number. A null end and a link of a node with itself are left out.
     """
     ends = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    now = materialize(ends, "links")
-    seen = None
-    for _ in range(rounds):
-        now = materialize(star(star(now, large=True), large=False), "star")
+    spark, folder = links.sparkSession, new_folder(links.sparkSession)
+    now, seen, step = materialize(ends, "0", folder), None, 0
+    while True:
+        now = materialize(star(star(now, large=True), large=False), str(step + 1), folder)
+        discard(spark, folder, str(step))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
-    else:
-        raise RuntimeError("components did not settle")
+        seen, step = mark, step + 1
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import byte_runs, byte_slices, carried, materialize, mix, restored, run_hashes, text_bytes
+from winnower.llm.common import byte_runs, byte_slices, carried, discard, materialize, mix, new_folder, restored, run_hashes, text_bytes
 from winnower.llm.components import connected_components
 
 TOKEN_BITS = 52
@@ -168,6 +168,7 @@ def similar_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, whole (hash of the text), n_shingles, component_id and component (a class; null without shingles) of every row."""
     spark = documents.sparkSession
+    folder = new_folder(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("whole"), text.alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, rule))  # at most MOST_FREQUENT tokens
@@ -182,14 +183,14 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "n_shingles", "prefix", "class", "early", "rest"])
 
     schema = "doc_id long, whole long, n_shingles long, prefix long, class long, early array<long>, rest array<long>"
-    rows = materialize(texts.mapInArrow(sized, schema), "sets")
+    rows = materialize(texts.mapInArrow(sized, schema), "sets", folder)
     sizes = (F.min("n_shingles").alias("n"), F.min("prefix").alias("prefix"), F.min(F.size("early")).alias("early"))
-    classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), *sizes), "classes")
+    classes = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), *sizes), "classes", folder)
 
     # exact counts of the first share's tokens; one that only one class holds proposes nothing
     early = rows.select("class", F.explode("early").alias("token"))
     shared = early.groupBy("token").agg(F.min("class").alias("head"), F.max("class").alias("tail"), F.count("*").alias("df")).where("head <> tail")
-    common = materialize(early.join(materialize(shared.select(F.col("token").alias("of"), "df"), "shared"), F.col("token") == F.col("of")).select("class", "token", "df").distinct(), "common")
+    common = materialize(early.join(materialize(shared.select(F.col("token").alias("of"), "df"), "shared", folder), F.col("token") == F.col("of")).select("class", "token", "df").distinct(), "common", folder)
     held = common.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # at most a set's tokens
     lone = F.col("early") - F.size("held")  # first in the order, as only this class holds them
     room = F.least(F.greatest(F.col("prefix") - lone, F.lit(0)), F.size("held")).cast("int")
@@ -197,18 +198,20 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
     rest = rows.select("class", F.col("n_shingles").alias("n"), F.size("early").alias("before"), F.posexplode("rest").alias("at", "token")).distinct()
     columns = ("class", F.col("n").cast("int").alias("n"))
     index = chosen.select(*columns, F.col("t.token").alias("token"), (F.col("lone") + F.col("at")).alias("place")).union(rest.select(*columns, "token", F.col("before") + F.col("at")))
-    index = materialize(index, "index")
+    index = materialize(index, "index", folder)
+    discard(spark, folder, "shared", "common")
 
     # a list's head is the class that the token comes first in: of copies with changes, the one with the fewest
     one = ("class", "n", "place")
     lists = index.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.min(F.struct(*one)).alias("low"), F.max(F.struct(*one)).alias("high"), F.count("*").alias("many"))
-    lists = materialize(lists.where("low.class <> high.class").select("token", F.struct(*(F.col(f"head.{c}").alias(c) for c in one)).alias("head"), "low", "high", "many"), "lists")
+    lists = materialize(lists.where("low.class <> high.class").select("token", F.struct(*(F.col(f"head.{c}").alias(c) for c in one)).alias("head"), "low", "high", "many"), "lists", folder)
     longer = lists.where("many > 2").select(F.col("token").alias("of"), "head")
-    members = materialize(index.join(longer, F.col("token") == F.col("of")).select("token", "head", F.struct(*one).alias("self")), "members")
+    members = materialize(index.join(longer, F.col("token") == F.col("of")).select("token", "head", F.struct(*one).alias("self")), "members", folder)
     twos = lists.where((F.col("many") == 2) & rule.may_link(F.col("low"), F.col("high"))).select(F.col("low.class").alias("a"), F.col("high.class").alias("b"))
     heads = members.where((F.col("head.class") != F.col("self.class")) & rule.may_link(F.col("head"), F.col("self"))).select(F.least("head.class", "self.class"), F.greatest("head.class", "self.class"))
     pairs = twos.union(heads).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", folder)
+    discard(spark, folder, "index", "lists")
 
     # those that stand in a longer list too, as they may be paired with others than its head
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("self.class")).distinct()
@@ -225,7 +228,7 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
 
     schema = ", ".join(["class long, tokens array<long>", *(f"p{k} array<long>" for k in others)])
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(detailed, schema)
-    details = materialize(found.dropDuplicates(["class"]), "details")
+    details = materialize(found.dropDuplicates(["class"]), "details", folder)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow it, that pass the filter of each further order, and whose sets are similar."""
@@ -238,17 +241,19 @@ def grouped(documents: DataFrame, rule: Rule) -> DataFrame:
         shared = F.size(F.array_intersect("s", "t"))
         return both.where(rule.denominator * shared >= rule.numerator * (low + high - shared)).select("a", "b")
 
-    first = materialize(linked(pairs), "links")
+    first = materialize(linked(pairs), "links", folder)
     known = connected_components(first)
     named = members.join(known, F.col("self.class") == F.col("node"), "left").select("token", "self", F.coalesce("component", "self.class").alias("component"))
     rest = apart(named, rule)
+    discard(spark, folder, "members")
     second = linked(rest.join(pairs, ["a", "b"], "left_anti"))
     parts = connected_components(first.union(second))
+    discard(spark, folder, "pairs", "details", "links")
 
     least = classes.join(parts, F.col("class") == F.col("node")).groupBy("component").agg(F.min("least").alias("component_id"))
     joined = parts.join(least, "component").select("node", "component", "component_id")
     named = classes.join(joined, F.col("class") == F.col("node"), "left")
-    answer = materialize(named.select(F.col("class").alias("of"), F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "answer")
+    answer = materialize(named.select(F.col("class").alias("of"), F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "answer", folder)
     full = F.col("n_shingles") > 0
     return rows.join(answer, (F.col("class") == F.col("of")) & full, "left").select("doc_id", "whole", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
@@ -261,12 +266,15 @@ def apart(lists: DataFrame, rule: Rule) -> DataFrame:
     """
     parts = lists.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
     spread = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    spread = materialize(spread.select(F.col("token").alias("of"), "main"), "spread")
-    mixed = materialize(lists.join(spread, F.col("token") == F.col("of")).drop("of"), "mixed")
+    spark, folder = lists.sparkSession, new_folder(lists.sparkSession)
+    spread = materialize(spread.select(F.col("token").alias("of"), "main"), "spread", folder)
+    mixed = materialize(lists.join(spread, F.col("token") == F.col("of")).drop("of"), "mixed", folder)
     outside = mixed.where("component <> main").select("token", F.col("self").alias("other"), F.col("component").alias("own"))
     fits = (F.col("own") != F.col("component")) & rule.may_link(F.col("self"), F.col("other"))
     found = outside.join(mixed, "token").where(fits).select(F.least("self.class", "other.class").alias("a"), F.greatest("self.class", "other.class").alias("b"))
-    return materialize(found.distinct(), "apart")
+    found = materialize(found.distinct(), "apart", folder)
+    discard(spark, folder, "spread", "mixed")
+    return found
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(words=5, numerator=80)) -> DataFrame:
