@@ -146,6 +146,28 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.paragraph_counts(view(spark, sf_dir, "spec_lines"))
 
 
+CONFIG = {
+    "specifier_notes": {"enabled": False},
+    "editorial_artifacts": {"text_patterns": [R.EDITORIAL_PATTERNS[0], r"\[tbd\]"]},
+    "style_based_detection": {"paragraph_styles": ["CMT"]},
+}
+
+
+@query(oracle(("spec_lines",), f"SELECT 'editorial_artifact' AS content_type, count(*) AS n, count(DISTINCT doc_id) AS docs, round(sum(0.8::DOUBLE), 4) AS sum_conf FROM spec_lines WHERE {SOLID.format('txt')} AND {any_hit(CONFIG['editorial_artifacts']['text_patterns'], 'txt')} HAVING count(*) > 0"))
+def detection_counts_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a configuration: a section that is off, one with patterns of its own, and the rest left out."""
+    lines = view(spark, sf_dir, "spec_lines")
+    return report.counts_by_type(detect.exploded(detect.with_detections(lines, detect.paragraph_element(), R.from_config(CONFIG))))
+
+
+@query(oracle(("spec_lines",), f"SELECT doc_id, pos FROM spec_lines WHERE length(txt) > 300 AND NOT {any_hit(R.PRESERVE_PATTERNS, 'txt')}"))
+def detect_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector of one's own beside the built-in ones."""
+    long = ("long_line", lambda e: (F.when(F.length(e.text) > 300, F.lit(0.9)), F.lit("longer than 300 characters")))
+    found = detect.exploded(detect.with_detections(view(spark, sf_dir, "spec_lines"), detect.paragraph_element(), custom=(long,)))
+    return found.where("content_type = 'long_line'").select("doc_id", "pos")
+
+
 # Decisions
 
 DECISION = (

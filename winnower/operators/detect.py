@@ -120,13 +120,13 @@ def run_element(text: str = "txt", style: str = "rstyle") -> Element:
     return Element(F.col(text), F.col(style), F.struct("italic", "color", "hidden"))
 
 
-def with_detections(df: DataFrame, element: Element, rules: Rules = DEFAULT, name: str = "found") -> DataFrame:
+def with_detections(df: DataFrame, element: Element, rules: Rules = DEFAULT, name: str = "found", custom: Sequence[Custom] = ()) -> DataFrame:
     """Adds the detections. What each section's patterns found is worked out once first, so that no pattern is tried twice."""
     low = F.col("_low")
     hits = F.struct(nonblank(element.text).alias("solid"), *(element.hit(s, rules, low).alias(s) for s in SECTIONS if s != "hidden_text"))
     found = once(df.withColumn("_low", lowered(element.text)), "_hits", hits)
     ready = Element(element.text, element.style, element.formatting, F.col("_hits"))
-    return found.withColumn(name, detections(ready, rules)).drop("_low", "_hits")
+    return found.withColumn(name, detections(ready, rules, custom)).drop("_low", "_hits")
 
 
 def exploded(df: DataFrame, name: str = "found") -> DataFrame:
