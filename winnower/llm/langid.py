@@ -92,7 +92,7 @@ def identify_languages(docs: DataFrame, model: crf.Chain | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        for batch in (part for whole in batches for part in byte_slices(whole, limit=6 << 20)):
+        for batch in (part for whole in batches for part in byte_slices(whole, limit=3 << 20)):
             n = batch.num_rows
             lettered = batch["lettered"].to_numpy(zero_copy_only=False)
             names = chain.labels if chain else []

@@ -120,7 +120,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in (part for whole in batches for part in byte_slices(whole, limit=6 << 20)):
+        for batch in (part for whole in batches for part in byte_slices(whole, limit=3 << 20)):
             n = batch.num_rows
             if model is None:
                 score, spans = np.zeros(n), [[] for _ in range(n)]
