@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.llm import ctw, decontaminate, jaccard, langid, linespread, packing, secrets, sharding, toxicity, vamana
+from winnower.llm import bpe, codebooks, ctw, decontaminate, jaccard, langid, linespread, packing, secrets, sharding, toxicity, vamana
 from winnower.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op7_line_dedup": linespread.ORACLE_SQL,
     "op8_secret_scan": secrets.ORACLE_SQL,
+    "op13_vector_codes": codebooks.ORACLE_SQL,
 }
