@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnower.llm import bpe, codebooks, ctw, decontaminate, jaccard, langid, linespread, packing, secrets, sharding, toxicity, vamana
+from winnower.llm import bpe, codebooks, ctw, decontaminate, jaccard, langid, linespread, packing, ranked, secrets, sharding, toxicity, vamana
 from winnower.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_ranked_search": op12_ranked_search,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -80,5 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op7_line_dedup": linespread.ORACLE_SQL,
     "op8_secret_scan": secrets.ORACLE_SQL,
+    "op12_ranked_search": ranked.ORACLE_SQL,
     "op13_vector_codes": codebooks.ORACLE_SQL,
 }
