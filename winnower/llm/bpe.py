@@ -151,13 +151,16 @@ class Joint:
         at = np.arange(len(data))
         self.wait(at, at + 1)
 
-    def wait(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Pairs of neighbouring parts go to the buckets of their ranks, in order."""
-        near = self.owner[left] == self.owner[right]
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of what pairs of ids make; -1 for none."""
         keys, made = self.codec.pairs
-        key = self.ids[left] << 32 | self.ids[right]
+        key = left << 32 | right
         place = np.searchsorted(keys, key)
-        rank = np.where(near & (keys[place] == key), made[place], -1)
+        return np.where(keys[place] == key, made[place], -1)
+
+    def wait(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Pairs of neighbouring parts go to the buckets of their ranks, in order."""
+        rank = np.where(self.owner[left] == self.owner[right], self.ranks_of(self.ids[left], self.ids[right]), -1)
         self.waiting[left] = rank
         left, rank = left[rank >= 0], rank[rank >= 0]
         if not len(left):
@@ -202,6 +205,10 @@ class Joint:
                 at = at[every_other(touches)]
                 gone = self.after[at]
             end = self.after[gone]
+            beside = np.flatnonzero(end[:-1] == at[1:])
+            if len(beside):  # alone, the left one would have met the right one's first part
+                between = self.ranks_of(np.full(len(beside), rank), self.ids[at[beside + 1]])
+                self.doubtful.update(self.owner[at[beside[(between >= 0) & (between < rank)]]].tolist())
             self.after[at], self.ids[at] = end, rank
             self.waiting[gone], self.alive[gone] = -1, False
             self.before[end] = np.where(self.owner[end] == self.owner[at], at, self.before[end])
