@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,35 @@ def test_scores_equal_brute_force(spark):
     assert want == Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 3)) for r in got)
 
 
+def test_readings_that_are_split_differently(spark, tmp_path, monkeypatch):
+    """The texts are read twice; splits that change in between move no row to another block."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(60)), "s") for i in range(3000)] + [(7, "equal rows", "s")] * 50
+    path = str(tmp_path / "docs.parquet")
+    documents(spark, rows).coalesce(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", 65536).parquet(path)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 100_000)
+    want = Counter(tuple(r) for r in ctw.score_texts(spark.read.parquet(path)).collect())
+    key, own = "spark.sql.files.maxPartitionBytes", ctw.materialize
+
+    def then_split(df, name, *more):
+        done = own(df, name, *more)
+        spark.conf.set(key, "32k")
+        return done
+
+    monkeypatch.setattr(ctw, "materialize", then_split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        docs = spark.read.parquet(path)
+        got = ctw.score_texts(docs)
+        assert got.rdd.getNumPartitions() and Counter(tuple(r) for r in got.collect()) == want
+        spark.conf.unset(key)
+        derived = ctw.score_texts(docs.union(docs.limit(0)).repartition(3))
+        assert Counter(tuple(r) for r in derived.collect()) == want
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_long_text_and_empty_table(spark):
     got = {r["doc_id"]: r for r in ctw.score_texts(documents(spark, ODD)).collect()}
     assert got[6]["n_tokens"] == 30_001 and (held(6) or got[6]["bits_per_byte"] < 0.5)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,16 @@ def restored(df: DataFrame, docs: DataFrame, used: Sequence[str], changed: dict[
     return df.select(*columns)
 
 
+def stored_place(docs: DataFrame) -> Column | None:
+    """A hash of the file and the row that a row is read from, the same however a reading is split; None if docs isn't read from files."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        docs.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

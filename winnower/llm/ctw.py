@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.common import byte_slices, discard, give_back, in_fold, materialize, new_folder, released, text_bytes
+from winnower.llm.common import byte_slices, discard, give_back, in_fold, materialize, new_folder, released, stored_place, text_bytes
 
 DEPTH = 5
 SHALLOW = 2
@@ -295,15 +295,19 @@ SCORES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 def score_texts(documents: DataFrame) -> DataFrame:
     """Learns from rows outside the held-out fold (crc32 of the id mod 7 is 2) and scores every text."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    folder = new_folder(spark)
+    place = stored_place(documents)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.monotonically_increasing_id() if place is None else place).alias("_place"))
+    if place is None:
+        docs = materialize(docs, "docs", folder)
     docs = docs.withColumn("held_out", in_fold(F.col("doc_id"), 7, 2))
     size, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     blocks = (size or 0) // BLOCK_BYTES + 1
-    # rows that are equal in id and text are dealt by where they were read, so that no block has all of them
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), F.lit(blocks)).cast("int"))
+    # Dealt by where rows are stored: both readings, however they are split, put a row into the same block, and rows that
+    # are equal in id and text are spread. Rows that aren't read from files are written with a number first.
+    dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("_place"), F.lit(blocks)).cast("int").alias("block"))
 
     listed = dealt.repartitionById(blocks, "block").groupBy("block").applyInArrow(list_block, "block int, word string, gram long, n long")
-    folder = new_folder(spark)
     listed = materialize(listed, "listed", folder)
     words, grams = listed.where("word is not null").select("block", "word", "n"), listed.where("gram is not null").select("block", "gram", "n")
     totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words", folder)
