@@ -4,7 +4,7 @@ Equal vectors are one node. Each shard's graph starts at random and is improved
 from the most central node proposes neighbours for each node, and relaxed pruning keeps a proposal only if no
 kept neighbour is closer to it than the node is, by the factor alpha; kept edges are also proposed in the
 other direction. A query is answered by beam search in every shard, and the shards' answers are merged.
-Queries are packed in blocks of bounded size, and each block meets each shard: rows of a plain join by shard.
+Queries are packed in blocks of bounded size, and each block streams past each shard, which is sent once.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do
 rows with a null id; only vectors of the query's own length are its candidates; rows that repeat id and vector
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,27 +228,57 @@ def in_blocks(queries: DataFrame, shards: DataFrame) -> DataFrame:
     return packed.join(F.broadcast(shards), "width").select(F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("shard"), "query_ids", "queries")
 
 
-def search_shard(row: tuple, neighbours: int, beam: int) -> pd.DataFrame:
-    """The nearest of a block of queries in one shard: query_id, vec_id, score."""
-    points = np.frombuffer(row.points).reshape(-1, row.width)
-    rough = points.astype(np.float32)
-    graph = np.frombuffer(row.graph, np.int32).reshape(len(points), -1)
-    many, members = np.frombuffer(row.many, np.int32), np.frombuffer(row.ids, np.int64)
-    query_ids, queries = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.queries).reshape(-1, row.width)
-    begin, best = np.cumsum(many) - many, []
-    for i in range(0, len(queries), BATCH):
-        found, _ = beam_search(rough, graph, row.start, queries[i : i + BATCH].astype(np.float32), min(beam, max(neighbours + 1, len(points))))
-        found = found[:, : 2 * neighbours + 1]  # single precision only ranks the beam
-        q, k = np.nonzero(found >= 0)
-        node = found[q, k]
-        gap = points[node] - queries[i + q]
-        score = np.sqrt((gap * gap).sum(1))
-        count = many[node]
-        at = np.repeat(begin[node] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        got = pd.DataFrame({"query_id": np.repeat(query_ids[i + q], count), "vec_id": members[at], "score": np.repeat(score, count)})
-        got = got[got["query_id"] != got["vec_id"]]
-        best.append(got.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(neighbours))
-    return pd.concat(best)
+class Shard:
+    """A shard's vectors, ids and graph, as a worker searches them."""
+
+    def __init__(self, row: dict) -> None:
+        self.points = np.frombuffer(row["points"]).reshape(-1, row["width"])
+        self.rough = self.points.astype(np.float32)
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(len(self.points), -1)
+        self.many, self.members = np.frombuffer(row["many"], np.int32), np.frombuffer(row["ids"], np.int64)
+        self.begin, self.start = np.cumsum(self.many) - self.many, row["start"]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, neighbours: int, beam: int) -> pd.DataFrame:
+        """The nearest of a block of queries: query_id, vec_id, score."""
+        queries, best = queries.reshape(-1, self.points.shape[1]), []
+        for i in range(0, len(queries), BATCH):
+            found, _ = beam_search(self.rough, self.graph, self.start, queries[i : i + BATCH].astype(np.float32), min(beam, max(neighbours + 1, len(self.points))))
+            found = found[:, : 2 * neighbours + 1]  # single precision only ranks the beam
+            q, k = np.nonzero(found >= 0)
+            node = found[q, k]
+            gap = self.points[node] - queries[i + q]
+            score = np.sqrt((gap * gap).sum(1))
+            count = self.many[node]
+            at = np.repeat(self.begin[node] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            got = pd.DataFrame({"query_id": np.repeat(query_ids[i + q], count), "vec_id": self.members[at], "score": np.repeat(score, count)})
+            got = got[got["query_id"] != got["vec_id"]]
+            best.append(got.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(neighbours))
+        return pd.concat(best)
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def search_shards(index: DataFrame, blocks: DataFrame, count: int, neighbours: int, beam: int) -> DataFrame:
+    """query_id, vec_id and score of each shard's nearest. A shard comes once, before the blocks of queries, which stream past it."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    held = ("width", "start", "points", "graph", "many", "ids")
+    shards = index.select("shard", F.lit(0).alias("kind"), *held, none("query_ids", "binary"), none("queries", "binary"))
+    asked = blocks.select("shard", F.lit(1).alias("kind"), *(none(c, "int" if c in held[:2] else "binary") for c in held), "query_ids", "queries")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["kind"] == 0:
+                    shard = Shard(row)
+                else:
+                    found = shard.search(np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"]), neighbours, beam)
+                    yield pa.RecordBatch.from_pandas(found, schema=FOUND, preserve_index=False)
+
+    ordered = shards.union(asked).repartitionById(max(1, count), "shard").sortWithinPartitions("shard", "kind")
+    return ordered.groupBy("shard").applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, neighbours: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -256,11 +287,7 @@ def nearest(embeddings: DataFrame, every: int = 100, neighbours: int = 10, beam:
     index, shards = build_index(vectors, neighbours)
     queries = vectors.where(F.col("vec_id") % every == 0).distinct().withColumn("width", F.size("embedding"))
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                yield search_shard(row, neighbours, beam)
-
-    answers = index.join(in_blocks(queries, shards), "shard").mapInPandas(search, "query_id long, vec_id long, score double")
+    total = shards.agg(F.sum("count")).first()[0] or 0
+    answers = search_shards(index, in_blocks(queries, shards), total, neighbours, beam)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return answers.withColumn("rank", place).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
