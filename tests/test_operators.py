@@ -84,3 +84,90 @@ def test_cheap_test_promises_no_more_than_the_pattern(spark):
             got = df.select(text.matches(F.col("txt"), p), text.matches(F.col("txt"), p, F.col("low"))).collect()
             assert all(a == b for a, b in got), p
     assert [text.literal(p) for p in (r"a|b", r"x?yz", r"(ab)c\d+de", r"[^]a]q", r"\x41b", r"ab{0}c", "Ä b")] == ["", "yz", "de", "q", "", "a", ""]
+
+
+def test_closure_of_five_thousand_styles_in_few_jobs(spark):
+    chain = [(1, f"S{i}", f"S{i + 1}", None, f"S{i}" if i % 7 else "S0") for i in range(5000)] + [(2, "S1", None, None, None)]
+    spark.sparkContext.setJobGroup("closure", "closure")
+    reached = styles.closure(spark.createDataFrame(chain, "pkg_id int, style_id string, based_on string, linked string, next_style string"), spark.createDataFrame([(1, "S0")], "pkg_id int, style_id string"))
+    got = {tuple(r) for r in reached.collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("closure")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(1, f"S{i}") for i in range(5001)} and len(jobs) <= 16
+
+
+def inside(nodes):
+    """Pairs by walking up from each element."""
+    parent = {(p, n): up for p, n, up, *_ in nodes}
+    out = set()
+    for p, n, up, *_ in nodes:
+        while up is not None:
+            out.add((p, up, n))
+            up = parent[p, up]
+    return out
+
+
+def test_containment_equals_a_walk(spark):
+    import random
+
+    from winnower.operators import containment
+
+    rng, rows = random.Random(3), []
+    for part, shape in (("a", "wide"), ("b", "deep"), ("c", "mixed"), ("d", "single")):
+        stack, size = [], 1 if shape == "single" else 400
+        for n in range(size):
+            drop = {"wide": 0.9, "deep": 0.02, "mixed": 0.5, "single": 0}[shape]
+            while len(stack) > 1 and rng.random() < drop:
+                stack.pop()
+            rows.append([part, n, stack[-1] if stack else None, rng.choice("xyz")])
+            stack.append(n)
+    last = {}
+    for p, n, _, _ in reversed(rows):
+        up = n
+        while up is not None:
+            last.setdefault((p, up), n)
+            up = next((r[2] for r in rows if r[0] == p and r[1] == up), None)
+    df = spark.createDataFrame([("k", p, n, last[p, n], t) for p, n, _, t in rows], "pkg_id string, part string, node_id int, last_desc_id int, tag string")
+    tags = {(p, n): t for p, n, _, t in rows}
+    found = containment.contained(df.where("tag in ('x', 'y')"), df.where("tag <> 'y'"))
+    want = {(p, a, d) for p, a, d in inside(rows) if tags[p, a] in "xy" and tags[p, d] != "y"}
+    got = [(r["part"], r["ancestor"], r["descendant"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    inner = {(r["part"], r["descendant"]): (r["ancestor"], r["depth"]) for r in containment.nearest(found).collect()}
+    assert inner == {(p, d): (max(a for q, a, e in want if (q, e) == (p, d)), sum((q, e) == (p, d) for q, _, e in want)) for p, _, d in want}
+
+
+def test_containment_of_a_million_elements(spark):
+    """A part of a million elements: 50,000 spans of 20; candidates stay near the answers."""
+    from winnower.operators import containment
+
+    spans = spark.range(50_000).selectExpr("'k' AS pkg_id", "'p' AS part", "cast(id * 20 AS int) AS node_id", "cast(id * 20 + 19 AS int) AS last_desc_id")
+    texts = spark.range(1_000_000).selectExpr("'k' AS pkg_id", "'p' AS part", "cast(id AS int) AS node_id")
+    assert containment.contained(spans, texts).count() == 950_000
+    assert containment.blocks(spans).count() <= 3 * 50_000
+
+
+def test_rules_of_a_table_find_what_each_pattern_finds(spark):
+    import re
+
+    from winnower import rules as R
+    from winnower.operators import ruletable
+
+    patterns = [(s, i, p) for s, part in R.DEFAULT.sections.items() for i, p in enumerate(part.patterns)]
+    patterns += [("own", 0, "abc"), ("own", 1, "a|b{2}"), ("own", 2, r"straße"), ("own", 3, r"kilo\s+meter"), ("own", 4, r"kilo\s+meter"), ("own", 5, "x" * 50)]
+    texts = ["NOTE TO SPECIFIER: x", "Copyright 2024 all rights reserved", "[TBD] retain or delete", "   ", "", None, "Kilo  meter", "STRAßE", "ABC", "bb", "x" * 60, "ſpecagent", "End of Section"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "k int, txt string")
+    found = ruletable.hits(lines, spark.createDataFrame(patterns, "section string, seq int, pattern string"), ("k",))
+    got = {(r["k"], r["section"], r["seq"]) for r in found.collect()}
+    want = {(k, s, i) for k, t in enumerate(texts) if t is not None for s, i, p in patterns if re.search(p, t, re.I | re.S)}
+    assert got == want and found.count() == len(want)
+    first = {(r["k"], r["section"]): (r["seq"], r["n_hits"]) for r in ruletable.first_hits(found, ("k",)).collect()}
+    assert first == {(k, s): (min(i for a, b, i in want if (a, b) == (k, s)), sum((a, b) == (k, s) for a, b, _ in want)) for k, s, _ in want}
+
+
+def test_bookmarks_of_another_package_stay(spark):
+    rows = [("a", "word/document.xml", 1, "bookmarkStart", "_GoBack", "0"), ("b", "word/document.xml", 2, "bookmarkStart", "Chapter", "0"), ("b", "word/document.xml", 3, "bookmarkEnd", None, "0"), ("a", "word/header1.xml", 4, "bookmarkEnd", None, "0"), ("a", "word/document.xml", 5, "bookmarkEnd", None, "0")]
+    from winnower.operators import deep
+
+    found = deep.bookmark_pairs(spark.createDataFrame(rows, "pkg_id string, part string, node_id int, tag string, name string, bm_id string"))
+    assert sorted(r["node_id"] for r in found.collect()) == [1, 5]

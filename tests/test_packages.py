@@ -211,3 +211,34 @@ def test_orphaned_large_media_stay_out(spark, monkeypatch):
     row = P.pack(api.deep_clean(P.unpack(packages), operations=["media"]).parts, packages).first()
     with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
         assert row["error"] is None and "word/media/image1.png" not in z.namelist() and "word/document.xml" in z.namelist()
+
+
+MORE = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def test_equations_and_drawings_are_no_text(spark):
+    """Only the document's own paragraphs, runs and texts count; others of the same local names are left alone."""
+    math = f"<m:oMath {MORE}><m:r><m:t>[TBD]</m:t></m:r><m:r/></m:oMath>"
+    drawn = f"<w:drawing {MORE}><a:p><a:r><a:t>NOTE TO SPECIFIER: x</a:t></a:r></a:p></w:drawing>"
+    cases = frame(spark, math=package(f"<w:p>{run('a plain line')}{math}</w:p>"), drawn=package(f"<w:p>{run('kept')}</w:p>{drawn}"))
+    cleaned = api.shallow_clean(P.unpack(cases))
+    assert cleaned.cuts.count() == 0 and cleaned.detections.count() == 0
+    assert api.deep_clean(P.unpack(cases), operations=("empty",)).cuts.count() == 0
+
+
+def test_the_first_property_counts(spark):
+    props = '<w:rPr><w:color/><w:color w:val="FF0000"/><w:i/></w:rPr><w:rPr><w:b/><w:sz w:val="30"/></w:rPr>'
+    body = f'<w:p><w:pPr><w:pStyle w:val="One"/><w:pStyle w:val="Two"/></w:pPr><w:r>{props}<w:t>x<w:br/>y</w:t></w:r></w:p>'
+    paragraphs, runs = P.paragraphs_and_runs(P.shred(P.unpack(frame(spark, a=package(body), b=package(body)))).repartition(5))
+    assert [(r["pstyle"], r["txt"]) for r in paragraphs.collect()] == [("One", "x")] * 2
+    assert [(r["color"], r["italic"], r["bold"], r["size"]) for r in runs.collect()] == [(None, True, False, None)] * 2
+    style = '<w:style w:styleId="A"><w:basedOn/><w:basedOn w:val="B"/><w:name w:val="First"/><w:name w:val="Second"/></w:style>'
+    nodes = P.shred(P.unpack(frame(spark, a=package("", **{"word/styles.xml": f"<w:styles {W}>{style}</w:styles>"})))).repartition(5)
+    assert [(r["name"], r["based_on"]) for r in api.style_definitions(nodes).collect()] == [("First", None)]
+
+
+def test_one_pass_equals_splicing_and_packing(spark):
+    cases = frame(spark, a=package(f"<w:p>{run('© 2020')}</w:p><w:p>{run('stays')}</w:p>"), junk=b"no zip", clean=package(f"<w:p>{run('x')}</w:p>"))
+    for cleaned in (api.shallow_clean(P.unpack(cases)), api.deep_clean(P.unpack(cases))):
+        both = [{r["pkg_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in df.collect()} for df in (cleaned.packages(cases), P.pack(cleaned.parts, cases))]
+        assert both[0] == both[1] and both[0]["junk"][0] == b"no zip"

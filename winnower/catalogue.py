@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnower import rules as R
 from winnower.functions.text import first_hit, lowered, matches, matches_any, once
-from winnower.operators import deep, detect, diagnose, html, report, styles
+from winnower.operators import containment, deep, detect, diagnose, html, report, ruletable, styles
 from winnower.plans.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +265,50 @@ def pattern_hit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("section", "seq").agg(F.count("*").alias("lines"))
 
 
+#: The fixed rules as a table.
+RULE_ROWS = [(s, i, p) for s, i, p in ALL_PATTERNS]
+#: The same, and one literal rule for each document: a table of rules that grows with the corpus.
+GROWN = f"""fixed AS ({" UNION ALL ".join(f"SELECT doc_id, pos, {quoted(s)} AS section, CAST({i} AS BIGINT) AS seq, {quoted(p)} AS pattern FROM spec_lines WHERE {hit(p, 'txt')}" for s, i, p in ALL_PATTERNS)}),
+  grown AS (SELECT doc_id, pos, 'phrases' AS section, seq, pattern FROM spec_lines JOIN spec_rules ON contains(lower(txt), pattern)), every_hit AS (SELECT * FROM fixed UNION ALL SELECT * FROM grown)"""
+
+
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULE_ROWS, "section string, seq bigint, pattern string")
+    grown = view(spark, sf_dir, "spec_rules").select(F.lit("phrases").alias("section"), "seq", "pattern")
+    return ruletable.hits(view(spark, sf_dir, "spec_lines"), rules.union(grown), ("doc_id", "pos"))
+
+
+@query(oracle(("spec_lines", "spec_rules"), "SELECT section, seq, count(*) AS lines FROM every_hit GROUP BY section, seq", (GROWN,)))
+def rule_table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_hits(spark, sf_dir).groupBy("section", "seq").agg(F.count("*").alias("lines"))
+
+
+@query(oracle(("spec_lines", "spec_rules"), "SELECT doc_id, pos, section, min(seq) AS seq, arg_min(pattern, seq) AS pattern, count(*) AS n_hits FROM every_hit GROUP BY doc_id, pos, section", (GROWN,)))
+def rule_table_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ruletable.first_hits(rule_hits(spark, sf_dir), ("doc_id", "pos"))
+
+
+# Containment
+
+#: Each element with each one above it, by walking up from parent to parent.
+WALK = """walk(pkg_id, part, node_id, tag, above) AS (SELECT pkg_id, part, node_id, tag, parent_id FROM spec_tree WHERE parent_id IS NOT NULL
+  UNION ALL SELECT w.pkg_id, w.part, w.node_id, w.tag, t.parent_id FROM walk w JOIN spec_tree t ON w.pkg_id = t.pkg_id AND w.above = t.node_id WHERE t.parent_id IS NOT NULL),
+  above AS (SELECT w.pkg_id, w.part, w.node_id AS descendant, w.tag, w.above AS ancestor, t.tag AS up FROM walk w JOIN spec_tree t ON w.pkg_id = t.pkg_id AND w.above = t.node_id)"""
+
+
+@query(oracle(("spec_tree",), "SELECT pkg_id, part, ancestor, descendant FROM above WHERE up = 'tbl' AND tag = 'tc'", (WALK,), recursive=True))
+def cells_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = view(spark, sf_dir, "spec_tree")
+    return containment.contained(tree.where("tag = 'tbl'"), tree.where("tag = 'tc'"))
+
+
+@query(oracle(("spec_tree",), "SELECT pkg_id, part, descendant, max(ancestor) AS ancestor, count(*) AS depth FROM above WHERE up IN ('txbxContent', 'tbl') AND tag = 't' AND part LIKE 'word/header%' GROUP BY pkg_id, part, descendant", (WALK,), recursive=True))
+def innermost_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of headers that lie in a text box or a table, with the innermost one."""
+    tree = view(spark, sf_dir, "spec_tree").where(F.col("part").startswith("word/header"))
+    return containment.nearest(containment.contained(tree.where("tag IN ('txbxContent', 'tbl')"), tree.where("tag = 't'")))
+
+
 # Styles
 
 EDGES = ("edges AS (SELECT pkg_id, style_id AS src, 'basedOn' AS kind, based_on AS dst FROM spec_styles WHERE based_on IS NOT NULL UNION ALL SELECT pkg_id, style_id, 'link', linked FROM spec_styles WHERE linked IS NOT NULL UNION ALL SELECT pkg_id, style_id, 'next', next_style FROM spec_styles WHERE next_style IS NOT NULL)",)
@@ -371,9 +415,9 @@ INTERNAL = "(" + " OR ".join(f"starts_with(name, '{p}')" for p in R.BOOKMARK_PRE
 @query(
     oracle(
         ("spec_nodes",),
-        f"""SELECT node_id, tag, bm_id, CASE WHEN name = '_GoBack' THEN 'Cursor position bookmark' WHEN starts_with(name, '_Hlk') THEN 'Hyperlink anchor bookmark' ELSE 'Internal Word bookmark' END AS reason
-        FROM spec_nodes WHERE tag = 'bookmarkStart' AND {INTERNAL}
-        UNION ALL SELECT node_id, tag, bm_id, NULL FROM spec_nodes WHERE tag = 'bookmarkEnd' AND bm_id IN (SELECT bm_id FROM spec_nodes WHERE tag = 'bookmarkStart' AND {INTERNAL})""",
+        f"""SELECT pkg_id, node_id, tag, bm_id, CASE WHEN name = '_GoBack' THEN 'Cursor position bookmark' WHEN starts_with(name, '_Hlk') THEN 'Hyperlink anchor bookmark' ELSE 'Internal Word bookmark' END AS reason
+        FROM spec_nodes WHERE part = 'word/document.xml' AND tag = 'bookmarkStart' AND {INTERNAL}
+        UNION ALL SELECT pkg_id, node_id, tag, bm_id, NULL FROM spec_nodes WHERE part = 'word/document.xml' AND tag = 'bookmarkEnd' AND (pkg_id, bm_id) IN (SELECT (pkg_id, bm_id) FROM spec_nodes WHERE part = 'word/document.xml' AND tag = 'bookmarkStart' AND {INTERNAL})""",
     )
 )
 def bookmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from winnower import rules as R
 from winnower.catalogue import DECISION, RUNS, listed, query
-from winnower.functions.scratch import materialize
+from winnower.functions.scratch import materialize, new_folder
+from winnower.operators import containment
 from winnower.plans import api
-from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, packages, unpacked
+from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, PKG_REACHED_ALL, packages, unpacked
 from winnower.plans.specimens import oracle as packaged
 from winnower.sources import packages as P
+from winnower.sources.datasource import register
 
 MAIN = "word/document.xml"
 SOUND = "doc_id % 28 <> 4"  # documents whose header is well formed or missing
@@ -47,16 +49,41 @@ def package_wanted_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("error").isNull()).select("pkg_id", "part", digest())
 
 
+def stored(df: DataFrame) -> str:
+    """A folder of packages, written by the library's own format."""
+    spark = df.sparkSession
+    register(spark)
+    path = f"{new_folder(spark)}/packages"
+    df.select("pkg_id", "content").write.format("packages").mode("append").save(path)
+    return path
+
+
+@query(packaged("SELECT pkg_id, part, sha256(xml) AS sha256 FROM pkg_parts WHERE part LIKE 'word/%.xml' AND doc_id % 53 <> 11 AND doc_id % 2 = 0"))
+def package_source_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as files and read back; the tests on parts choose what is inflated."""
+    path = stored(packages(spark, sf_dir))
+    read = spark.read.format("packages").load(path).where(F.col("part").startswith("word/") & F.col("part").endswith(".xml"))
+    return read.where(F.substring("pkg_id", 2, 20).cast("long") % 2 == 0).select("pkg_id", "part", digest())
+
+
+@query(packaged("SELECT pkg_id, CASE WHEN doc_id % 53 = 11 THEN 0 ELSE CAST(count(*) AS BIGINT) END AS members, doc_id % 53 = 11 AS faulty FROM pkg_parts GROUP BY pkg_id, doc_id"))
+def package_source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members counted without inflating any; a file that is no package is a row with an error."""
+    listed = spark.read.format("packages").option("data", "false").load(stored(packages(spark, sf_dir)))
+    return listed.groupBy("pkg_id").agg(F.count("part").alias("members"), F.bool_or(F.col("error").isNotNull()).alias("faulty"))
+
+
 @query(packaged("SELECT pkg_id, doc_id % 53 <> 11 AND doc_id % 37 <> 3 AS is_valid FROM pkg_docs"))
 def package_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = packages(spark, sf_dir)
     return P.validity(whole, P.unpack(whole))
 
 
-KINDS = ("regexp_matches(part, '^word/(header|footer)[^/]*[.]xml$') OR part = 'word/document.xml'", "FALSE")
+SHALLOW_PART = "(part = 'word/document.xml' OR regexp_matches(part, '^word/(header|footer)[^/]*[.]xml$'))"
+NOTES = "part IN ('word/footnotes.xml', 'word/endnotes.xml')"
 
 
-@query(packaged(f"SELECT pkg_id, part, {KINDS[0]} AS shallow, {KINDS[0]} AS styled, {KINDS[0]} AS referring, part LIKE 'word/media/%' AS media FROM pkg_parts"))
+@query(packaged(f"SELECT pkg_id, part, {SHALLOW_PART} AS shallow, {SHALLOW_PART} OR {NOTES} OR part = 'word/comments.xml' AS styled, {SHALLOW_PART} OR {NOTES} AS referring, part LIKE 'word/media/%' AS media FROM pkg_parts"))
 def package_part_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("part")
     return unpacked(spark, sf_dir).select("pkg_id", "part", P.shallow_part(part).alias("shallow"), P.style_part(part).alias("styled"), P.reference_part(part).alias("referring"), part.startswith("word/media/").alias("media"))
@@ -102,11 +129,20 @@ def package_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(packaged(f"SELECT {PKG}, pos AS nth, CASE WHEN pos > 0 THEN 'p' END AS previous_tag, CASE WHEN pos > 0 THEN pos - 1 END AS previous_nth FROM spec_lines WHERE doc_id % 37 <> 3"))
 def package_previous_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = api.previous_siblings(nodes_of(spark, sf_dir, MAIN)).where("tag = 'p'")
+    found = api.previous_siblings(nodes_of(spark, sf_dir, MAIN)).where("name = 'w:p'")
     order = numbered(found, "node_id", ("pkg_id",), "nth")
     return order.alias("a").join(order.alias("b"), (F.col("a.pkg_id") == F.col("b.pkg_id")) & (F.col("a.previous_id") == F.col("b.node_id")), "left").select("a.pkg_id", "a.nth", "a.previous_tag", F.col("b.nth").alias("previous_nth"))
 
 
+@query(packaged(f"SELECT {PKG}, count(*) AS texts, count(*) FILTER (NOT parent_is_p) AS linked FROM spec_runs WHERE doc_id % 37 <> 3 GROUP BY doc_id"))
+def package_texts_in_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that lie in a paragraph, and those of them in a hyperlink; drawings and equations have none."""
+    nodes = nodes_of(spark, sf_dir, MAIN).where(F.col("error").isNull())
+    found = containment.contained(nodes.where("name IN ('w:p', 'w:hyperlink')"), nodes.where("name = 'w:t'"))
+    up = found.join(nodes.select("pkg_id", "part", F.col("node_id").alias("ancestor"), "name"), ["pkg_id", "part", "ancestor"])
+    return up.groupBy("pkg_id").agg(F.count_if(F.col("name") == "w:p").alias("texts"), F.count_if(F.col("name") == "w:hyperlink").alias("linked"))
+
+
 DEFINED = "SELECT pkg_id, style_id, style_id AS name, based_on, linked, next_style, 'paragraph' AS style_type, is_default FROM pkg_styles"
 COLUMNS = ("pkg_id", "style_id", "name", "based_on", "linked", "next_style", "style_type", "is_default")
 
@@ -137,12 +173,19 @@ def rels_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     packaged(
-        f"SELECT DISTINCT {PKG}, 'rid' AS kind, concat('rId', CAST(pos AS STRING)) AS ref FROM spec_lines WHERE (doc_id + pos) % 9 = 0 AND doc_id % 37 <> 3 "
-        f"UNION ALL SELECT pkg_id, 'style', style_id FROM pkg_used UNION ALL SELECT DISTINCT {PKG}, 'font', 'Arial' FROM spec_lines WHERE doc_id % 37 <> 3"
+        f"SELECT DISTINCT {PKG}, 'word/document.xml' AS part, 'rid' AS kind, concat('rId', CAST(pos AS STRING)) AS ref FROM spec_lines WHERE (doc_id + pos) % 9 = 0 AND doc_id % 37 <> 3 "
+        f"UNION ALL SELECT DISTINCT pkg_id, part, 'style', style_id FROM pkg_named WHERE deep UNION ALL SELECT DISTINCT {PKG}, 'word/document.xml', 'font', 'Arial' FROM spec_lines WHERE doc_id % 37 <> 3 "
+        "UNION ALL SELECT pkg_id, 'word/document.xml', 'number', '4' FROM pkg_docs WHERE doc_id % 10 = 7 AND doc_id % 37 <> 3 UNION ALL SELECT pkg_id, 'word/footnotes.xml', kind, ref FROM pkg_docs CROSS JOIN (VALUES ('rid', 'rId1'), ('font', 'Times')) AS t(kind, ref) WHERE doc_id % 3 = 0"
     )
 )
 def package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.typed_references(nodes_of(spark, sf_dir, MAIN)).select("pkg_id", "kind", "ref")
+    nodes = nodes_of(spark, sf_dir)
+    return api.typed_references(nodes.where(P.reference_part(F.col("part")))).select("pkg_id", "part", "kind", "ref")
+
+
+@query(packaged("SELECT DISTINCT pkg_id, style_id FROM pkg_named"))
+def package_style_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.style_references(nodes_of(spark, sf_dir), everywhere=True)
 
 
 @query(packaged("SELECT pkg_id, 'font' AS kind, 'Arial' AS name FROM pkg_docs UNION ALL SELECT pkg_id, 'font', 'Calibri' FROM pkg_docs WHERE doc_id % 2 = 0 UNION ALL SELECT pkg_id, 'number', CAST(doc_id % 5 AS STRING) FROM pkg_docs"))
@@ -174,8 +217,8 @@ SHALLOW = (*FOUND, LOOSE, GONE, MARKED, KEPT)
 
 @query(packaged("SELECT pkg_id, part, sha256(CASE WHEN part = 'word/header1.xml' AND doc_id % 28 <> 4 THEN replace(xml, '<w:p><w:r><w:t>NOTE TO SPECIFIER: go</w:t></w:r></w:p>', '') ELSE xml END) AS sha256 FROM pkg_parts", *SHALLOW, runs="marked_runs", lines="kept_lines", loose="CASE WHEN lost THEN '' ELSE {run} END"))
 def package_shallow_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = api.shallow_clean(unpacked(spark, sf_dir))
-    return P.unpack(P.pack(cleaned.parts)).select("pkg_id", "part", digest())
+    left = unpacked(spark, sf_dir)
+    return P.unpack(api.shallow_clean(left).packages(P.pack(left))).select("pkg_id", "part", digest())
 
 
 @query(
@@ -193,18 +236,19 @@ def package_shallow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     packaged(
-        "SELECT level, content_type, count(*) AS n FROM (SELECT 'paragraph' AS level, doc_id, content_type FROM p_found UNION ALL SELECT 'run', f.doc_id, content_type FROM found f JOIN decided d ON f.doc_id = d.doc_id AND f.pos = d.pos WHERE NOT settled AND regexp_matches(f.txt, '\\S') "
-        f"UNION ALL SELECT 'loose run', doc_id, content_type FROM found JOIN (SELECT doc_id, pos, run, parent_is_p FROM spec_runs) USING (doc_id, pos, run) WHERE NOT parent_is_p UNION ALL SELECT 'paragraph', doc_id, 'specifier_note' FROM documents WHERE doc_id % 4 = 0 AND doc_id % 37 = 3) WHERE {SOUND} AND doc_id % 37 <> 3 GROUP BY level, content_type",
+        f"SELECT level, content_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'paragraph' AS level, 'specifier_note' AS content_type, count(*) AS n FROM documents WHERE doc_id % 4 = 0 AND {SOUND} "
+        "UNION ALL SELECT level, content_type, count(*) AS n FROM (SELECT 'paragraph' AS level, doc_id, content_type FROM p_found UNION ALL SELECT 'run', f.doc_id, content_type FROM found f JOIN decided d ON f.doc_id = d.doc_id AND f.pos = d.pos WHERE NOT settled AND regexp_matches(f.txt, '\\S') "
+        "UNION ALL SELECT 'loose run', doc_id, content_type FROM found JOIN (SELECT doc_id, pos, run, parent_is_p FROM spec_runs) USING (doc_id, pos, run) WHERE NOT parent_is_p) "
+        f"WHERE {SOUND} AND doc_id % 37 <> 3 GROUP BY level, content_type) GROUP BY level, content_type",
         *FOUND,
     )
 )
 def package_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = api.shallow_clean(unpacked(spark, sf_dir).where(F.col("part") != "word/header1.xml").union(unpacked(spark, sf_dir).where((F.col("part") == "word/header1.xml") & (F.substring("pkg_id", 2, 20).cast("long") % 28 == 4))))
-    return found.detections.groupBy("level", "content_type").agg(F.count("*").alias("n"))
+    return api.shallow_clean(unpacked(spark, sf_dir)).detections.groupBy("level", "content_type").agg(F.count("*").alias("n"))
 
 
 STATUS = (
-    "status AS (SELECT s.pkg_id, s.style_id, place, r.style_id IS NOT NULL OR is_default OR s.style_id IN " + listed(R.PROTECTED_STYLES) + " AS stays FROM pkg_styles s LEFT JOIN pkg_reached r ON s.pkg_id = r.pkg_id AND s.style_id = r.style_id)"
+    "status AS (SELECT s.pkg_id, s.style_id, place, r.style_id IS NOT NULL OR is_default OR s.style_id IN " + listed(R.PROTECTED_STYLES) + " AS stays FROM pkg_styles s LEFT JOIN pkg_reached_all r ON s.pkg_id = r.pkg_id AND s.style_id = r.style_id)"
 )
 
 
@@ -214,7 +258,7 @@ def after(body: str, *more: str) -> str:
     return whole.replace(" @", ", " + ", ".join([PKG_REACHED, *more]) + " " + body)
 
 
-@query(after("SELECT pkg_id, string_agg(style_id, ',' ORDER BY style_id) AS kept FROM status WHERE stays GROUP BY pkg_id", STATUS))
+@query(after("SELECT pkg_id, string_agg(style_id, ',' ORDER BY style_id) AS kept FROM status WHERE stays GROUP BY pkg_id", PKG_REACHED_ALL, STATUS))
 def package_style_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = api.style_clean(unpacked(spark, sf_dir)).parts
     kept = api.style_definitions(P.shred(left.where(F.col("part") == "word/styles.xml")))
@@ -223,8 +267,8 @@ def package_style_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(packaged("SELECT pkg_id, part, sha256(xml) AS sha256 FROM pkg_parts", clean=True))
 def package_deep_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = api.deep_clean(unpacked(spark, sf_dir), domains=(DOMAIN,))
-    return P.unpack(P.pack(cleaned.parts)).select("pkg_id", "part", digest())
+    left = unpacked(spark, sf_dir)
+    return P.unpack(api.deep_clean(left, domains=(DOMAIN,)).packages(P.pack(left))).select("pkg_id", "part", digest())
 
 
 @query(packaged(f"SELECT pkg_id, sha256(CASE WHEN part = 'word/settings.xml' THEN regexp_replace(xml, '<w:compat>.*</w:compat>', '') ELSE replace(replace(xml, '<a:font script=\"Jpan\" typeface=\"J\"/>', ''), '<a:font script=\"Arab\" typeface=\"\"/>', '') END) AS sha256 FROM pkg_parts WHERE part IN ('word/settings.xml', 'word/theme/theme1.xml')"))

@@ -73,10 +73,12 @@ def bookmark_reason(name: Column) -> Column:
 
 
 def bookmark_pairs(nodes: DataFrame) -> DataFrame:
-    """Internal bookmark starts, and the ends that go with them by id."""
+    """Internal bookmark starts of main parts, and the ends that go with them by id within their package."""
+    nodes = nodes.where(F.col("part") == DOCUMENT)
     starts = nodes.where((F.col("tag") == "bookmarkStart") & internal_bookmark(F.col("name")))
-    ends = nodes.where(F.col("tag") == "bookmarkEnd").join(starts.select("bm_id").distinct(), "bm_id", "left_semi")
-    return starts.select("node_id", "tag", "bm_id", bookmark_reason(F.col("name")).alias("reason")).union(ends.select("node_id", "tag", "bm_id", F.lit(None).cast("string")))
+    ends = nodes.where(F.col("tag") == "bookmarkEnd").join(starts.select("pkg_id", "bm_id").distinct(), ["pkg_id", "bm_id"], "left_semi")
+    columns = ("pkg_id", "node_id", "tag", "bm_id")
+    return starts.select(*columns, bookmark_reason(F.col("name")).alias("reason")).union(ends.select(*columns, F.lit(None).cast("string")))
 
 
 def compat_scanned(tag: Column, name: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.functions.scratch import materialize, new_folder
 from winnower.rules import ALWAYS_USED_STYLES, PROTECTED_STYLES
 
 EDGES = (("basedOn", "based_on"), ("link", "linked"), ("next", "next_style"))
@@ -17,24 +19,34 @@ def style_edges(styles: DataFrame) -> DataFrame:
     return styles.select("pkg_id", F.col("style_id").alias("src"), F.inline(kinds)).where(F.col("dst").isNotNull())
 
 
+def reach(rows: pa.Table) -> pa.Table:
+    """What a package's seeds (rows without src) reach over its edges, themselves included."""
+    after, front = defaultdict(list), []
+    for src, dst in zip(rows["src"].to_pylist(), rows["dst"].to_pylist(), strict=True):
+        if src is None:
+            front.append(dst)
+        else:
+            after[src].append(dst)
+    seen = dict.fromkeys(front)
+    while front:
+        here = front.pop()
+        for dst in after.pop(here, ()):
+            if dst not in seen:
+                seen[dst] = None
+                front.append(dst)
+    return pa.table([pa.array([rows["pkg_id"][0].as_py()] * len(seen), rows.schema.field("pkg_id").type), pa.array(list(seen), pa.string())], names=["pkg_id", "style_id"])
+
+
 def closure(styles: DataFrame, used: DataFrame) -> DataFrame:
-    """Styles reached from the used ones, undefined targets included: semi-naive, each round only from the new ones.
+    """Styles reached from the used ones, undefined targets included, however long the chains and whatever the cycles.
 
-    A round's styles are a table of their own, and those seen are all of these tables read together. It ends when a
-    round finds nothing new, however long the chains are.
+    Edges and seeds of a package meet in one task, which follows each edge once: one shuffle, no job of its own. A
+    package's edges come from its styles part, which one task has parsed before, so they are bounded as that is.
     """
-    spark, folder = styles.sparkSession, new_folder(styles.sparkSession)
-    edges = materialize(style_edges(styles).select(F.col("pkg_id").alias("ep"), F.col("src").alias("es"), "dst").distinct(), "edges")
-    fresh, rounds = used.select(F.col("pkg_id").alias("p"), F.col("style_id").alias("s")).distinct(), []
-    while True:
-        rounds.append(f"{folder}/{len(rounds)}")
-        fresh.write.parquet(rounds[-1])
-        frontier, seen = spark.read.schema(fresh.schema).parquet(rounds[-1]), spark.read.schema(fresh.schema).parquet(*rounds)
-        if frontier.isEmpty():
-            return seen.toDF("pkg_id", "style_id")
-        at = frontier.toDF("fp", "fs")
-        step = edges.join(at, (F.col("ep") == F.col("fp")) & (F.col("es") == F.col("fs"))).select(F.col("ep").alias("np"), F.col("dst").alias("ns")).distinct()
-        fresh = step.join(seen, (F.col("np") == F.col("p")) & (F.col("ns") == F.col("s")), "left_anti").toDF("p", "s")
+    edges = style_edges(styles).select("pkg_id", "src", "dst")
+    seeds = used.select("pkg_id", F.lit(None).cast("string").alias("src"), F.col("style_id").alias("dst"))
+    key = styles.schema["pkg_id"].dataType.simpleString()
+    return edges.union(seeds).groupBy("pkg_id").applyInArrow(reach, f"pkg_id {key}, style_id string")
 
 
 def closure_with_defaults(styles: DataFrame, used: DataFrame) -> DataFrame:

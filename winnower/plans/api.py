@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.functions.scratch import materialize
-from winnower.functions.text import any_of, nonblank, starts_with_any
+from winnower.functions.text import any_of, nonblank
 from winnower.operators import deep, detect, styles
-from winnower.rules import BOOKMARK_PREFIXES, COMPAT_CLEAN_TAGS, DEFAULT, KEPT_SCRIPTS, RSID_STRIP, RUN_CONTENT_TAGS, Rules
+from winnower.rules import COMPAT_CLEAN_TAGS, DEFAULT, KEPT_SCRIPTS, RSID_STRIP, RUN_CONTENT_TAGS, Rules
 from winnower.sources import packages as P
 
 OPERATIONS = ("media", "styles", "rsids", "rsid_registry", "empty", "fonts", "compat", "links", "bookmarks", "proof")
@@ -25,6 +25,12 @@ class Cleaned:
     detections: DataFrame  # what was found
     cuts: DataFrame  # what was removed
     faults: DataFrame | None = None  # packages left as they were, and why
+    source: DataFrame | None = None  # the parts that the cuts are of
+    marks: str | None = None  # a pattern of what goes from all XML parts
+
+    def packages(self, packages: DataFrame) -> DataFrame:
+        """pkg_id, content and error of the cleaned packages; splices and packs in one pass over the bytes."""
+        return P.rewrite(self.source, self.cuts, packages, self.marks)
 
 
 def shallow_detections(nodes: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,7 +39,7 @@ def shallow_detections(nodes: DataFrame, rules: Rules = DEFAULT) -> tuple[DataFr
     keys = ["pkg_id", "part", "para_id"]
     decided = paragraphs.join(detect.decide(paragraphs, runs.where(F.col("para_id").isNotNull()), keys, rules), keys)
     spotted = detect.with_detections(runs, detect.run_element(), rules)
-    loose = detect.loose_runs(runs.dropDuplicates(["pkg_id", "part", "run"]), rules)
+    loose = detect.loose_runs(P.runs(nodes), rules)
     return decided, spotted, loose
 
 
@@ -55,7 +61,7 @@ def shallow_clean(parts: DataFrame, rules: Rules = DEFAULT) -> Cleaned:
         detect.exploded(by_run.where(nonblank(F.col("txt"))).select("pkg_id", "part", F.lit("run").alias("level"), F.col("run").alias("element"), "txt", "found")),
         detect.exploded(loose.select("pkg_id", "part", F.lit("loose run").alias("level"), F.col("run").alias("element"), "txt", "found")),
     ]
-    return Cleaned(P.splice(parts, cuts), found[0].union(found[1]).union(found[2]), cuts, faults)
+    return Cleaned(P.splice(parts, cuts), found[0].union(found[1]).union(found[2]), cuts, faults, parts)
 
 
 def style_definitions(nodes: DataFrame, deep: bool = False) -> DataFrame:
@@ -64,13 +70,16 @@ def style_definitions(nodes: DataFrame, deep: bool = False) -> DataFrame:
     deep: at any depth, and without an id too (as the empty one).
     """
     style_id = F.coalesce(F.col("attrs")["w:styleId"], F.lit(""))
-    style = nodes.where((F.col("part") == "word/styles.xml") & (F.col("tag") == "style"))
+    style = nodes.where((F.col("part") == "word/styles.xml") & (F.col("name") == "w:style"))
     if not deep:
         style = style.where((F.col("depth") == 1) & (style_id != ""))
-    child = nodes.where((F.col("part") == "word/styles.xml") & F.col("tag").isin("name", "basedOn", "link", "next")).select(
-        "pkg_id", F.col("parent_id").alias("node_id"), F.col("tag").alias("what"), F.col("attrs")["w:val"].alias("val")
+    facts = ("name", "basedOn", "link", "next")
+    child = nodes.where((F.col("part") == "word/styles.xml") & (F.col("up") == "w:style") & F.col("name").isin([f"w:{t}" for t in facts])).select(
+        "pkg_id", F.col("parent_id").alias("style_node"), "node_id", F.col("tag").alias("what"), F.col("attrs")["w:val"].alias("val")
     )
-    values = child.groupBy("pkg_id", "node_id").agg(*(F.first(F.when(F.col("what") == t, F.col("val")), ignorenulls=True).alias(t) for t in ("name", "basedOn", "link", "next")))
+    first = lambda t: F.min_by(F.struct("val"), F.when(F.col("what") == t, F.col("node_id")))["val"]  # noqa: E731  (the first of a name counts, with or without a value)
+    values = child.groupBy("pkg_id", F.col("style_node").alias("node_id")).agg(*(first(t).alias(t) for t in facts))
+    style = style.drop("name")
     rows = style.join(values, ["pkg_id", "node_id"], "left").select(
         "pkg_id", "node_id", style_id.alias("style_id"), F.coalesce("name", style_id).alias("name"), F.col("basedOn").alias("based_on"), F.col("link").alias("linked"), F.col("next").alias("next_style"),
         F.coalesce(F.col("attrs")["w:type"], F.lit("paragraph")).alias("style_type"), F.coalesce(F.col("attrs")["w:default"] == "1", F.lit(False)).alias("is_default"), "b0", "b1",
@@ -83,8 +92,8 @@ def style_definitions(nodes: DataFrame, deep: bool = False) -> DataFrame:
 def style_references(nodes: DataFrame, everywhere: bool) -> DataFrame:
     """Styles named by content; everywhere: comments and numbering links too."""
     parts = P.style_part(F.col("part")) if everywhere else P.reference_part(F.col("part"))
-    tags = ["pStyle", "rStyle", "tblStyle", *(["numStyleLink"] if everywhere else [])]
-    named = nodes.where(parts & F.col("tag").isin(tags)).select("pkg_id", F.col("attrs")["w:val"].alias("style_id"))
+    named = F.col("name").isin("w:pStyle", "w:rStyle", "w:tblStyle", "w:numStyleLink") if everywhere else F.col("tag").isin("pStyle", "rStyle", "tblStyle")
+    named = nodes.where(parts & named).select("pkg_id", F.col("attrs")["w:val"].alias("style_id"))
     return named.where(F.coalesce("style_id", F.lit("")) != "").distinct()
 
 
@@ -103,15 +112,15 @@ def typed_references(nodes: DataFrame) -> DataFrame:
 def inventory(nodes: DataFrame) -> DataFrame:
     """Distinct pkg_id, kind and name of the fonts and numberings that a package defines."""
     a = F.col("attrs")
-    fonts = nodes.where((F.col("part") == "word/fontTable.xml") & (F.col("tag") == "font")).select("pkg_id", F.lit("font").alias("kind"), a["w:name"].alias("name"))
-    numbers = nodes.where((F.col("part") == "word/numbering.xml") & (F.col("tag") == "num")).select("pkg_id", F.lit("number"), a["w:numId"])
+    fonts = nodes.where((F.col("part") == "word/fontTable.xml") & (F.col("name") == "w:font")).select("pkg_id", F.lit("font").alias("kind"), a["w:name"].alias("name"))
+    numbers = nodes.where((F.col("part") == "word/numbering.xml") & (F.col("name") == "w:num")).select("pkg_id", F.lit("number"), a["w:numId"])
     return fonts.union(numbers).where(F.coalesce("name", F.lit("")) != "").distinct()
 
 
 def previous_siblings(nodes: DataFrame) -> DataFrame:
     """Each element with the one before it under the same parent; null for a first child."""
     before = Window.partitionBy("pkg_id", "part", "parent_id").orderBy("node_id")
-    return nodes.select("pkg_id", "part", "node_id", "tag", F.lag("node_id").over(before).alias("previous_id"), F.lag("tag").over(before).alias("previous_tag"))
+    return nodes.select("pkg_id", "part", "node_id", "name", "tag", F.lag("node_id").over(before).alias("previous_id"), F.lag("tag").over(before).alias("previous_tag"))
 
 
 def style_clean(parts: DataFrame) -> Cleaned:
@@ -121,7 +130,7 @@ def style_clean(parts: DataFrame) -> Cleaned:
     defined = style_definitions(nodes)
     status = styles.style_status(defined, styles.closure(defined, style_references(nodes, everywhere=True)))
     cuts = materialize(status.where("status = 'unused'").select("pkg_id", F.lit("word/styles.xml").alias("part"), "b0", "b1"), "cuts")
-    return Cleaned(P.splice(parts, cuts), status, cuts)
+    return Cleaned(P.splice(parts, cuts), status, cuts, source=parts)
 
 
 def relationships(nodes: DataFrame) -> DataFrame:
@@ -144,41 +153,46 @@ def media(parts: DataFrame) -> DataFrame:
 
 
 def deep_cuts(parts: DataFrame, nodes: DataFrame, operation: str, domains: Sequence[str] = (), compat: str = "default", safe: bool = False) -> DataFrame:
-    """The spans that one operation removes from XML parts."""
-    tag, part, a = F.col("tag"), F.col("part"), F.col("attrs")
+    """The spans that one operation removes from XML parts.
+
+    name is an element's name with its namespace, tag without; each operation looks at the one that it is defined on.
+    """
+    name, tag, part, a = F.col("name"), F.col("tag"), F.col("part"), F.col("attrs")
     span = [F.col(c) for c in SPAN]
     if operation == "styles":
         lost = styles.orphaned_styles(style_definitions(nodes, deep=True), style_references(nodes, everywhere=False))
         return lost.select("pkg_id", F.lit("word/styles.xml").alias("part"), "b0", "b1")
     if operation == "rsid_registry":
-        return nodes.where((part == deep.SETTINGS) & (tag == "rsids")).select(*span)
+        return nodes.where((part == deep.SETTINGS) & (name == "w:rsids")).select(*span)
     if operation == "empty":
-        content = [*RUN_CONTENT_TAGS, *(("footnoteReference", "endnoteReference", "commentReference", "noBreakHyphen", "softHyphen", "delText", "pgNum", "AlternateContent") if safe else ())]
+        content = name.isin([f"w:{t}" for t in RUN_CONTENT_TAGS])
+        if safe:
+            content = content | tag.isin("footnoteReference", "endnoteReference", "commentReference", "noBreakHyphen", "softHyphen", "delText", "pgNum", "AlternateContent")
         here = nodes.where(part.rlike(r"^word/(document|(header|footer)[123])\.xml$"))
-        full = here.where(tag.isin(content)).select("pkg_id", "part", F.col("parent_id").alias("node_id")).distinct()
-        return here.where(tag == "r").join(full, ["pkg_id", "part", "node_id"], "left_anti").select(*span)
+        full = here.where(content & (F.col("up") == "w:r")).select("pkg_id", "part", F.col("parent_id").alias("node_id")).distinct()
+        return here.where(name == "w:r").join(full, ["pkg_id", "part", "node_id"], "left_anti").select(*span)
     if operation == "fonts":
         script = F.coalesce(a["script"], F.lit(""))
         return nodes.where(part.rlike(r"^word/theme/[^/]+\.xml$") & (tag == "font") & (script != "") & ~F.lower(script).isin(list(KEPT_SCRIPTS))).select(*span)
     if operation == "compat":
         settings = nodes.where(part == deep.SETTINGS)
-        blocks = settings.where(tag == "compat")
+        blocks = settings.where(name == "w:compat")
         if compat == "aggressive":
             return blocks.select(*span)
-        inside = blocks.select("pkg_id", "part", F.col("node_id").alias("parent_id"))
-        return settings.where(tag.isin(list(COMPAT_CLEAN_TAGS))).join(inside, ["pkg_id", "part", "parent_id"], "left_semi").select(*span)
+        return settings.where(tag.isin(list(COMPAT_CLEAN_TAGS)) & (F.col("up") == "w:compat")).select(*span)
     if operation == "bookmarks":
         main = nodes.where(part == deep.DOCUMENT)
-        begun = main.where((tag == "bookmarkStart") & F.coalesce(starts_with_any(a["w:name"], BOOKMARK_PREFIXES), F.lit(False))).withColumn("id", a["w:id"])
-        ended = main.where(tag == "bookmarkEnd").withColumn("id", a["w:id"]).join(begun.select("pkg_id", "id").distinct(), ["pkg_id", "id"], "left_semi")
+        bm_id = F.coalesce(a["w:id"], F.lit("")).alias("id")
+        begun = main.where((name == "w:bookmarkStart") & deep.internal_bookmark(a["w:name"])).select(*span, bm_id)
+        ended = main.where(name == "w:bookmarkEnd").select(*span, bm_id).join(begun.select("pkg_id", "id").distinct(), ["pkg_id", "id"], "left_semi")
         return begun.select(*SPAN).union(ended.select(*SPAN))
     if operation == "proof":
-        return nodes.where(deep.proof_cleaned(part, tag)).select(*span)
+        return nodes.where(deep.proof_cleaned(part, tag) & ((part != deep.DOCUMENT) | (name == "w:proofErr"))).select(*span)
     if operation == "links":
-        rels = relationships(nodes)
+        rels = relationships(nodes.where((name == "rel:Relationship") & (F.col("depth") == 1)))
         gone = rels.where(deep.vendor_link(F.col("target"), F.col("type"), F.col("target_mode"), domains))
         owner = gone.select("pkg_id", deep.owning_part(F.col("source_file")).alias("part"), "rid").where(F.col("part").isNotNull())
-        wrapped = nodes.where(tag == "hyperlink").withColumn("rid", a["r:id"]).join(owner, ["pkg_id", "part", "rid"], "left_semi")
+        wrapped = nodes.where(name == "w:hyperlink").withColumn("rid", a["r:id"]).join(owner, ["pkg_id", "part", "rid"], "left_semi")
         opening = wrapped.select("pkg_id", "part", "b0", F.col("open_end").alias("b1"), F.lit("unwrapped").alias("what"))
         closing = wrapped.select("pkg_id", "part", F.col("close_start").alias("b0"), "b1", F.lit("closing"))
         return gone.select("pkg_id", F.col("source_file").alias("part"), "b0", "b1", F.lit("links").alias("what")).union(opening).union(closing).where("b0 < b1")
@@ -189,15 +203,6 @@ def deep_cuts(parts: DataFrame, nodes: DataFrame, operation: str, domains: Seque
     raise ValueError(f"unknown operation {operation}")
 
 
-def without_rsids(parts: DataFrame) -> DataFrame:
-    """Parts without revision attributes, with rsids, how many there were. Text that isn't UTF-8 stays."""
-    text, pattern = F.decode("data", "UTF-8"), "(?i)" + RSID_STRIP
-    xml = F.col("part").endswith(".xml") & F.is_valid_utf8(F.col("data").cast("string"))
-    many = F.when(xml, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-    left = parts.withColumn("rsids", F.coalesce(many, F.lit(0)).cast("bigint")).withColumn("data", F.when(F.col("rsids") > 0, F.encode(F.regexp_replace(text, pattern, ""), "UTF-8")).otherwise(F.col("data")))
-    return left.withColumn("size", F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint"))
-
-
 def deep_clean(parts: DataFrame, operations: Sequence[str] = OPERATIONS, domains: Sequence[str] = (), compat: str = "default", safe: bool = False) -> Cleaned:
     """Removes unreferenced media and styles and markup cruft; links only where domains are given. Parts that aren't well formed stay.
 
@@ -223,13 +228,14 @@ def deep_clean(parts: DataFrame, operations: Sequence[str] = OPERATIONS, domains
         lost = materialize(deep.orphaned_media(media(parts), defined_relationships(nodes)), "lost")
         left = left.join(lost.select("pkg_id", "part"), ["pkg_id", "part"], "left_anti").select(*parts.columns)
         counts = counts.union(lost.groupBy("pkg_id").agg(F.lit("media"), F.count("*"), F.sum("size_bytes")).select("pkg_id", "media", "count(1)", "sum(size_bytes)"))
-    if "rsids" in operations:
-        marked = without_rsids(P.splice(left, cuts.where("operation = 'styles'")))  # those of removed definitions aren't counted
-        counts = counts.union(marked.groupBy("pkg_id").agg(F.lit("rsids"), F.sum("rsids").alias("n"), F.lit(0).cast("bigint")).where("n > 0"))
-    left = P.splice(left, cuts)
-    if "rsids" in operations:
-        left = without_rsids(left).drop("rsids")
-    return Cleaned(left, counts, cuts, validate(parts, nodes).where(F.col("fault").isNotNull()))
+    marks = RSID_STRIP if "rsids" in operations else None
+    cuts = cuts.withColumn("first", F.col("operation") == "styles")  # marks of removed definitions aren't counted
+    source, left = left, P.splice(left, cuts, marks)
+    if marks:
+        left = materialize(left, "left")
+        counts = counts.union(left.groupBy("pkg_id").agg(F.lit("rsids"), F.sum("n_marks").alias("n"), F.lit(0).cast("bigint")).where("n > 0"))
+        left = left.drop("n_marks")
+    return Cleaned(left, counts, cuts, validate(parts, nodes).where(F.col("fault").isNotNull()), source, marks)
 
 
 #: Counters of a deep clean: what an operation's count is called, and the bytes that one removal is taken to save. Fixed values.
@@ -270,7 +276,7 @@ def counters(parts: DataFrame, cleaned: Cleaned) -> DataFrame:
 def validate(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first structural fault of each package; null if there is none."""
     broken = nodes.where(F.col("error").isNotNull()).select("pkg_id", "part").distinct().withColumn("_broken", F.lit(True))
-    joined = parts.join(broken, ["pkg_id", "part"], "left")
+    joined = parts.select("pkg_id", "part").join(broken, ["pkg_id", "part"], "left")
     there = lambda p: F.bool_or(F.col("part") == p)
     bad = lambda p: F.bool_or((F.col("part") == p) & F.coalesce("_broken", F.lit(False)))
     fault = (

@@ -13,6 +13,7 @@ DOMAIN = "vendor.example.com"
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 REL = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
 TYPES = 'xmlns="http://schemas.openxmlformats.org/package/2006/content-types"'
 PROPERTIES = 'xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"'
@@ -70,8 +71,11 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
     dirty = (lambda value: "''") if clean else (lambda value: value)
     rsid = dirty("""' w:rsidR="00A1"'""")
     bookmark = "concat('<w:bookmarkStart w:id=\"', CAST(pos AS STRING), '\" w:name=\"', CASE pos % 9 WHEN 0 THEN '_GoBack' WHEN 3 THEN '_Hlk1' ELSE 'Chapter' END, '\"/><w:bookmarkEnd w:id=\"', CAST(pos AS STRING), '\"/>')"
+    # equations and drawings have paragraphs, runs and texts of their own, which aren't the document's
+    math = "'<m:oMath><m:r><m:t>[TBD]</m:t></m:r><m:r/></m:oMath>'"
+    drawing = "'<w:drawing><a:p><a:pPr><w:pStyle w:val=\"CMT\"/></a:pPr><a:r><a:rPr><w:vanish/></a:rPr><a:t>NOTE TO SPECIFIER: drawn</a:t></a:r></a:p></w:drawing>'"
     paragraph = f"""concat('<w:p', {rsid}, '>', {some("pstyle IS NOT NULL", "concat('<w:pPr><w:pStyle w:val=\"', pstyle, '\"/></w:pPr>')")}, {some("pos % 9 = 6" if clean else "pos % 3 = 0", bookmark)},
-      {dirty(some("pos % 4 = 1", "'<w:proofErr w:type=\"spellStart\"/>'"))}, coalesce(r.runs, ''), {dirty(some("pos % 5 = 2", "'<w:r><w:rPr/></w:r>'"))}, '</w:p>')"""
+      {dirty(some("pos % 4 = 1", "'<w:proofErr w:type=\"spellStart\"/>'"))}, coalesce(r.runs, ''), {some("pos % 7 = 5", math)}, {some("pos % 11 = 4", drawing)}, {dirty(some("pos % 5 = 2", "'<w:r><w:rPr/></w:r>'"))}, '</w:p>')"""
     target = f"CASE WHEN pos % 2 = 0 THEN 'https://WWW.{DOMAIN}/p' ELSE 'https://other.example.org/p' END"
     link = f"concat('<Relationship Id=\"rId', CAST(pos AS STRING), '\" Type=\"{LINK}\" Target=\"', {target}, '\" TargetMode=\"External\"/>')"
     style = f"""concat('<w:style w:type="paragraph"', {some("is_default", "' w:default=\"1\"'")}, ' w:styleId="', style_id, '"', {rsid}, '><w:name w:val="', style_id, '"/>',
@@ -82,9 +86,12 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
         ("[Content_Types].xml", "doc_id % 41 <> 7", f"CASE WHEN doc_id % 43 = 5 THEN '<Types>' ELSE '<Types {TYPES}></Types>' END"),
         ("_rels/.rels", "doc_id % 47 <> 9", f"'<Relationships {REL}><Relationship Id=\"rId1\" Type=\"x/officeDocument\" Target=\"word/document.xml\"/></Relationships>'"),
         ("docProps/app.xml", "TRUE", f"concat('<Properties {PROPERTIES}>', {dirty(some('doc_id % 2 = 0', f'''concat('<HLinks><v>https://WWW.{DOMAIN}/', {number}, '</v></HLinks>')'''))}, {some('doc_id % 2 = 1', "'<HLinks><v>none</v></HLinks>'")}, '</Properties>')"),
-        ("word/document.xml", "doc_id % 37 <> 3", f"concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><w:document {W} {R}><w:body>', coalesce(body, ''), '</w:body></w:document>')"),
+        ("word/document.xml", "doc_id % 37 <> 3", f"concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><w:document {W} {R} {A} {M}><w:body>', coalesce(body, ''), {some('doc_id % 10 = 3', "'<w:tbl><w:tblPr><w:tblStyle w:val=\"Odd\"/></w:tblPr></w:tbl>'")}, {some('doc_id % 10 = 7', "'<w:numPr><w:numStyleLink w:val=\"Spare\"/><w:numId w:val=\"0\"/><w:numId w:val=\"4\"/></w:numPr>'")}, '</w:body></w:document>')"),
         ("word/_rels/document.xml.rels", "TRUE", f"concat('<Relationships {REL}><Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image1.png\"/>', {some('doc_id % 3 = 1', f'''concat('<Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image2.png\"/>', '')''')}, coalesce(links, ''), '</Relationships>')"),
         ("word/header1.xml", "doc_id % 4 = 0", f"CASE WHEN doc_id % 28 = 4 THEN '<w:hdr {W}><w:p>' ELSE '<w:hdr {W}><w:p><w:r><w:t>NOTE TO SPECIFIER: go</w:t></w:r></w:p><w:p><w:r><w:t>Header</w:t></w:r></w:p></w:hdr>' END"),
+        ("word/footnotes.xml", "doc_id % 3 = 0", f"'<w:footnotes {W} {R}><w:p><w:pPr><w:pStyle w:val=\"Strong\"/></w:pPr><w:hyperlink r:id=\"rId1\"><w:r><w:rPr><w:rFonts w:cs=\"Times\" w:ascii=\"\"/></w:rPr><w:t>NOTE TO SPECIFIER: a note</w:t></w:r></w:hyperlink></w:p></w:footnotes>'"),
+        ("word/endnotes.xml", "doc_id % 6 = 5", f"'<w:endnotes {W}><w:p><w:pPr><w:pStyle w:val=\"Spare\"/></w:pPr></w:p></w:endnotes>'"),
+        ("word/comments.xml", "doc_id % 5 = 1", f"'<w:comments {W}><w:p><w:pPr><w:pStyle w:val=\"Heading1\"/></w:pPr><w:r><w:t>[TBD]</w:t></w:r></w:p></w:comments>'"),
         ("word/styles.xml", "TRUE", f"concat('<w:styles {W}>', {some('doc_id % 6 = 0', "'<w:docDefaults>" + ('' if clean else '<w:style w:styleId="Inner" w:type="paragraph"></w:style>') + "</w:docDefaults>'")}, coalesce(styles, ''), '</w:styles>')"),
         ("word/settings.xml", "TRUE", f"concat('<w:settings {W}><w:compat>', {dirty(f'''concat('<w:compatSetting w:name="', CASE WHEN doc_id % 2 = 0 THEN 'overrideTableStyleFontSizeAndJustification' ELSE 'compatibilityMode' END, '"/>', {some('doc_id % 3 = 0', "'<w:useFELayout/>'")}, {some('doc_id % 4 = 0', "'<w:cachedColBalance/>'")})''')}, '<w:spaceForUL/></w:compat>', {dirty("'<w:rsids><w:rsid w:val=\"00A1\"/></w:rsids><w:proofState w:spelling=\"clean\"/>'")}, '<w:noProof/></w:settings>')"),
         ("word/theme/theme1.xml", "TRUE", f"concat('<a:theme {A}><a:font script=\"Latin\" typeface=\"L\"/>', {dirty("'<a:font script=\"Jpan\" typeface=\"J\"/>'")}, {dirty(some('doc_id % 2 = 0', "'<a:font script=\"Arab\" typeface=\"\"/>'"))}, '</a:theme>')"),
@@ -101,7 +108,11 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
         f"pkg_bodies AS (SELECT l.doc_id, {ordered(engine, 'l.pos', paragraph.replace('pos', 'l.pos').replace('doc_id', 'l.doc_id'))} AS body FROM {lines} l LEFT JOIN pkg_runs r ON l.doc_id = r.doc_id AND l.pos = r.pos GROUP BY l.doc_id)",
         f"pkg_links AS (SELECT doc_id, {ordered(engine, 'pos', link)} AS links FROM spec_lines WHERE (doc_id + pos) % 9 = 0{' AND pos % 2 = 1' if clean else ''} GROUP BY doc_id)",
         f"pkg_styles AS (SELECT doc_id, concat('d', {number}) AS pkg_id, place, style_id, based_on, next_style, linked, is_default FROM documents CROSS JOIN (VALUES {values}) AS t(place, style_id, based_on, next_style, linked, is_default))",
-        f"pkg_used AS (SELECT DISTINCT concat('d', {number}) AS pkg_id, style_id FROM (SELECT doc_id, pstyle AS style_id FROM spec_lines UNION ALL SELECT doc_id, rstyle FROM spec_runs) WHERE style_id IS NOT NULL AND doc_id % 37 <> 3)",
+        f"pkg_named AS (SELECT doc_id, concat('d', {number}) AS pkg_id, part, style_id, deep FROM (SELECT doc_id, 'word/document.xml' AS part, pstyle AS style_id, TRUE AS deep FROM spec_lines UNION ALL SELECT doc_id, 'word/document.xml', rstyle, TRUE FROM spec_runs "
+        "UNION ALL SELECT doc_id, 'word/document.xml', 'CMT', TRUE FROM spec_lines WHERE pos % 11 = 4 UNION ALL SELECT doc_id, 'word/document.xml', 'Odd', TRUE FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id, 'word/document.xml', 'Spare', FALSE FROM documents WHERE doc_id % 10 = 7 "
+        "UNION ALL SELECT doc_id, 'word/footnotes.xml', 'Strong', TRUE FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'word/endnotes.xml', 'Spare', TRUE FROM documents WHERE doc_id % 6 = 5 UNION ALL SELECT doc_id, 'word/comments.xml', 'Heading1', FALSE FROM documents WHERE doc_id % 5 = 1) "
+        "WHERE style_id IS NOT NULL AND (part <> 'word/document.xml' OR doc_id % 37 <> 3))",
+        "pkg_used AS (SELECT DISTINCT pkg_id, style_id FROM pkg_named WHERE deep)",
         *([PKG_REACHED, f"pkg_kept AS (SELECT pkg_id, style_id FROM pkg_reached UNION SELECT concat('d', {number}), 'Normal' FROM documents)"] if clean else []),
         f"pkg_style_xml AS (SELECT s.doc_id, {ordered(engine, 's.place', style.replace('style_id', 's.style_id'))} AS styles FROM pkg_styles s {reached} GROUP BY s.doc_id)",
         f"pkg_docs AS (SELECT d.doc_id, concat('d', CAST(d.doc_id AS STRING)) AS pkg_id, body, links, styles FROM documents d LEFT JOIN pkg_bodies b ON d.doc_id = b.doc_id LEFT JOIN pkg_links k ON d.doc_id = k.doc_id LEFT JOIN pkg_style_xml s ON d.doc_id = s.doc_id)",
@@ -109,11 +120,16 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
     ]
 
 
+#: Styles reached from the content, as a deep clean sees it (no comments, no numbering links).
 PKG_REACHED = """pkg_reached(pkg_id, style_id) AS (SELECT pkg_id, style_id FROM pkg_used UNION SELECT r.pkg_id, e.dst FROM pkg_reached r JOIN (
     SELECT pkg_id, style_id, based_on AS dst FROM pkg_styles WHERE based_on IS NOT NULL UNION ALL SELECT pkg_id, style_id, next_style FROM pkg_styles WHERE next_style IS NOT NULL
     UNION ALL SELECT pkg_id, style_id, linked FROM pkg_styles WHERE linked IS NOT NULL) e ON r.pkg_id = e.pkg_id AND r.style_id = e.style_id)"""
 
 
+#: The same from all content, as the style clean sees it.
+PKG_REACHED_ALL = "pkg_used_all AS (SELECT DISTINCT pkg_id, style_id FROM pkg_named), " + PKG_REACHED.replace("pkg_reached", "pkg_reached_all").replace("FROM pkg_used ", "FROM pkg_used_all ")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packages' members as rows: pkg_id, part, ord, size, data, error."""
     ctes = [source(spark, sf_dir, "documents"), *with_clauses(("spec_runs",), "spark"), *clauses("spark")]

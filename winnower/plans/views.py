@@ -113,20 +113,34 @@ SELECT CAST(floor(event_id / 160) AS BIGINT) AS pkg_id, event_id AS node_id,
   CASE event_id % 16 WHEN 0 THEN 't' WHEN 1 THEN 'footnoteReference' END AS child_tag,
   CASE WHEN event_id % 16 = 2 THEN concat(CASE user_id % 6 WHEN 0 THEN '_GoBack' WHEN 1 THEN '_Ref' WHEN 2 THEN '_Toc' WHEN 3 THEN '_Hlk' WHEN 4 THEN '_PictureBullets' ELSE 'Chapter' END, CASE WHEN user_id % 6 = 0 THEN '' ELSE CAST(user_id AS STRING) END)
        WHEN event_id % 16 = 7 THEN CASE WHEN user_id % 2 = 0 THEN 'overrideTableStyleFontSizeAndJustification' ELSE 'compatibilityMode' END END AS name,
-  CASE WHEN event_id % 16 IN (2, 3) THEN CAST(floor(event_id / 16) AS BIGINT) END AS bm_id,
+  CASE WHEN event_id % 16 IN (2, 3) THEN CAST(floor(event_id / 16) AS BIGINT) % 7 END AS bm_id,
   CASE WHEN event_id % 16 >= 13 THEN CASE user_id % 5 WHEN 0 THEN 'Jpan' WHEN 1 THEN 'Latin' WHEN 2 THEN '' WHEN 3 THEN 'Arab' ELSE 'ea' END END AS script,
   CASE WHEN event_id % 16 >= 13 THEN concat('Face ', CAST(user_id % 7 AS STRING)) END AS typeface
 FROM events
 """,
     },
+    # A document's lines as elements: the parent of line n is n without its lowest bit, so ids are in document order.
+    "spec_tree": {
+        "both": """
+SELECT l.doc_id AS pkg_id, CASE l.doc_id % 3 WHEN 0 THEN 'word/header1.xml' ELSE 'word/document.xml' END AS part, pos AS node_id, CASE WHEN pos > 0 THEN pos & (pos - 1) END AS parent_id,
+  CASE WHEN pos = 0 THEN n - 1 ELSE least(n, pos + (pos & -pos)) - 1 END AS last_desc_id,
+  CASE (pos * 7 + l.doc_id) % 5 WHEN 0 THEN 'tbl' WHEN 1 THEN 'tc' WHEN 2 THEN 'txbxContent' WHEN 3 THEN 'p' ELSE 't' END AS tag
+FROM lines l JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) s ON l.doc_id = s.doc_id
+""",
+    },
+    # A rule for each document that has two neighbouring words of four to eight letters: its first such pair.
+    "spec_rules": {
+        "spark": "SELECT doc_id AS seq, lower(pair) AS pattern FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,8} [A-Za-z]{4,8}', 0) AS pair FROM documents) WHERE pair <> ''",
+        "duckdb": "SELECT doc_id AS seq, lower(pair) AS pattern FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,8} [A-Za-z]{4,8}', 0) AS pair FROM documents) WHERE pair <> ''",
+    },
 }
 
 #: What each view is built on.
 NEEDS = {
     "lines": (), "spec_lines": ("lines",), "spec_runs": ("lines", "spec_lines"), "style_names": (), "spec_styles": ("style_names",),
-    "spec_style_refs": ("style_names",), "spec_media": (), "spec_rels": (), "spec_xml": (), "spec_nodes": (),
+    "spec_style_refs": ("style_names",), "spec_media": (), "spec_rels": (), "spec_xml": (), "spec_nodes": (), "spec_tree": ("lines",), "spec_rules": (),
 }
-TABLES = {"lines": ("documents",), "style_names": ("documents",), "spec_media": ("part",), "spec_rels": ("part",), "spec_xml": ("documents",), "spec_nodes": ("events",)}
+TABLES = {"lines": ("documents",), "style_names": ("documents",), "spec_media": ("part",), "spec_rels": ("part",), "spec_xml": ("documents",), "spec_nodes": ("events",), "spec_rules": ("documents",)}
 
 
 def with_clauses(names: tuple[str, ...], engine: str) -> list[str]:

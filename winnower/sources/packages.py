@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import io
 import lzma
+import re
 import shutil
 import zipfile
 import zlib
@@ -25,15 +26,19 @@ LARGEST_MEMBER = 256 << 20
 UNREADABLE = (zipfile.BadZipFile, TypeError, NotImplementedError, RuntimeError, OSError, EOFError, ValueError, zlib.error, lzma.LZMAError)
 PARTS = "pkg_id string, part string, ord int, size bigint, data binary, error string"
 NODES = (
-    "pkg_id string, part string, node_id int, parent_id int, last_desc_id int, depth int, tag string, attrs map<string,string>, "
-    "text string, b0 bigint, b1 bigint, open_end bigint, close_start bigint, paras array<int>, runs array<int>, error string"
+    "pkg_id string, part string, node_id int, parent_id int, last_desc_id int, depth int, name string, tag string, up string, attrs map<string,string>, text string, "
+    "txt string, style string, italic boolean, bold boolean, hidden boolean, color string, highlight string, font string, half_points string, "
+    "b0 bigint, b1 bigint, open_end bigint, close_start bigint, paras array<int>, runs array<int>, error string"
 )
+NODE_ROWS = 50_000
+INTEGERS = ["node_id", "parent_id", "last_desc_id", "depth", "b0", "b1", "open_end", "close_start"]
 
 # The format's namespaces and the prefixes used here for them.
 NAMESPACES = {
     "http://schemas.openxmlformats.org/wordprocessingml/2006/main": "w",
     "http://schemas.openxmlformats.org/officeDocument/2006/relationships": "r",
     "http://schemas.openxmlformats.org/drawingml/2006/main": "a",
+    "http://schemas.openxmlformats.org/officeDocument/2006/math": "m",
     "http://schemas.openxmlformats.org/package/2006/relationships": "rel",
     "http://schemas.openxmlformats.org/package/2006/content-types": "ct",
 }
@@ -101,28 +106,58 @@ def tag_end(data: bytes, at: int) -> int:
 
 
 def local(name: str) -> str:
+    """A name with the prefix of its namespace; without one where that isn't known, so it never equals a known one."""
     space, _, tag = name.rpartition(" ")
     return f"{NAMESPACES[space]}:{tag}" if space in NAMESPACES else tag
 
 
+#: What an element of a run's or paragraph's properties says of it; the first of a name counts.
+PROPERTIES = {
+    "w:r": {
+        "w:i": lambda a: {"italic": True}, "w:b": lambda a: {"bold": True}, "w:vanish": lambda a: {"hidden": True}, "w:color": lambda a: {"color": a.get("w:val")}, "w:highlight": lambda a: {"highlight": a.get("w:val")},
+        "w:rStyle": lambda a: {"style": a.get("w:val")}, "w:rFonts": lambda a: {"font": a.get("w:ascii") or a.get("w:hAnsi")}, "w:sz": lambda a: {"half_points": a.get("w:val")},
+    },
+    "w:p": {"w:pStyle": lambda a: {"style": a.get("w:val")}},
+}
+OWN_PROPERTIES = {"w:r": "w:rPr", "w:p": "w:pPr"}
+
+
 def shred_part(data: bytes) -> list[dict]:
     """The elements of a part in document order, with their places as bytes and the paragraphs and runs that they are in.
 
-    Raises ValueError if the part isn't well formed.
+    Only the word processor's own paragraphs, runs and texts count as such, not those of drawings or equations. A
+    paragraph and a run know their text (of all texts inside), and what their first properties element says. Raises
+    ValueError if the part isn't well formed.
     """
     nodes, stack = [], []
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.buffer_text = True
 
+    def describe(node: dict, parent: dict) -> None:
+        full, above = node["name"], parent["name"]
+        if full == OWN_PROPERTIES.get(above) and "described" not in parent:
+            parent["described"] = True
+            node["of"], node["seen"] = parent, set()
+        elif "of" in parent and full not in parent["seen"] and full in PROPERTIES[parent["of"]["name"]]:
+            parent["seen"].add(full)
+            parent["of"].update(PROPERTIES[parent["of"]["name"]][full](node["attrs"]))
+
     def start(name: str, attrs: dict) -> None:
         b0 = parser.CurrentByteIndex
         end = tag_end(data, b0)
         parent = stack[-1] if stack else None
-        node = {"node_id": len(nodes), "parent_id": parent["node_id"] if parent else None, "depth": len(stack), "tag": name.rpartition(" ")[2], "text": [], "b0": b0, "open_end": end}
-        for tag, owners in (("p", "paras"), ("r", "runs")):
+        full = local(name)
+        node = {"node_id": len(nodes), "parent_id": parent and parent["node_id"], "depth": len(stack), "name": full, "tag": name.rpartition(" ")[2], "up": parent and parent["name"], "text": [], "b0": b0, "open_end": end}
+        for owner, owners in (("w:p", "paras"), ("w:r", "runs")):
             above = parent[owners] if parent else ()
-            node[owners] = (*above, parent["node_id"]) if parent and parent["tag"] == tag else above
+            node[owners] = (*above, parent["node_id"]) if parent and parent["name"] == owner else above
         node["attrs"] = {local(k): v for k, v in attrs.items()}
+        if full in OWN_PROPERTIES:
+            node["txt"] = []
+        if full == "w:r":
+            node["italic"] = node["bold"] = node["hidden"] = False
+        if parent:
+            describe(node, parent)
         nodes.append(node)
         stack.append(node)
 
@@ -134,9 +169,14 @@ def shred_part(data: bytes) -> list[dict]:
         node["b1"] = node["open_end"] if single else tag_end(data, at)
         node["last_desc_id"] = len(nodes) - 1
         node["text"] = "".join(node["text"])
+        if node["name"] == "w:t":
+            for i in (*node["paras"], *node["runs"]):
+                nodes[i]["txt"].append(node["text"])
+        elif "txt" in node:
+            node["txt"] = "".join(node["txt"])
 
     def words(text: str) -> None:
-        if stack:
+        if stack and nodes[-1] is stack[-1]:  # what follows a child isn't the element's own text
             stack[-1]["text"].append(text)
 
     def refuse(*_: object) -> None:
@@ -161,74 +201,91 @@ def shred(parts: DataFrame) -> DataFrame:
                     out = [{"pkg_id": pkg, "part": part, "error": None, **n} for n in shred_part(data)]
                 except ValueError as e:
                     out = [dict.fromkeys(columns) | {"pkg_id": pkg, "part": part, "error": str(e)}]
-                table = pd.DataFrame(out, columns=columns)
-                ints = ["node_id", "parent_id", "last_desc_id", "depth", "b0", "b1", "open_end", "close_start"]
-                table[ints] = table[ints].astype("Int64")
-                yield table
+                for i in range(0, len(out), NODE_ROWS):
+                    table = pd.DataFrame({c: [n.get(c) for n in out[i : i + NODE_ROWS]] for c in columns})
+                    table[INTEGERS] = table[INTEGERS].astype("Int64")
+                    yield table
 
     xml = parts.where(F.col("data").isNotNull() & (F.col("part").endswith(".xml") | F.col("part").endswith(".rels")))
     return xml.select("pkg_id", "part", "data").mapInPandas(rows, NODES)
 
 
-def text_of(nodes: DataFrame, owners: str) -> DataFrame:
-    """The text elements of each paragraph or run (owners), joined in document order; nested ones count for each that they are in."""
-    inside = nodes.where(F.col("tag") == "t").select("pkg_id", "part", F.explode(owners).alias("node_id_o"), "node_id", "text")
-    ordered = F.array_sort(F.collect_list(F.struct("node_id", "text")))
-    return inside.groupBy("pkg_id", "part", "node_id_o").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("txt"))
+def paragraphs(nodes: DataFrame) -> DataFrame:
+    """pkg_id, part, para_id, txt, pstyle, b0 and b1 of each paragraph; the shredder has put the facts together."""
+    return nodes.where("name = 'w:p'").select("pkg_id", "part", F.col("node_id").alias("para_id"), "txt", F.col("style").alias("pstyle"), "b0", "b1")
 
 
-def paragraphs_and_runs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs (pkg_id, part, para_id, txt, pstyle, b0, b1) and runs with formatting, nested ones under each paragraph."""
-    keys = ["pkg_id", "part", "node_id_o"]
-    above = nodes.select("pkg_id", "part", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("node_id_o"), F.col("tag").alias("up_tag"))
-    named = nodes.where(F.col("tag").isin("pStyle", "i", "b", "vanish", "color", "highlight", "rStyle", "rFonts", "sz")).select("pkg_id", "part", "parent_id", "tag", F.col("attrs")["w:val"].alias("val"), F.coalesce(F.nullif(F.col("attrs")["w:ascii"], F.lit("")), F.col("attrs")["w:hAnsi"]).alias("face"))
-    properties = named.join(above, ["pkg_id", "part", "parent_id"])
-    styles = properties.where((F.col("up_tag") == "pPr") & (F.col("tag") == "pStyle")).groupBy(*keys).agg(F.first("val").alias("pstyle"))
-    has = lambda t: F.bool_or(F.col("tag") == t)
-    value = lambda t: F.first(F.when(F.col("tag") == t, F.col("val")), ignorenulls=True)
-    formats = properties.where(F.col("up_tag") == "rPr").groupBy(*keys).agg(
-        has("i").alias("italic"), has("b").alias("bold"), has("vanish").alias("hidden"), value("color").alias("color"), value("highlight").alias("highlight"), value("rStyle").alias("rstyle"),
-        F.first(F.when(F.col("tag") == "rFonts", F.col("face")), ignorenulls=True).alias("font"), (value("sz").try_cast("int") / 2).alias("size"),
-    )
-    spans = nodes.where(F.col("tag").isin("p", "r")).select("pkg_id", "part", F.col("node_id").alias("node_id_o"), F.col("parent_id").alias("parent"), "tag", "b0", "b1")
-    paragraphs = (
-        spans.where("tag = 'p'").join(text_of(nodes, "paras"), keys, "left").join(styles, keys, "left")
-        .select("pkg_id", "part", F.col("node_id_o").alias("para_id"), F.coalesce("txt", F.lit("")).alias("txt"), "pstyle", "b0", "b1")
+def runs(nodes: DataFrame) -> DataFrame:
+    """Runs with text and formatting, and paras, the paragraphs that they are in."""
+    return nodes.where("name = 'w:r'").select(
+        "pkg_id", "part", F.col("node_id").alias("run"), "txt", "italic", "bold", "hidden", "color", "highlight", F.col("style").alias("rstyle"), "font",
+        (F.col("half_points").try_cast("int") / 2).alias("size"), F.coalesce(F.col("up") == "w:p", F.lit(False)).alias("parent_is_p"), "b0", "b1", "paras",
     )
-    parents = nodes.select("pkg_id", "part", F.col("node_id").alias("parent"), (F.col("tag") == "p").alias("parent_is_p"))
-    false = F.lit(False)
-    runs = (
-        spans.where("tag = 'r'").join(text_of(nodes, "runs"), keys, "left").join(formats, keys, "left").join(parents, ["pkg_id", "part", "parent"], "left")
-        .select(
-            "pkg_id", "part", F.col("node_id_o").alias("run"), F.coalesce("txt", F.lit("")).alias("txt"), *(F.coalesce(c, false).alias(c) for c in ("italic", "bold", "hidden")),
-            "color", "highlight", "rstyle", "font", "size", F.coalesce("parent_is_p", false).alias("parent_is_p"), "b0", "b1",
-        )
-    )
-    owners = nodes.where(F.col("tag") == "r").select("pkg_id", "part", F.explode("paras").alias("para_id"), F.col("node_id").alias("run"))
-    return paragraphs, runs.join(owners, ["pkg_id", "part", "run"], "left")
 
 
-def splice(parts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Parts without the spans of cuts (pkg_id, part, b0, b1); bytes outside them stay as they are. Nested spans merge."""
-    listed = cuts.groupBy("pkg_id", "part").agg(F.sort_array(F.collect_set(F.struct("b0", "b1"))).alias("cuts"))
+def paragraphs_and_runs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs, and runs under each paragraph that they are in (nested ones under several; para_id is null under none)."""
+    return paragraphs(nodes), runs(nodes).select("*", F.explode_outer("paras").alias("para_id")).drop("paras")
+
+
+def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """Bytes outside of spans, which may touch or lie in each other."""
+    kept, at = [], 0
+    for b0, b1 in sorted(spans):
+        if b0 > at:
+            kept.append(data[at:b0])
+        at = max(at, b1)
+    return b"".join([*kept, data[at:]])
+
+
+def marks_in(part: str, data: bytes, pattern: re.Pattern | None) -> bool:
+    if pattern is None or not part.endswith(".xml"):
+        return False
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def rewritten(part: str, data: bytes | None, spans: list, marks: re.Pattern | None) -> tuple[bytes | None, int]:
+    """A part without its spans (b0, b1, first) and marks, and how many marks there were outside of the spans that go first."""
+    if data is None:
+        return None, 0
+    many = 0
+    if marks_in(part, data, marks):
+        early = [(b0, b1) for b0, b1, first in spans if first]
+        many = len(marks.findall(without_spans(data, early) if early else data))
+    if spans:
+        data = without_spans(data, [(b0, b1) for b0, b1, _ in spans])
+    return (marks.sub(b"", data) if many else data), many
+
+
+CUTS = "array<struct<b0:bigint,b1:bigint,first:boolean>>"
+
+
+def listed_cuts(cuts: DataFrame) -> DataFrame:
+    """cuts (pkg_id, part, b0, b1, and first if some go before marks are counted) as a row for each part."""
+    first = F.col("first") if "first" in cuts.columns else F.lit(False)
+    return cuts.groupBy("pkg_id", "part").agg(F.sort_array(F.collect_set(F.struct("b0", "b1", first.alias("first")))).alias("cuts"))
+
+
+def splice(parts: DataFrame, cuts: DataFrame, marks: str | None = None) -> DataFrame:
+    """Parts without the spans of cuts, and with marks (a pattern) without what matches in XML parts; other bytes stay as they are.
+
+    With marks there is a column n_marks: how many there were, outside of the cuts that go first.
+    """
+    pattern = re.compile(marks.encode(), re.IGNORECASE) if marks else None
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            data = []
-            for content, spans in zip(frame["data"], frame["cuts"], strict=True):
-                if spans is not None and content is not None:
-                    kept, at = [], 0
-                    for s in spans:
-                        if s["b0"] > at:
-                            kept.append(content[at : s["b0"]])
-                        at = max(at, s["b1"])
-                    content = b"".join([*kept, content[at:]])
-                data.append(content)
-            frame = frame.drop(columns="cuts").assign(data=data)
-            frame["size"] = [len(d) if d is not None else 0 for d in data]
-            yield frame
-
-    return parts.join(listed, ["pkg_id", "part"], "left").select(*parts.columns, "cuts").mapInPandas(apply, PARTS)
+            done = [rewritten(p, d, [] if c is None else [(x["b0"], x["b1"], x["first"]) for x in c], pattern) for p, d, c in zip(frame["part"], frame["data"], frame["cuts"], strict=True)]
+            frame = frame.drop(columns="cuts").assign(data=[d for d, _ in done])
+            frame["size"] = [len(d) if d is not None else 0 for d, _ in done]
+            yield frame.assign(n_marks=[n for _, n in done]) if marks else frame
+
+    joined = parts.join(listed_cuts(cuts), ["pkg_id", "part"], "left").select(*parts.columns, "cuts")
+    return joined.mapInPandas(apply, PARTS + (", n_marks bigint" if marks else ""))
 
 
 def carry(source: zipfile.ZipFile, at: int, out: zipfile.ZipFile) -> None:
@@ -263,6 +320,29 @@ def packed(rows: pd.DataFrame, content: bytes | None) -> tuple[bytes | None, str
     return out.getvalue(), None
 
 
+def rewrite(parts: DataFrame, cuts: DataFrame, packages: DataFrame, marks: str | None = None) -> DataFrame:
+    """Splices and packs in one pass: the bytes of a package meet its cuts and what it came from in one task.
+
+    Cuts and the packages' own content go beside the parts as rows of one table, so there is one shuffle of bytes.
+    """
+    pattern = re.compile(marks.encode(), re.IGNORECASE) if marks else None
+    listed = listed_cuts(cuts)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = parts.select("pkg_id", "part", "ord", "data", "error", none(CUTS).alias("cuts"), F.lit(0).alias("kind"))
+    rows = rows.union(listed.select("pkg_id", "part", none("int"), none("binary"), none("string"), F.col("cuts").cast(CUTS), F.lit(1)))
+    rows = rows.union(packages.select("pkg_id", none("string"), none("int"), "content", none("string"), none(CUTS), F.lit(2)))
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        spans = {r.part: [(x["b0"], x["b1"], x["first"]) for x in r.cuts] for r in rows[rows["kind"] == 1].itertuples()}
+        source = rows.loc[rows["kind"] == 2, "data"]
+        mine = rows[rows["kind"] == 0]
+        mine = mine.assign(data=[rewritten(r.part, r.data, spans.get(r.part, []), pattern)[0] if r.part else None for r in mine.itertuples()])
+        content, error = packed(mine, source.iloc[0] if len(source) else None)
+        return pd.DataFrame({"pkg_id": [rows["pkg_id"].iloc[0]], "content": [content], "error": [error]})
+
+    return rows.groupBy("pkg_id").applyInPandas(whole, "pkg_id string, content binary, error string")
+
+
 def pack(parts: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """pkg_id, content and error of each package, members in their order.
 

@@ -10,14 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from winnower.plans.api import shallow_clean
 from winnower.rules import DEFAULT, Rules
-from winnower.sources.packages import pack, unpack
+from winnower.sources.packages import unpack
 
 Clean = Callable[[DataFrame], DataFrame]
 
 
 def clean_batch(packages: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """pkg_id, content and error of each package after a shallow clean; with an error, the content is what came in."""
-    return pack(shallow_clean(unpack(packages), rules).parts, packages)
+    return shallow_clean(unpack(packages), rules).packages(packages)
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, clean: Clean = clean_batch) -> StreamingQuery:
