@@ -336,7 +336,7 @@ def rewrite(parts: DataFrame, cuts: DataFrame, packages: DataFrame, marks: str |
         spans = {r.part: [(x["b0"], x["b1"], x["first"]) for x in r.cuts] for r in rows[rows["kind"] == 1].itertuples()}
         source = rows.loc[rows["kind"] == 2, "data"]
         mine = rows[rows["kind"] == 0]
-        mine = mine.assign(data=[rewritten(r.part, r.data, spans.get(r.part, []), pattern)[0] if r.part else None for r in mine.itertuples()])
+        mine = mine.assign(ord=mine["ord"].astype("int64"), data=[rewritten(r.part, r.data, spans.get(r.part, []), pattern)[0] if r.part else None for r in mine.itertuples()])
         content, error = packed(mine, source.iloc[0] if len(source) else None)
         return pd.DataFrame({"pkg_id": [rows["pkg_id"].iloc[0]], "content": [content], "error": [error]})
 
