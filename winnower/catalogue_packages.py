@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnower import rules as R
-from winnower.catalogue import DECISION, RUNS, listed, query
+from winnower.catalogue import DECISION, ORACLE_SQL, listed, query
 from winnower.functions.scratch import materialize, new_folder
 from winnower.operators import containment
 from winnower.plans import api
@@ -14,6 +14,7 @@ from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, PKG_REACH
 from winnower.plans.specimens import oracle as packaged
 from winnower.sources import packages as P
 from winnower.sources.datasource import register
+from winnower.streaming.watch import watch
 
 MAIN = "word/document.xml"
 SOUND = "doc_id % 28 <> 4"  # documents whose header is well formed or missing
@@ -164,6 +165,7 @@ TARGET = f"CASE WHEN pos % 2 = 0 THEN 'https://WWW.{DOMAIN}/p' ELSE 'https://oth
     packaged(
         f"SELECT {PKG}, 'word/_rels/document.xml.rels' AS source_file, concat('rId', CAST(pos AS STRING)) AS rid, {TARGET} AS target, '{LINK}' AS type, 'External' AS target_mode FROM spec_lines WHERE (doc_id + pos) % 9 = 0 "
         f"UNION ALL SELECT pkg_id, 'word/_rels/document.xml.rels', 'rIdM', CASE WHEN doc_id % 3 = 1 THEN 'media/image2.png' ELSE 'media/image1.png' END, '{IMAGE}', 'Internal' FROM pkg_docs "
+        "UNION ALL SELECT pkg_id, 'word/_rels/document.xml.rels', rid, target, type, 'Internal' FROM pkg_docs CROSS JOIN (VALUES (1, 'rIdS', 'styles.xml', 'x/styles'), (1, 'rIdT', '/word/fontTable.xml', 'x/fontTable'), (2, 'rIdN', '../word/numbering.xml', 'x/numbering'), (3, 'rIdF', './footnotes.xml', 'x/footnotes')) AS t(every, rid, target, type) WHERE doc_id % every = 0 "
         "UNION ALL SELECT pkg_id, '_rels/.rels', 'rId1', 'word/document.xml', 'x/officeDocument', 'Internal' FROM pkg_docs WHERE doc_id % 47 <> 9"
     )
 )
@@ -175,7 +177,7 @@ def rels_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     packaged(
         f"SELECT DISTINCT {PKG}, 'word/document.xml' AS part, 'rid' AS kind, concat('rId', CAST(pos AS STRING)) AS ref FROM spec_lines WHERE (doc_id + pos) % 9 = 0 AND doc_id % 37 <> 3 "
         f"UNION ALL SELECT DISTINCT pkg_id, part, 'style', style_id FROM pkg_named WHERE deep UNION ALL SELECT DISTINCT {PKG}, 'word/document.xml', 'font', 'Arial' FROM spec_lines WHERE doc_id % 37 <> 3 "
-        "UNION ALL SELECT pkg_id, 'word/document.xml', 'number', '4' FROM pkg_docs WHERE doc_id % 10 = 7 AND doc_id % 37 <> 3 UNION ALL SELECT pkg_id, 'word/footnotes.xml', kind, ref FROM pkg_docs CROSS JOIN (VALUES ('rid', 'rId1'), ('font', 'Times')) AS t(kind, ref) WHERE doc_id % 3 = 0"
+        f"UNION ALL SELECT pkg_id, 'word/document.xml', 'number', '2' FROM pkg_docs WHERE doc_id % 10 = 7 AND doc_id % 37 <> 3 UNION ALL SELECT DISTINCT {PKG}, 'word/document.xml', 'rid', 'rIdM' FROM spec_lines WHERE pos % 11 = 4 AND doc_id % 37 <> 3 UNION ALL SELECT pkg_id, 'word/footnotes.xml', kind, ref FROM pkg_docs CROSS JOIN (VALUES ('rid', 'rId1'), ('font', 'Times')) AS t(kind, ref) WHERE doc_id % 3 = 0"
     )
 )
 def package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +207,39 @@ def package_orphaned_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.orphaned_media(api.media(left), rels)
 
 
+#: Styles that the root reaches: those that the main part and the footnotes name, and what they are based on.
+ROOTED = "pkg_rooted AS (SELECT DISTINCT pkg_id, style_id FROM pkg_named WHERE deep AND doc_id % 47 <> 9 AND part IN ('word/document.xml', 'word/footnotes.xml')), " + PKG_REACHED.replace("pkg_reached", "pkg_reached_rooted").replace("FROM pkg_used ", "FROM pkg_rooted ")
+ROOT, BODY = "doc_id % 47 <> 9", "doc_id % 47 <> 9 AND doc_id % 37 <> 3"
+DRAWN = "doc_id IN (SELECT doc_id FROM spec_lines WHERE pos % 11 = 4)"
+IN_RELS = "concat('word/_rels/document.xml.rels', chr(9), {0})"
+
+
+def after(body: str, *more: str) -> str:
+    """SQL with further expressions after those of the packages."""
+    whole = packaged("@", recursive=True)
+    return whole.replace(" @", ", " + ", ".join([PKG_REACHED, *more]) + " " + body)
+
+
+@query(
+    after(
+        f"""SELECT pkg_id, 'part' AS kind, part AS name FROM pkg_parts WHERE part NOT LIKE '%.rels' AND part <> '[Content_Types].xml' AND NOT ({ROOT} AND (part IN ('word/document.xml', 'word/styles.xml', 'word/fontTable.xml', 'word/footnotes.xml')
+          OR (part = 'word/numbering.xml' AND doc_id % 2 = 0) OR (doc_id % 37 <> 3 AND {DRAWN} AND part = CASE WHEN doc_id % 3 = 1 THEN 'word/media/image2.png' ELSE 'word/media/image1.png' END)))
+        UNION ALL SELECT {PKG}, 'rel', {IN_RELS.format("concat('rId', CAST(pos AS STRING))")} FROM spec_lines WHERE (doc_id + pos) % 9 = 0 AND NOT ({BODY})
+        UNION ALL SELECT pkg_id, 'rel', {IN_RELS.format("'rIdM'")} FROM pkg_docs WHERE NOT ({BODY} AND {DRAWN})
+        UNION ALL SELECT pkg_id, 'rel', {IN_RELS.format("rid")} FROM pkg_docs CROSS JOIN (VALUES (1, 'rIdS'), (1, 'rIdT'), (2, 'rIdN'), (3, 'rIdF')) AS t(every, rid) WHERE doc_id % every = 0 AND NOT ({ROOT})
+        UNION ALL SELECT pkg_id, 'font', 'Calibri' FROM pkg_docs WHERE doc_id % 2 = 0 UNION ALL SELECT pkg_id, 'font', 'Arial' FROM pkg_docs WHERE NOT ({BODY} AND body IS NOT NULL)
+        UNION ALL SELECT pkg_id, 'number', CAST(doc_id % 5 AS STRING) FROM pkg_docs WHERE NOT ({BODY} AND doc_id % 10 = 7)
+        UNION ALL SELECT s.pkg_id, 'style', s.style_id FROM pkg_styles s LEFT JOIN pkg_reached_rooted r ON s.pkg_id = r.pkg_id AND s.style_id = r.style_id WHERE r.style_id IS NULL
+        UNION ALL SELECT pkg_id, 'style', 'Inner' FROM pkg_docs WHERE doc_id % 6 = 0""",
+        ROOTED,
+    )
+)
+def package_unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, relationships, fonts, numberings and styles that nothing from the package's root leads to."""
+    left = materialize(unpacked(spark, sf_dir), "parts")
+    return api.unreached(left, materialize(P.shred(left), "nodes"))
+
+
 # Cleaning
 
 #: Runs outside of their paragraph that a second look removes, and paragraphs that stay; packages with a broken header stay whole.
@@ -252,12 +287,6 @@ STATUS = (
 )
 
 
-def after(body: str, *more: str) -> str:
-    """SQL with further expressions after those of the packages."""
-    whole = packaged("@", recursive=True)
-    return whole.replace(" @", ", " + ", ".join([PKG_REACHED, *more]) + " " + body)
-
-
 @query(after("SELECT pkg_id, string_agg(style_id, ',' ORDER BY style_id) AS kept FROM status WHERE stays GROUP BY pkg_id", PKG_REACHED_ALL, STATUS))
 def package_style_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = api.style_clean(unpacked(spark, sf_dir)).parts
@@ -303,3 +332,29 @@ FAULT = "CASE WHEN doc_id % 41 = 7 THEN 'Missing [Content_Types].xml' WHEN doc_i
 def package_deep_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = unpacked(spark, sf_dir)
     return api.counters(left, api.deep_clean(left, domains=(DOMAIN,)))
+
+
+CUT = f"cut AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM gone WHERE doc_id % 37 <> 3 UNION ALL SELECT doc_id FROM loose WHERE doc_id % 37 <> 3 AND {SOUND} UNION ALL SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND {SOUND}) GROUP BY doc_id)"
+
+
+@query(
+    packaged(
+        f"SELECT p.pkg_id, p.doc_id % 53 <> 11 AND p.doc_id % 28 <> 4 AND {FAULT.replace('doc_id', 'p.doc_id')} IS NULL AS success, CASE WHEN p.doc_id % 53 = 11 THEN 0 ELSE coalesce(c.n, 0) END AS paragraphs_and_runs FROM pkg_docs p LEFT JOIN cut c ON p.doc_id = c.doc_id",
+        *SHALLOW,
+        CUT,
+    )
+)
+def package_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three cleans in one call, with a status for each package."""
+    return api.clean(packages(spark, sf_dir), domains=(DOMAIN,)).select("pkg_id", "success", "paragraphs_and_runs")
+
+
+@query(ORACLE_SQL["package_shallow_clean"])
+def package_stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages that arrive as files, cleaned by a stream that takes what there is: equal to a batch."""
+    folder = stored(P.pack(unpacked(spark, sf_dir)))
+    out, state = f"{new_folder(spark)}/cleaned", f"{new_folder(spark)}/state"
+    watch(spark, folder, out, state).awaitTermination()
+    done = spark.read.schema("pkg_id string, content binary, error string, batch int").parquet(out)
+    name = F.url_decode(F.regexp_extract("pkg_id", r"([^/]*)\.docx$", 1))
+    return P.unpack(done.select(name.alias("pkg_id"), "content")).select("pkg_id", "part", digest())

@@ -37,16 +37,20 @@ def reach(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([rows["pkg_id"][0].as_py()] * len(seen), rows.schema.field("pkg_id").type), pa.array(list(seen), pa.string())], names=["pkg_id", "style_id"])
 
 
-def closure(styles: DataFrame, used: DataFrame) -> DataFrame:
-    """Styles reached from the used ones, undefined targets included, however long the chains and whatever the cycles.
+def closure_of_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """pkg_id and style_id (any name) of what seeds (pkg_id, dst) reach over edges (pkg_id, src, dst), themselves included.
 
     Edges and seeds of a package meet in one task, which follows each edge once: one shuffle, no job of its own. A
-    package's edges come from its styles part, which one task has parsed before, so they are bounded as that is.
+    package's edges come from parts that one task has parsed before, so they are bounded as those are.
     """
-    edges = style_edges(styles).select("pkg_id", "src", "dst")
-    seeds = used.select("pkg_id", F.lit(None).cast("string").alias("src"), F.col("style_id").alias("dst"))
-    key = styles.schema["pkg_id"].dataType.simpleString()
-    return edges.union(seeds).groupBy("pkg_id").applyInArrow(reach, f"pkg_id {key}, style_id string")
+    key = edges.schema["pkg_id"].dataType.simpleString()
+    rows = edges.select("pkg_id", "src", "dst").union(seeds.select("pkg_id", F.lit(None).cast("string").alias("src"), "dst"))
+    return rows.groupBy("pkg_id").applyInArrow(reach, f"pkg_id {key}, style_id string")
+
+
+def closure(styles: DataFrame, used: DataFrame) -> DataFrame:
+    """Styles reached from the used ones, undefined targets included, however long the chains and whatever the cycles."""
+    return closure_of_edges(style_edges(styles), used.select("pkg_id", F.col("style_id").alias("dst")))
 
 
 def closure_with_defaults(styles: DataFrame, used: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnower.functions.scratch import materialize
 from winnower.functions.text import any_of, nonblank
-from winnower.operators import deep, detect, styles
+from winnower.operators import deep, detect, reachability, styles
 from winnower.rules import COMPAT_CLEAN_TAGS, DEFAULT, KEPT_SCRIPTS, RSID_STRIP, RUN_CONTENT_TAGS, Rules
 from winnower.sources import packages as P
 
@@ -117,6 +118,23 @@ def inventory(nodes: DataFrame) -> DataFrame:
     return fonts.union(numbers).where(F.coalesce("name", F.lit("")) != "").distinct()
 
 
+def unreached(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pkg_id, kind (part, rel, font, number, style) and name of what a package defines and its root doesn't reach.
+
+    Fonts and numberings are those of the font table and the numbering part; a relationship's name is its file and id. A
+    package without root relationships reaches nothing.
+    """
+    sound = nodes.where(F.col("error").isNull())
+    rels, defined = defined_relationships(sound), style_definitions(sound, deep=True)
+    edges = reachability.relationship_edges(rels).union(reachability.reference_edges(typed_references(sound)))
+    edges = edges.union(reachability.style_edges_as_nodes(styles.style_edges(defined)))
+    kept = reachability.reached(edges, parts.select("pkg_id"))
+    things = inventory(sound).union(defined.select("pkg_id", F.lit("style"), "style_id"))
+    things = things.union(rels.select("pkg_id", F.lit("rel"), F.concat_ws(reachability.SEPARATOR, "source_file", "rid")))
+    things = things.union(parts.where(~F.col("part").endswith(".rels") & (F.col("part") != "[Content_Types].xml")).select("pkg_id", F.lit("part").alias("kind"), "part"))
+    return reachability.orphans(things.distinct(), kept)
+
+
 def previous_siblings(nodes: DataFrame) -> DataFrame:
     """Each element with the one before it under the same parent; null for a first child."""
     before = Window.partitionBy("pkg_id", "part", "parent_id").orderBy("node_id")
@@ -273,6 +291,43 @@ def counters(parts: DataFrame, cleaned: Cleaned) -> DataFrame:
     return every.select("pkg_id", *columns, F.col("fault").isNull().alias("success"), F.concat_ws("; ", "fault", F.when(F.col("fault").isNotNull(), "Document structure validation failed")).alias("errors"))
 
 
+STAGES = ("shallow", "styles", "deep")
+
+
+def clean(packages: DataFrame, stages: Sequence[str] = STAGES, rules: Rules = DEFAULT, **deep_options: object) -> DataFrame:
+    """Packages through several cleans in their order, with a row for each: pkg_id, content, success, errors and counts.
+
+    The counts are what each stage took: paragraphs_and_runs, styles, and the savings of the deep clean (bytes_saved). A
+    package that can't be read, or isn't sound for a stage, has its errors; it goes through the other stages, and its
+    content is what came in where it can't be written back.
+    """
+    unknown = set(stages) - set(STAGES)
+    if unknown:
+        raise ValueError(f"unknown stages {sorted(unknown)}")
+    parts = materialize(P.unpack(packages), "unpacked")
+    faults = [parts.where("part IS NULL").select("pkg_id", F.col("error").alias("fault"))]
+    counts = []
+    for stage in stages:
+        if stage == "deep":
+            done = deep_clean(parts, **deep_options)
+            found = counters(parts, done)
+            counts.append(found.select("pkg_id", F.lit("bytes_saved").alias("what"), F.col("bytes_saved").alias("n")))
+            faults.append(found.where("NOT success").select("pkg_id", F.col("errors").alias("fault")))
+        else:
+            done = shallow_clean(parts, rules) if stage == "shallow" else style_clean(parts)
+            what = "paragraphs_and_runs" if stage == "shallow" else "styles"
+            counts.append(done.cuts.groupBy("pkg_id").agg(F.count("*").alias("n")).select("pkg_id", F.lit(what).alias("what"), "n"))
+            if done.faults is not None:
+                faults.append(done.faults.select("pkg_id", F.concat_ws(": ", "part", "error").alias("fault")))
+        parts = materialize(done.parts.select("pkg_id", "part", "ord", "size", "data", "error"), stage)
+    summed = reduce(DataFrame.union, counts).groupBy("pkg_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in ("paragraphs_and_runs", "styles", "bytes_saved")))
+    written = P.pack(parts, packages)
+    faults.append(written.where("error IS NOT NULL").select("pkg_id", F.col("error").alias("fault")))
+    listed = reduce(DataFrame.union, faults).groupBy("pkg_id").agg(F.array_join(F.sort_array(F.collect_set("fault")), "; ").alias("errors"))
+    joined = written.select("pkg_id", "content").join(summed, "pkg_id", "left").join(listed, "pkg_id", "left")
+    return joined.select("pkg_id", "content", F.col("errors").isNull().alias("success"), F.coalesce("errors", F.lit("")).alias("errors"), *(F.coalesce(c, F.lit(0)).alias(c) for c in summed.columns[1:]))
+
+
 def validate(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first structural fault of each package; null if there is none."""
     broken = nodes.where(F.col("error").isNotNull()).select("pkg_id", "part").distinct().withColumn("_broken", F.lit(True))

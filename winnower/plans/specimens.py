@@ -20,6 +20,10 @@ PROPERTIES = 'xmlns="http://schemas.openxmlformats.org/officeDocument/2006/exten
 LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/hyperlink"
 IMAGE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
 
+#: Relationships of the main part that need no mention: file by file name, absolute, and with dots.
+KEPT_RELS = """'<Relationship Id="rIdS" Type="x/styles" Target="styles.xml"/><Relationship Id="rIdT" Type="x/fontTable" Target="/word/fontTable.xml"/>', CASE WHEN doc_id % 2 = 0 THEN '<Relationship Id="rIdN" Type="x/numbering" Target="../word/numbering.xml"/>' ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN '<Relationship Id="rIdF" Type="x/footnotes" Target="./footnotes.xml"/>' ELSE '' END"""
+
 #: place, id, based on, next, linked, default
 STYLES = (
     (0, "Normal", None, None, None, True),
@@ -73,7 +77,7 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
     bookmark = "concat('<w:bookmarkStart w:id=\"', CAST(pos AS STRING), '\" w:name=\"', CASE pos % 9 WHEN 0 THEN '_GoBack' WHEN 3 THEN '_Hlk1' ELSE 'Chapter' END, '\"/><w:bookmarkEnd w:id=\"', CAST(pos AS STRING), '\"/>')"
     # equations and drawings have paragraphs, runs and texts of their own, which aren't the document's
     math = "'<m:oMath><m:r><m:t>[TBD]</m:t></m:r><m:r/></m:oMath>'"
-    drawing = "'<w:drawing><a:p><a:pPr><w:pStyle w:val=\"CMT\"/></a:pPr><a:r><a:rPr><w:vanish/></a:rPr><a:t>NOTE TO SPECIFIER: drawn</a:t></a:r></a:p></w:drawing>'"
+    drawing = "'<w:drawing><a:p><a:pPr><w:pStyle w:val=\"CMT\"/></a:pPr><a:r><a:rPr><w:vanish/></a:rPr><a:t>NOTE TO SPECIFIER: drawn</a:t></a:r></a:p><a:blip r:embed=\"rIdM\"/></w:drawing>'"
     paragraph = f"""concat('<w:p', {rsid}, '>', {some("pstyle IS NOT NULL", "concat('<w:pPr><w:pStyle w:val=\"', pstyle, '\"/></w:pPr>')")}, {some("pos % 9 = 6" if clean else "pos % 3 = 0", bookmark)},
       {dirty(some("pos % 4 = 1", "'<w:proofErr w:type=\"spellStart\"/>'"))}, coalesce(r.runs, ''), {some("pos % 7 = 5", math)}, {some("pos % 11 = 4", drawing)}, {dirty(some("pos % 5 = 2", "'<w:r><w:rPr/></w:r>'"))}, '</w:p>')"""
     target = f"CASE WHEN pos % 2 = 0 THEN 'https://WWW.{DOMAIN}/p' ELSE 'https://other.example.org/p' END"
@@ -86,8 +90,8 @@ def clauses(engine: str, clean: bool = False, runs: str = "spec_runs", lines: st
         ("[Content_Types].xml", "doc_id % 41 <> 7", f"CASE WHEN doc_id % 43 = 5 THEN '<Types>' ELSE '<Types {TYPES}></Types>' END"),
         ("_rels/.rels", "doc_id % 47 <> 9", f"'<Relationships {REL}><Relationship Id=\"rId1\" Type=\"x/officeDocument\" Target=\"word/document.xml\"/></Relationships>'"),
         ("docProps/app.xml", "TRUE", f"concat('<Properties {PROPERTIES}>', {dirty(some('doc_id % 2 = 0', f'''concat('<HLinks><v>https://WWW.{DOMAIN}/', {number}, '</v></HLinks>')'''))}, {some('doc_id % 2 = 1', "'<HLinks><v>none</v></HLinks>'")}, '</Properties>')"),
-        ("word/document.xml", "doc_id % 37 <> 3", f"concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><w:document {W} {R} {A} {M}><w:body>', coalesce(body, ''), {some('doc_id % 10 = 3', "'<w:tbl><w:tblPr><w:tblStyle w:val=\"Odd\"/></w:tblPr></w:tbl>'")}, {some('doc_id % 10 = 7', "'<w:numPr><w:numStyleLink w:val=\"Spare\"/><w:numId w:val=\"0\"/><w:numId w:val=\"4\"/></w:numPr>'")}, '</w:body></w:document>')"),
-        ("word/_rels/document.xml.rels", "TRUE", f"concat('<Relationships {REL}><Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image1.png\"/>', {some('doc_id % 3 = 1', f'''concat('<Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image2.png\"/>', '')''')}, coalesce(links, ''), '</Relationships>')"),
+        ("word/document.xml", "doc_id % 37 <> 3", f"concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><w:document {W} {R} {A} {M}><w:body>', coalesce(body, ''), {some('doc_id % 10 = 3', "'<w:tbl><w:tblPr><w:tblStyle w:val=\"Odd\"/></w:tblPr></w:tbl>'")}, {some('doc_id % 10 = 7', "'<w:numPr><w:numStyleLink w:val=\"Spare\"/><w:numId w:val=\"0\"/><w:numId w:val=\"2\"/></w:numPr>'")}, '</w:body></w:document>')"),
+        ("word/_rels/document.xml.rels", "TRUE", f"concat('<Relationships {REL}><Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image1.png\"/>', {some('doc_id % 3 = 1', f'''concat('<Relationship Id=\"rIdM\" Type=\"{IMAGE}\" Target=\"media/image2.png\"/>', '')''')}, {KEPT_RELS}, coalesce(links, ''), '</Relationships>')"),
         ("word/header1.xml", "doc_id % 4 = 0", f"CASE WHEN doc_id % 28 = 4 THEN '<w:hdr {W}><w:p>' ELSE '<w:hdr {W}><w:p><w:r><w:t>NOTE TO SPECIFIER: go</w:t></w:r></w:p><w:p><w:r><w:t>Header</w:t></w:r></w:p></w:hdr>' END"),
         ("word/footnotes.xml", "doc_id % 3 = 0", f"'<w:footnotes {W} {R}><w:p><w:pPr><w:pStyle w:val=\"Strong\"/></w:pPr><w:hyperlink r:id=\"rId1\"><w:r><w:rPr><w:rFonts w:cs=\"Times\" w:ascii=\"\"/></w:rPr><w:t>NOTE TO SPECIFIER: a note</w:t></w:r></w:hyperlink></w:p></w:footnotes>'"),
         ("word/endnotes.xml", "doc_id % 6 = 5", f"'<w:endnotes {W}><w:p><w:pPr><w:pStyle w:val=\"Spare\"/></w:pPr></w:p></w:endnotes>'"),
