@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnower import rules as R
+from winnower.functions.extension import register_detector
 from winnower.functions.text import first_hit, lowered, matches, matches_any, once
 from winnower.operators import containment, deep, detect, diagnose, html, report, ruletable, styles
 from winnower.plans.views import oracle, view
@@ -168,6 +169,14 @@ def detect_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("content_type = 'long_line'").select("doc_id", "pos")
 
 
+@query(oracle(("spec_lines",), "SELECT doc_id, pos, 'long_line' AS content_type, 0.9::DOUBLE AS confidence, concat('longer than 300 characters: ', length(txt)) AS reason FROM spec_lines WHERE length(txt) > 300"))
+def detect_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table function of SQL, joined back to nothing: it carries the line's key."""
+    register_detector(spark, "long_line", lambda texts: [(0.9, f"longer than 300 characters: {len(t)}") if t is not None and len(t) > 300 else None for t in texts], "struct<doc_id:bigint,pos:bigint>")
+    view(spark, sf_dir, "spec_lines").createOrReplaceTempView("_lines")
+    return spark.sql("SELECT k.doc_id, k.pos, content_type, confidence, reason FROM long_line(TABLE(SELECT struct(doc_id, pos) AS k, txt FROM _lines))")
+
+
 # Decisions
 
 DECISION = (
