@@ -174,3 +174,27 @@ def test_bookmarks_of_another_package_stay(spark):
 
     found = deep.bookmark_pairs(spark.createDataFrame(rows, "pkg_id string, part string, node_id int, tag string, name string, bm_id string"))
     assert sorted(r["node_id"] for r in found.collect()) == [1, 5]
+
+
+def test_search_by_index_reads_few_segments(spark, tmp_path):
+    from winnower.operators import textindex
+
+    rows = [(i, f"line {i} of common words" + (" with a Needle in it" if i in (7, 900) else "") + (" need le" if i % 50 == 0 else "")) for i in range(2000)] + [(-1, None), (-2, "")]
+    lines = spark.createDataFrame(rows, "k int, txt string").repartition(3)
+    index = textindex.build(lines, "txt", f"file://{tmp_path}/index", segment=20, buckets=64)
+    assert index.lines(spark).count() == len(rows)
+    for text in ("needle", "NEEDLE IN", "common", "zz top", "li", "", "line 77 "):
+        want = {k for k, t in rows if t is not None and text.lower() in t.lower()}
+        assert {r["k"] for r in textindex.search(spark, index, text).collect()} == want
+    wanted = ["nee", "eed", "edl", "dle"]
+    assert 1 <= textindex.segments_with(spark, index, wanted).count() <= 2
+    plan = textindex.search(spark, index, "needle")._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
+def test_targets_of_relationships(spark):
+    from winnower.operators import reachability
+
+    cases = [("_rels/.rels", "word/document.xml", "word/document.xml"), ("word/_rels/document.xml.rels", "styles.xml", "word/styles.xml"), ("word/_rels/document.xml.rels", "/docProps/app.xml", "docProps/app.xml"), ("word/_rels/document.xml.rels", "../customXml/./item1.xml", "customXml/item1.xml"), ("a/b/_rels/c.rels", "../../../d", "d")]
+    df = spark.createDataFrame(cases, "f string, t string, want string")
+    assert [r[0] for r in df.select(reachability.target_part(F.col("f"), F.col("t"))).collect()] == [c[2] for c in cases]

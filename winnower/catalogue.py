@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from winnower import rules as R
 from winnower.functions.extension import register_detector
+from winnower.functions.scratch import new_folder
 from winnower.functions.text import first_hit, lowered, matches, matches_any, once
-from winnower.operators import containment, deep, detect, diagnose, html, report, ruletable, styles
+from winnower.operators import containment, deep, detect, diagnose, html, report, ruletable, styles, textindex
 from winnower.plans.views import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -579,6 +580,14 @@ def diagnose_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.interesting(*both(spark, sf_dir), search="Coordinate")
 
 
+@query(oracle(("spec_runs",), SHOWN + " AND contains(lower(l.txt), 'coordinate')", TEXT_RUNS))
+def diagnose_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stored index: only segments that hold the rarest pieces of the text are read."""
+    lines, runs = both(spark, sf_dir)
+    index = textindex.build(lines, "txt", new_folder(spark), segment=64)
+    return diagnose.interesting(textindex.search(spark, index, "Coordinate"), runs, show_all=True)
+
+
 @query(oracle(("spec_runs",), SHOWN + " AND (has_hidden OR len(colors) > 0 OR len(char_styles) > 0)", TEXT_RUNS))
 def diagnose_interesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.interesting(*both(spark, sf_dir))
