@@ -10,10 +10,11 @@ from winnower.catalogue import DECISION, ORACLE_SQL, listed, query
 from winnower.functions.scratch import materialize, new_folder
 from winnower.operators import containment
 from winnower.plans import api
-from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, PKG_REACHED_ALL, packages, unpacked
+from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, PKG_REACHED_ALL, W, packages, unpacked
 from winnower.plans.specimens import oracle as packaged
 from winnower.sources import packages as P
 from winnower.sources.datasource import register
+from winnower.streaming.totals import totals, watch_totals
 from winnower.streaming.watch import watch
 
 MAIN = "word/document.xml"
@@ -358,3 +359,31 @@ def package_stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spark.read.schema("pkg_id string, content binary, error string, batch int").parquet(out)
     name = F.url_decode(F.regexp_extract("pkg_id", r"([^/]*)\.docx$", 1))
     return P.unpack(done.select(name.alias("pkg_id"), "content")).select("pkg_id", "part", digest())
+
+
+AGAIN = "doc_id % 5 = 0 AND doc_id % 37 <> 3"  # documents whose package is delivered a second time
+
+
+@query(
+    packaged(
+        "SELECT content_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ("
+        f"SELECT doc_id, content_type FROM p_found WHERE {SOUND} AND doc_id % 37 <> 3 AND NOT ({AGAIN}) UNION ALL SELECT doc_id, 'specifier_note' FROM documents WHERE doc_id % 4 = 0 AND {SOUND} AND NOT ({AGAIN}) "
+        f"UNION ALL SELECT doc_id, 'editorial_artifact' FROM documents WHERE {AGAIN}) GROUP BY content_type",
+        *FOUND,
+    )
+)
+def stream_totals_after_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a stream that was stopped, and went on when some packages came again with other content."""
+    folder = f"{new_folder(spark)}/inbox"
+    register(spark)
+    left = materialize(unpacked(spark, sf_dir), "parts")
+    out, state = f"{new_folder(spark)}/changes", f"{new_folder(spark)}/state"
+    P.pack(left).select("pkg_id", "content").write.format("packages").mode("append").save(f"{folder}/first")
+    watch_totals(spark, f"{folder}/*", out, state).awaitTermination()
+    number = F.substring("pkg_id", 2, 20).cast("long")
+    again = left.where((number % 5 == 0) & (number % 37 != 3) & (F.col("part") != "word/header1.xml"))
+    body = F.lit(f"<w:document {W}><w:body><w:p><w:r><w:t>[TBD]</w:t></w:r></w:p></w:body></w:document>".encode())
+    again = again.withColumn("data", F.when(F.col("part") == MAIN, body).otherwise(F.col("data")))
+    P.pack(again).select("pkg_id", "content").write.format("packages").mode("append").save(f"{folder}/second")
+    watch_totals(spark, f"{folder}/*", out, state).awaitTermination()
+    return totals(spark, out)
