@@ -9,7 +9,7 @@ from winnower import rules as R
 from winnower.catalogue import DECISION, ORACLE_SQL, listed, query
 from winnower.functions.scratch import materialize, new_folder
 from winnower.operators import containment
-from winnower.plans import api
+from winnower.plans import api, resume
 from winnower.plans.specimens import DOMAIN, IMAGE, LINK, PKG_REACHED, PKG_REACHED_ALL, W, packages, unpacked
 from winnower.plans.specimens import oracle as packaged
 from winnower.sources import packages as P
@@ -387,3 +387,20 @@ def stream_totals_after_redelivery(spark: SparkSession, sf_dir: str) -> DataFram
     P.pack(again).select("pkg_id", "content").write.format("packages").mode("append").save(f"{folder}/second")
     watch_totals(spark, f"{folder}/*", out, state).awaitTermination()
     return totals(spark, out)
+
+
+@query(packaged("SELECT pkg_id, sha256(xml) AS sha256, part, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM pkg_parts WHERE part <> 'word/styles.xml'"))
+def package_resumed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run takes a third of the packages, a second one all: each is cleaned once, by the run that met it first."""
+    left = materialize(unpacked(spark, sf_dir), "parts")
+    whole = materialize(P.pack(left).select("pkg_id", "content"), "packages")
+    folder = f"{new_folder(spark)}/resumed"
+
+    def by_style(packages: DataFrame) -> DataFrame:
+        return api.style_clean(P.unpack(packages)).packages(packages)
+
+    resume.clean_new(whole.where(F.substring("pkg_id", 2, 20).cast("long") % 3 == 0), folder, by_style, batches=1)
+    resume.clean_new(whole, folder, by_style, batches=2)
+    done = resume.results(spark, folder)
+    runs = done.select("pkg_id", F.col("run").cast("int").alias("run"))
+    return P.unpack(done).where("part <> 'word/styles.xml'").select("pkg_id", digest(), "part").join(runs, "pkg_id")
