@@ -30,7 +30,8 @@ NODES = (
     "txt string, style string, italic boolean, bold boolean, hidden boolean, color string, highlight string, font string, half_points string, "
     "b0 bigint, b1 bigint, open_end bigint, close_start bigint, paras array<int>, runs array<int>, error string"
 )
-NODE_ROWS = 50_000
+NODE_ROWS = 20_000
+HELD_BYTES = 16 << 20
 INTEGERS = ["node_id", "parent_id", "last_desc_id", "depth", "b0", "b1", "open_end", "close_start"]
 
 # The format's namespaces and the prefixes used here for them.
@@ -52,22 +53,34 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 def unpack(packages: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
     """A row for each member, in the package's order; a row with an error for a package that can't be read."""
 
+    def of_package(pkg: str, content: bytes) -> list[tuple]:
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for i, info in enumerate(z.infolist()):
+                    if info.is_dir() or (wanted is not None and info.filename not in wanted):
+                        continue
+                    if info.file_size > LARGEST_MEMBER:
+                        rows.append((pkg, info.filename, i, info.file_size, None, "member too large"))
+                    else:
+                        rows.append((pkg, info.filename, i, info.file_size, z.read(info), None))
+        except UNREADABLE as e:
+            return [(pkg, None, -1, 0, None, f"not a package: {type(e).__name__}")]
+        return rows
+
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
         for frame in frames:
             for pkg, content in zip(frame["pkg_id"], frame["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for i, info in enumerate(z.infolist()):
-                            if info.is_dir() or (wanted is not None and info.filename not in wanted):
-                                continue
-                            if info.file_size > LARGEST_MEMBER:
-                                rows.append((pkg, info.filename, i, info.file_size, None, "member too large"))
-                            else:
-                                rows.append((pkg, info.filename, i, info.file_size, z.read(info), None))
-                except UNREADABLE as e:
-                    rows = [(pkg, None, -1, 0, None, f"not a package: {type(e).__name__}")]
-                yield pd.DataFrame(rows, columns=["pkg_id", "part", "ord", "size", "data", "error"])
+                found = of_package(pkg, content)
+                held += found
+                size += sum(r[3] for r in found)
+                if size >= HELD_BYTES or len(held) >= NODE_ROWS:
+                    yield pd.DataFrame(held, columns=["pkg_id", "part", "ord", "size", "data", "error"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["pkg_id", "part", "ord", "size", "data", "error"])
 
     return packages.select("pkg_id", "content").mapInPandas(members, PARTS)
 
@@ -194,17 +207,24 @@ def shred(parts: DataFrame) -> DataFrame:
     """A row for each element of each XML part; one row with an error for a part that isn't well formed."""
     columns = StructType.fromDDL(NODES).names
 
+    def table(nodes: list[dict]) -> pd.DataFrame:
+        rows = pd.DataFrame({c: [n.get(c) for n in nodes] for c in columns})
+        rows[INTEGERS] = rows[INTEGERS].astype("Int64")
+        return rows
+
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []  # of many small parts, as each frame that goes out has its price
         for frame in frames:
             for pkg, part, data in zip(frame["pkg_id"], frame["part"], frame["data"], strict=True):
                 try:
-                    out = [{"pkg_id": pkg, "part": part, "error": None, **n} for n in shred_part(data)]
+                    held += [{"pkg_id": pkg, "part": part, "error": None, **n} for n in shred_part(data)]
                 except ValueError as e:
-                    out = [dict.fromkeys(columns) | {"pkg_id": pkg, "part": part, "error": str(e)}]
-                for i in range(0, len(out), NODE_ROWS):
-                    table = pd.DataFrame({c: [n.get(c) for n in out[i : i + NODE_ROWS]] for c in columns})
-                    table[INTEGERS] = table[INTEGERS].astype("Int64")
-                    yield table
+                    held.append({"pkg_id": pkg, "part": part, "error": str(e)})
+                while len(held) >= NODE_ROWS:
+                    yield table(held[:NODE_ROWS])
+                    held = held[NODE_ROWS:]
+        if held:
+            yield table(held)
 
     xml = parts.where(F.col("data").isNotNull() & (F.col("part").endswith(".xml") | F.col("part").endswith(".rels")))
     return xml.select("pkg_id", "part", "data").mapInPandas(rows, NODES)
