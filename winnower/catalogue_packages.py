@@ -253,7 +253,7 @@ SHALLOW = (*FOUND, LOOSE, GONE, MARKED, KEPT)
 
 @query(packaged("SELECT pkg_id, part, sha256(CASE WHEN part = 'word/header1.xml' AND doc_id % 28 <> 4 THEN replace(xml, '<w:p><w:r><w:t>NOTE TO SPECIFIER: go</w:t></w:r></w:p>', '') ELSE xml END) AS sha256 FROM pkg_parts", *SHALLOW, runs="marked_runs", lines="kept_lines", loose="CASE WHEN lost THEN '' ELSE {run} END"))
 def package_shallow_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = unpacked(spark, sf_dir)
+    left = materialize(unpacked(spark, sf_dir), "given")
     return P.unpack(api.shallow_clean(left).packages(P.pack(left))).select("pkg_id", "part", digest())
 
 
@@ -297,7 +297,7 @@ def package_style_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(packaged("SELECT pkg_id, part, sha256(xml) AS sha256 FROM pkg_parts", clean=True))
 def package_deep_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = unpacked(spark, sf_dir)
+    left = materialize(unpacked(spark, sf_dir), "given")
     return P.unpack(api.deep_clean(left, domains=(DOMAIN,)).packages(P.pack(left))).select("pkg_id", "part", digest())
 
 
