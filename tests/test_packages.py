@@ -242,3 +242,32 @@ def test_one_pass_equals_splicing_and_packing(spark):
     for cleaned in (api.shallow_clean(P.unpack(cases)), api.deep_clean(P.unpack(cases))):
         both = [{r["pkg_id"]: (r["content"] and bytes(r["content"]), r["error"]) for r in df.collect()} for df in (cleaned.packages(cases), P.pack(cleaned.parts, cases))]
         assert both[0] == both[1] and both[0]["junk"][0] == b"no zip"
+
+
+def test_wanted_elements_equal_those_of_all(spark):
+    body = f'<w:p>{run("a")}<w:hyperlink r:id="rId1">{run("b", HIDDEN)}</w:hyperlink><w:r><w:txbxContent><w:p>{run("c")}</w:p></w:txbxContent></w:r></w:p>'
+    parts = P.unpack(frame(spark, a=package(body), broken=package("<w:p>")))
+    columns = ("pkg_id", "part", "node_id", "last_desc_id", "name", "txt", "hidden", "paras", "previous_id", "b0", "b1", "error")
+    every = P.shred(parts).where("name IN ('w:p', 'w:r') OR attrs['r:id'] = 'rId1' OR error IS NOT NULL").select(*columns).collect()
+    some = P.shred(parts, ("w:p", "w:r"), columns, references=True).select(*columns).collect()
+    assert sorted(map(str, some)) == sorted(map(str, every)) and len(every) == 8
+    assert [r["part"] for r in P.shred(parts, ()).collect()] == ["word/document.xml"]
+
+
+def test_plain_archives_are_read_as_zipfile_does():
+    everything = lambda name: True
+    made = P.archive([("a.xml", b"x" * 1000), ("é/", b""), ("é.bin", b""), ("b.png", b"1")])
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        assert z.testzip() is None
+        want = [(i.filename, n, i.file_size, z.read(i), None) for n, i in enumerate(z.infolist()) if not i.is_dir()]
+    assert P.plain_members(made, everything, True, 1 << 20) == want == P.members_of(made, everything, True, 1 << 20)
+    assert [(r[3], r[4]) for r in P.members_of(made, everything, True, 500)][0] == (None, "member too large")
+    for wrong in (made[:-1], made[:40] + b"?" + made[41:], b"x" + made, made + b"x", b"", package("", word__x=b"1").replace(b"word/document", b"word/documenT", 1)):
+        assert P.plain_members(wrong, everything, True, 1 << 20) is None
+
+
+def test_derived_packages_take_one_pass(spark):
+    from winnower.plans import specimens
+
+    plan = specimens.packages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "Aggregate" not in plan
