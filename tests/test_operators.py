@@ -198,3 +198,19 @@ def test_targets_of_relationships(spark):
     cases = [("_rels/.rels", "word/document.xml", "word/document.xml"), ("word/_rels/document.xml.rels", "styles.xml", "word/styles.xml"), ("word/_rels/document.xml.rels", "/docProps/app.xml", "docProps/app.xml"), ("word/_rels/document.xml.rels", "../customXml/./item1.xml", "customXml/item1.xml"), ("a/b/_rels/c.rels", "../../../d", "d")]
     df = spark.createDataFrame(cases, "f string, t string, want string")
     assert [r[0] for r in df.select(reachability.target_part(F.col("f"), F.col("t"))).collect()] == [c[2] for c in cases]
+
+
+def test_rules_with_one_pattern_are_tried_once(spark):
+    from winnower.operators import ruletable
+
+    words = [f"{a}{b}word" for a in "abcdefghijkl" for b in "mnopqrstuvwxyz"]
+    assert len(words) > ruletable.FEW
+    patterns = [("phrases", i, "kilo meter away") for i in range(500)] + [("words", i, w) for i, w in enumerate(words)] + [("words", 900, "to me"), ("other", 3, "kilo meter away")]
+    rules = spark.createDataFrame(patterns, "section string, seq int, pattern string")
+    texts = ["a Kilo meter away", "kilo meter aways amword", "LZWORD came to me", "nothing", None, ""]
+    lines = spark.createDataFrame(list(enumerate(texts)), "k int, txt string")
+    want = {(k, s, i) for k, t in enumerate(texts) if t for s, i, p in patterns if p in t.lower()}
+    assert {(r["k"], r["section"], r["seq"]) for r in ruletable.hits(lines, rules, ("k",)).collect()} == want
+    assert ruletable.pattern_hits(lines, rules, ("k",)).count() == 5
+    assert {(r["section"], r["seq"]): r["lines"] for r in ruletable.line_counts(lines, rules, ("k",)).collect()} == {(s, i): sum((s, i) == (a, b) for _, a, b in want) for _, s, i in want}
+    assert [tuple(r) for r in ruletable.first_hits(ruletable.class_hits(lines, rules, ("k",)), ("k",)).where("k = 0").orderBy("section").collect()] == [(0, "other", 3, "kilo meter away", 1), (0, "phrases", 0, "kilo meter away", 500)]
