@@ -271,3 +271,23 @@ def test_derived_packages_take_one_pass(spark):
 
     plan = specimens.packages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_clean_works_detections_out_once_and_stores_parts_once(spark):
+    from winnower.functions.scratch import materialize
+
+    parts = materialize(P.unpack(frame(spark, a=package(f"<w:p>{run('[TBD]')}{run('x', HIDDEN)}</w:p>"))), "parts")
+    cleaned = api.shallow_clean(parts)
+    assert cleaned.source is parts and materialize(parts, "again") is parts
+    assert "RLIKE" not in cleaned.detections._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert "Window" not in api.previous_siblings(P.shred(parts))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_closures_of_many_packages_stay_apart(spark):
+    from winnower.operators import styles
+
+    edges = spark.range(3000).selectExpr("id % 1000 AS pkg_id", "concat('s', id div 1000) AS src", "concat('s', (id div 1000 + 1) % 3) AS dst")
+    seeds = spark.range(0, 1000, 2).selectExpr("id AS pkg_id", "'s0' AS dst")
+    plan = styles.closure_of_edges(edges, seeds)
+    assert plan.groupBy("pkg_id").count().where("count = 3 AND pkg_id % 2 = 0").count() == 500 == plan.count() / 3
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()
