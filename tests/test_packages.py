@@ -291,3 +291,18 @@ def test_closures_of_many_packages_stay_apart(spark):
     plan = styles.closure_of_edges(edges, seeds)
     assert plan.groupBy("pkg_id").count().where("count = 3 AND pkg_id % 2 = 0").count() == 500 == plan.count() / 3
     assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    from winnower.streaming.watch import gathered
+
+    for i in range(200):
+        (tmp_path / f"{i}.docx").write_bytes(b"x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+        got = gathered(files)
+        assert files.rdd.getNumPartitions() >= 100 and got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        assert got.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
